@@ -83,7 +83,7 @@ def member_terms(
 ) -> DataFrame:
     """Every member of every retrieved cluster with ``wm``, its inner weight within query and cluster.
 
-    ``members(cluster_id, pos_id, mx, token)``, ``queries(query_id, qx)``. Kernels: softmax of the distance,
+    ``members(cluster_id, pos_id, mx, token)``, ``queries(query_id[, cluster_id], qx)``. Kernels: softmax of the distance,
     Gaussian of the squared distance, or uniform. ``project`` is a Column of qx and mx giving the squared
     distance, by default over the whole vectors.
     """
@@ -91,7 +91,8 @@ def member_terms(
     by = ["query_id", "cluster_id"]
     if kernel == "uniform":
         return weights_of(F.lit(1.0), rows, by, "wm")
-    rows = rows.join(queries, "query_id").withColumn("sq", sq_dist("qx", "mx") if project is None else project).drop("qx", "mx")
+    on = ["query_id", "cluster_id"] if "cluster_id" in queries.columns else ["query_id"]
+    rows = rows.join(queries, on).withColumn("sq", sq_dist("qx", "mx") if project is None else project).drop("qx", "mx")
     group = Window.partitionBy(*by)
     if kernel == "gauss":
         return weights_of(F.exp(-(F.col("sq") - F.min("sq").over(group)) / (2 * sigma * sigma)), rows, by, "wm")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import interpolate, nll
 from ..operators import read, store
 from ..operators.vectors import nearest
+from ..session import ship
 from ..sources import ingest
 
 CLUSTERS, STEPS, K_MAX = 16, 3, 50
@@ -129,4 +130,5 @@ def _workspace(app: str, sf_dir: str, spark: SparkSession) -> Workspace:
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """The workspace of a dataset, kept for the session's next queries."""
+    ship(spark)
     return _workspace(spark.sparkContext.applicationId, sf_dir, spark)
