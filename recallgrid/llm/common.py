@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: A word: a run of anything but the space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 P = "__rg_"
@@ -59,6 +61,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.base = f"{scratch_root(spark)}/rg-{uuid.uuid4().hex}"
         self._count = 0
@@ -155,6 +158,7 @@ def slices(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
