@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .common import P, Scratch, slices, text_bytes
 
 #: Least and most bytes of a chunk, and the mask that makes a cut likely once in 32 bytes beyond the least.
-LEAST, MOST, MASK = 32, 256, 0xF800
+LEAST, MOST, MASK = 32, 96, 0xF800
 #: The gear table: 256 fixed pseudo-random 16-bit numbers.
 GEAR = np.random.RandomState(20240229).randint(0, 1 << 16, 256).astype(np.uint16)
 
@@ -32,23 +32,33 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(text: bytes, least: int = LEAST, most: int = MOST, mask: int = MASK) -> list[int]:
-    """Ends of the chunks of a text."""
+    """Ends of the chunks of a text.
+
+    Where no cut comes within ``most`` bytes, as in one word said over and over, the cut falls on the
+    least hash there: that too depends on content, not on where the text began.
+    """
     n = len(text)
     if not n:
         return []
-    marks = (np.flatnonzero((gear_hash(np.frombuffer(text, np.uint8)) & np.uint16(mask)) == 0) + 1).tolist()
+    h = gear_hash(np.frombuffer(text, np.uint8))
+    marks = (np.flatnonzero((h & np.uint16(mask)) == 0) + 1).tolist()
     ends, last = [], 0
+
+    def forced(last: int) -> int:
+        span = h[last + least - 1 : last + most]
+        return last + least + len(span) - 1 - int(np.argmin(span[::-1]))
+
     for m in marks:
         if m - last < least:
             continue
         while m - last > most:
-            last += most
+            last = forced(last)
             ends.append(last)
         if m - last >= least:
             ends.append(m)
             last = m
     while n - last > most:
-        last += most
+        last = forced(last)
         ends.append(last)
     if last < n:
         ends.append(n)
