@@ -191,16 +191,10 @@ def shard_links(prints: DataFrame, fp: str, count: int, radius: int = RADIUS, bl
     return sent.repartition(tasks, "t", "m").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
-) -> DataFrame:
-    """``(id, fingerprint, component)`` for every row: component is the least id reachable.
-
-    Rows whose fingerprints differ in at most ``radius`` bits are linked, and links are followed to
-    the end. Empty and null texts share fingerprint zero. Repeated rows each come back; a component
-    of null ids only has component null, and a null id is never the least otherwise. An empty table
-    gives no rows. Extra columns are ignored.
-    """
+def classify(
+    df: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, shingle: int = SHINGLE
+) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` of every row, and ``(fp, root, component)`` of every distinct fingerprint."""
     scratch = Scratch(df.sparkSession)
     f, c = P + "fp", P + "component"
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -211,19 +205,35 @@ def near_duplicates(
         f, "least", F.coalesce("root", f).alias("root")
     )
     least = scratch.table(rooted.groupBy("root").agg(F.min("least").alias(c)), "roots")
-    of_print = scratch.table(rooted.join(least, "root").select(f, c), "of-print")
-    return marked.join(of_print, f).select(
-        F.col("id").alias(id_col), fingerprint_hex(f).alias("fingerprint"), F.col(c).alias("component_id")
+    return marked, scratch.table(rooted.join(least, "root").select(f, F.col("root").alias(P + "root"), c), "of-print")
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE
+) -> DataFrame:
+    """``(id, fingerprint, component)`` for every row: component is the least id reachable.
+
+    Rows whose fingerprints differ in at most ``radius`` bits are linked, and links are followed to
+    the end. Empty and null texts share fingerprint zero. Repeated rows each come back; a component
+    of null ids only has component null, and a null id is never the least otherwise. An empty table
+    gives no rows. Extra columns are ignored.
+    """
+    marked, of_print = classify(df, id_col, text_col, radius, shingle)
+    return marked.join(of_print, P + "fp").select(
+        F.col("id").alias(id_col), fingerprint_hex(P + "fp").alias("fingerprint"), F.col(P + "component").alias("component_id")
     )
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays, whole: the one with the least id (of repeats, any one)."""
-    keep = (
-        near_duplicates(df, id_col, text_col)
-        .where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
-        .select(F.col(f"`{id_col}`").alias(P + "keep"))
-        .distinct()
-    )
-    kept = df.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col(P + "keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row of each component stays, whole: the one with the least id (of repeats, any one).
+
+    Texts are shuffled once, by id: the semi join and the removal of repeats share that partitioning.
+    Rows without an id stay only where their whole component has none, one for each such component.
+    """
+    marked, of_print = classify(df, id_col, text_col)
+    own = F.col(f"`{id_col}`")
+    keep = marked.join(of_print, P + "fp").where(F.col("id") == F.col(P + "component")).select(F.col("id").alias(P + "keep"))
+    kept = df.where(own.isNotNull()).join(keep, own == F.col(P + "keep"), "left_semi").dropDuplicates([id_col])
+    nameless = of_print.where(F.col(P + "component").isNull()).select(P + "fp", P + "root")
+    rest = with_fingerprint(df.where(own.isNull()), text_col, P + "fp").join(nameless, P + "fp").dropDuplicates([P + "root"])
+    return kept.unionByName(rest.select(*(f"`{c}`" for c in df.columns)))
