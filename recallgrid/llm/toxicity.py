@@ -154,8 +154,10 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
     n = train.count()
     if n > most:
         train = train.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    chosen = train.groupBy(F.col(f"`{id_col}`").alias(P + "id")).agg(F.max(label_col).cast("int").alias("y"))
-    return df.join(F.broadcast(chosen), F.col(f"`{id_col}`") == F.col(P + "id")).select(F.col(f"`{text_col}`").alias("t"), "y")
+    label = (F.max(label_col) > 0).cast("int").alias("y")
+    chosen = train.groupBy(F.col(f"`{id_col}`").alias(P + "id")).agg(label)
+    rows = df.select(F.col(f"`{id_col}`").alias(P + "id"), F.col(f"`{text_col}`").alias("t"))
+    return rows.join(F.broadcast(chosen), P + "id").select("t", "y")
 
 
 def induce(sample: DataFrame, most: int = MAX_LEARNED) -> tuple[dict[str, float], dict[str, float]]:
