@@ -87,7 +87,9 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, q_id: str = "pos_id",
     dims = len(head[0]["x"]) if head else 1
     most = max(1, BROADCAST_NUMBERS // max(1, dims))
     rows = q.limit(most + 1).toPandas()
-    if len(rows) <= most:
+    if not len(rows):
+        part = spark.createDataFrame([], "query_id long, entry_id long, dist double")
+    elif len(rows) <= most:
         qm = np.array(rows["x"].tolist(), float).reshape(len(rows), -1)
         shared = spark.sparkContext.broadcast((rows["q"].to_numpy(), qm))
 
@@ -127,9 +129,9 @@ def _block_join(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
     """Blocks of both sides in one cogroup for each pair of blocks."""
     nq = max(1, -(-q.count() // BLOCK_ROWS))
     ns = max(1, -(-s.count() // (8 * BLOCK_ROWS)))
-    seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq))).withColumn("sb", seq(ns).cast("long"))
-    s = s.withColumn("sb", F.pmod(F.xxhash64("e"), F.lit(ns))).withColumn("qb", seq(nq).cast("long"))
+    seq = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq))).withColumn("sb", seq(ns))
+    s = s.withColumn("sb", F.pmod(F.xxhash64("e"), F.lit(ns))).withColumn("qb", seq(nq))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("entry_id", pa.int64()), ("dist", pa.float64())])
