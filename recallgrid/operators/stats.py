@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import draw
+from .ranking import with_rank, with_running_sum
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -47,9 +48,8 @@ def t_sf2(t: float, df: float) -> float:
 def average_ranks(df: DataFrame, x: Column, name: str = "r") -> DataFrame:
     """``df`` with average ranks of x: counts of distinct values are ranked, not rows."""
     df = df.withColumn("_x", x)
-    counts = df.groupBy("_x").agg(F.count(F.lit(1)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("_x", (below + (F.col("_n") + 1) / 2).alias(name))
+    counts = with_running_sum(df.groupBy("_x").agg(F.count(F.lit(1)).alias("_n")), "_x", [], F.col("_n"), "_upto")
+    ranks = counts.select("_x", (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, "_x").drop("_x")
 
 
@@ -89,14 +89,10 @@ def binned(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
 
 
 def worst_flag(df: DataFrame, by: str, percent: int, rounding: str = "round", id_col: str = "query_id") -> DataFrame:
-    """Flag the worst percent of rows; their number is rounded (half to even) or cut off.
-
-    The cut is found from the count and one value: rows are only ranked among the candidates.
-    """
+    """Flag the worst percent of rows; their number is rounded (half to even) or cut off."""
     n = df.agg(F.count(F.lit(1)).alias("n"))
     k = F.bround(F.col("n") * percent / 100.0).cast("long") if rounding == "round" else F.floor(F.col("n") * percent / 100).cast("long")
-    order = Window.orderBy(F.col(by).desc(), id_col)
-    ranked = df.withColumn("_rk", F.row_number().over(order)).crossJoin(F.broadcast(n.select(k.alias("_k"))))
+    ranked = with_rank(df, by, [id_col], "_rk", descending=True).crossJoin(F.broadcast(n.select(k.alias("_k"))))
     return ranked.withColumn("worst", F.col("_rk") <= F.col("_k")).drop("_rk", "_k")
 
 
@@ -114,7 +110,7 @@ def group_bootstrap(df: DataFrame, group: str, x: Column, draws: int) -> DataFra
         .select("m", "draw", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))).alias("j"))
         .withColumn("i", (F.floor(draw(draw(F.col("draw") * 100003 + F.col("j")), 77) / 65536) % F.col("m")).cast("int"))
     )
-    means = picks.join(F.broadcast(per), "i").groupBy("draw").agg((F.sum("s") / F.sum("c")).alias("mean"))
+    means = picks.join(per, "i").groupBy("draw").agg((F.sum("s") / F.sum("c")).alias("mean"))
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     point = per.agg((F.sum("s") / F.sum("c")).alias("point"), F.count(F.lit(1)).alias("groups"))
     return point.crossJoin(means.agg(q.alias("q"), F.stddev_pop("mean").alias("boot_se"))).select(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import draw
+from .ranking import with_rank
 from .vectors import nearest, vector_sums
 
 #: Prototypes (rows times dimensions) that the driver may hold between two Lloyd steps: 512 MB.
@@ -119,3 +120,11 @@ def top_tokens(dist: DataFrame, n: int) -> DataFrame:
 def conditional_counts(rows: DataFrame, *given: str) -> DataFrame:
     """Joint counts of tokens given one to three cluster ids."""
     return rows.groupBy(*given, F.col("y").alias("token")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def shuffled_contents(dist: DataFrame) -> DataFrame:
+    """Tokens dealt out anew over all (cluster, count) cells: rows numbered by id meet rows numbered by hash."""
+    a = with_rank(dist, "cluster_id", ["token"], "i").select("i", "cluster_id", "cnt")
+    keyed = dist.select("cluster_id", "token", draw(F.col("cluster_id") * 1000 + F.col("token")).alias("_key"))
+    b = with_rank(keyed, "_key", ["cluster_id", "token"], "i").select("i", "token")
+    return a.join(b, "i").groupBy("cluster_id", "token").agg(F.sum("cnt").alias("cnt"))

@@ -40,7 +40,7 @@ def n(col: str | Column, alias: str | None = None) -> Column:
 
 
 def load() -> None:
-    from . import q_data, q_models, q_read, q_stats, q_store, q_tune  # noqa: F401
+    from . import q_data, q_models, q_read, q_sets, q_stats, q_store, q_tune  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import interpolate, nll
 from ..operators import em, read, store
 from ..operators.heads import softmax_head
+from ..operators.ranking import with_rank
 from ..operators.stats_extra import ari_nmi, contingency
 from ..schema import draw
 from .base_sql import with_base
@@ -224,7 +225,7 @@ def anchors_random(w: Workspace) -> DataFrame:
     from pyspark.sql import Window
 
     a, b = w.proto.select("cluster_id"), w.proto.select(F.col("cluster_id").alias("other"))
-    rows = a.crossJoin(F.broadcast(b)).where("cluster_id <> other")
+    rows = a.crossJoin(b).where("cluster_id <> other")
     key = draw(F.col("cluster_id") * 1000 + F.col("other"))
     return rows.withColumn("rk", F.row_number().over(Window.partitionBy("cluster_id").orderBy(key, "other"))).where("rk <= 4").select("cluster_id", "other", n("rk"))
 
@@ -286,11 +287,9 @@ def anchor_dimensions(w: Workspace) -> DataFrame:
   JOIN (SELECT p_state, row_number() OVER (ORDER BY (query_id * 1103515245 + 12345) % 2147483648, query_id) AS k FROM perq WHERE split = 'ct') b USING (k)), range(0, 11) a(i), range(0, 11) c(j) WHERE i + j <= 10 GROUP BY ALL) GROUP BY kind"""))
 def ensemble_control(w: Workspace) -> DataFrame:
     """Three-way ensemble against one whose compressed component is shuffled over queries."""
-    from pyspark.sql import Window
-
     ct = w.perq.where("split = 'ct'").select("query_id", "p_raw", "p_state", "p_lm")
-    a = ct.withColumn("k", F.row_number().over(Window.orderBy("query_id")))
-    b = ct.select(F.col("p_state").alias("b"), F.row_number().over(Window.orderBy(draw(F.col("query_id")), "query_id")).alias("k"))
+    a = with_rank(ct, "query_id", [], "k")
+    b = with_rank(ct.select("query_id", F.col("p_state").alias("b"), draw(F.col("query_id")).alias("key")), "key", ["query_id"], "k").select("b", "k")
     both = ct.select(F.lit("real").alias("kind"), "p_raw", F.col("p_state").alias("b"), "p_lm").unionByName(a.join(b, "k").select(F.lit("shuffled").alias("kind"), "p_raw", "b", "p_lm"))
     grid = w.spark.createDataFrame([(i, j) for i in range(11) for j in range(11 - i)], "i int, j int")
     x, y = F.col("i") * 0.1, F.col("j") * 0.1

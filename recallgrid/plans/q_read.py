@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dot, interpolate, nll, nll_or_null, sq_dist
 from ..operators import read, store
 from ..operators.policy import retained_members
+from ..operators.ranking import with_rank
 from .base_sql import softmax_sql, state_p_sql, with_base
 from .catalog import n, query, r
 from .workspace import RAW_ALPHA, STATE_ALPHA, STATE_K, STATE_TAU, Workspace
@@ -220,7 +221,7 @@ def anchors(w: Workspace) -> DataFrame:
     a = w.proto.select("cluster_id", F.col("x").alias("px"))
     b = w.proto.select(F.col("cluster_id").alias("other"), F.col("x").alias("ox"))
     near = F.min_by("ox", F.struct("d", "other"))
-    rows = a.crossJoin(F.broadcast(b)).where("cluster_id <> other").withColumn("d", F.sqrt(sq_dist("px", "ox")))
+    rows = a.crossJoin(b).where("cluster_id <> other").withColumn("d", F.sqrt(sq_dist("px", "ox")))
     return rows.groupBy("cluster_id", "px").agg(near.alias("ox")).withColumn("dsq", dot("ox", "ox") - dot("px", "px"))
 
 
@@ -293,9 +294,8 @@ def value_sets(w: Workspace) -> DataFrame:
   SELECT *, row_number() OVER (ORDER BY delta_l DESC, query_id) AS rk, count(*) OVER () AS nn FROM val), (SELECT unnest([1, 5, 10, 25, 100]) AS percent) GROUP BY percent"""))
 def oracle_switch(w: Workspace) -> DataFrame:
     """The worst queries read the full store, the rest the compressed one."""
-    rk = F.row_number().over(Window.orderBy(F.col("delta_l").desc(), "query_id"))
     total = w.val.agg(F.count(F.lit(1)).alias("nn"))
     grid = w.spark.createDataFrame([(p,) for p in (1, 5, 10, 25, 100)], "percent int")
-    rows = w.val.withColumn("rk", rk).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(grid))
+    rows = with_rank(w.val, "delta_l", ["query_id"], descending=True).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(grid))
     loss = F.when(F.col("rk") <= F.floor(F.col("nn") * F.col("percent") / 100), F.col("nll_raw")).otherwise(F.col("nll_state"))
     return rows.groupBy("percent").agg(F.avg(loss).alias("m")).select("percent", r(F.col("m")).alias("nll"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import guarded_ratio
 from ..operators import read, stats, store
 from ..operators import stats_extra as info
+from ..operators.ranking import with_rank, with_running_sum
 from ..schema import draw
 from .base_sql import with_base
 from .catalog import n, query, r
@@ -183,7 +184,7 @@ def binned_lineitem(w: Workspace) -> DataFrame:
   FROM (SELECT *, row_number() OVER (ORDER BY delta_l DESC, query_id) AS rk, count(*) OVER () AS nn FROM perq)"""))
 def loss_concentration(w: Workspace) -> DataFrame:
     total = w.perq.agg(F.count(F.lit(1)).alias("nn"))
-    rows = w.perq.withColumn("rk", F.row_number().over(Window.orderBy(F.col("delta_l").desc(), "query_id"))).crossJoin(F.broadcast(total))
+    rows = with_rank(w.perq, "delta_l", ["query_id"], descending=True).crossJoin(F.broadcast(total))
     up, down = F.greatest("delta_l", F.lit(0.0)), F.least("delta_l", F.lit(0.0))
     part = lambda p: r(F.sum(F.when(F.col("rk") <= F.floor(F.col("nn") * p / 100), up).otherwise(0.0)) / F.sum(up)).alias(f"worst{p}")
     return rows.agg(r(info.share_of(F.col("delta_l") > 0)).alias("worse"), r(info.share_of(F.col("delta_l") < 0)).alias("better"), r(F.sum(up)).alias("lost"), r(F.sum(down)).alias("gained"), part(1), part(5), part(10))
@@ -204,7 +205,7 @@ def boundary_bands(w: Workspace) -> DataFrame:
     d = lambda k: F.max(F.when(F.col("rank") == k, F.col("dist")))
     rows = w.snbr.groupBy("query_id").agg((d(2) - d(1)).alias("margin")).join(w.perq.select("query_id", "nll_state"), "query_id")
     total = rows.agg(F.count(F.lit(1)).alias("nn"))
-    rows = rows.withColumn("rk", F.row_number().over(Window.orderBy(F.round("margin", 9), "query_id"))).crossJoin(F.broadcast(total))
+    rows = with_rank(rows.withColumn("_m", F.round("margin", 9)), "_m", ["query_id"]).crossJoin(F.broadcast(total))
     band = F.coalesce(*(F.when(F.col("rk") <= F.floor(F.col("nn") * b / 100), F.lit(b)) for b in _BANDS[1:]))
     return rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("margin")).alias("mean_margin"), r(F.avg("nll_state")).alias("mean_nll"))
 
@@ -223,9 +224,10 @@ def neighbour_reuse(w: Workspace) -> DataFrame:
 @query(with_base("SELECT i, entry_id, uses, round(sum(uses) OVER (ORDER BY i) / sum(uses) OVER (), 6) AS share FROM (SELECT row_number() OVER (ORDER BY uses DESC, entry_id) AS i, entry_id, uses FROM (SELECT entry_id, count(*) AS uses FROM nbr WHERE rank <= 5 GROUP BY 1))"))
 def cumulative_reuse(w: Workspace) -> DataFrame:
     uses = w.nbr.where("rank <= 5").groupBy("entry_id").agg(F.count(F.lit(1)).alias("uses"))
-    order = Window.orderBy(F.col("uses").desc(), "entry_id")
-    run = F.sum("uses").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("uses").over(Window.partitionBy())
-    return uses.select(n(F.row_number().over(order), "i"), "entry_id", "uses", r(run).alias("share"))
+    uses = uses.persist()
+    total = uses.agg(F.sum("uses").alias("all"))
+    rows = with_running_sum(with_rank(uses, "uses", ["entry_id"], "i", descending=True), "uses", ["entry_id"], F.col("uses"), "run", descending=True)
+    return rows.crossJoin(F.broadcast(total)).select("i", "entry_id", "uses", r(F.col("run") / F.col("all")).alias("share"))
 
 
 @query(with_base("SELECT round(sum(nll_lm - nll_state) FILTER (nll_lm > nll_raw), 6) AS kept, round(sum(nll_lm - nll_raw) FILTER (nll_lm > nll_raw), 6) AS whole, CASE WHEN sum(nll_lm - nll_raw) FILTER (nll_lm > nll_raw) > 0.01 THEN round(sum(nll_lm - nll_state) FILTER (nll_lm > nll_raw) / sum(nll_lm - nll_raw) FILTER (nll_lm > nll_raw), 6) END AS ratio FROM val"))
@@ -247,7 +249,7 @@ def repaired_fraction(w: Workspace) -> DataFrame:
     rows = rows.withColumn("dx", F.round(-F.ln(0.25 * (F.col("a") + F.col("b")) + 0.75 * F.col("p_lm") + 1e-12) - F.col("nll_raw"), 9))
     total = rows.agg(F.count(F.lit(1)).alias("nn"))
     grid = w.spark.createDataFrame([(p,) for p in (5, 10, 25, 100)], "percent int")
-    rows = rows.withColumn("rk", F.row_number().over(Window.orderBy(F.col("delta_l").desc(), "query_id"))).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(grid))
+    rows = with_rank(rows, "delta_l", ["query_id"], descending=True).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(grid))
     rows = rows.where(F.col("rk") <= F.bround(F.col("nn") * F.col("percent") / 100.0))
     lost = F.sum(F.greatest(F.lit(0.0), "delta_l"))
     return rows.groupBy("percent").agg(r((lost - F.sum(F.greatest(F.lit(0.0), "dx"))) / lost).alias("repaired"))
@@ -383,7 +385,7 @@ def recovery_ci(w: Workspace) -> DataFrame:
     m = per.agg(F.count(F.lit(1)).alias("m"), (F.sum("s") / F.sum("c")).alias("point"))
     picks = m.select("m", F.explode(F.sequence(F.lit(0), F.lit(499))).alias("draw")).select("m", "draw", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))).alias("j"))
     picks = picks.select("draw", (F.floor(draw(draw(F.col("draw") * 100003 + F.col("j")), 77) / 65536) % F.col("m")).cast("int").alias("i"))
-    means = picks.join(F.broadcast(per), "i").groupBy("draw").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("abs(c) > 0.01").select((F.col("s") / F.col("c")).alias("x"))
+    means = picks.join(per, "i").groupBy("draw").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("abs(c) > 0.01").select((F.col("s") / F.col("c")).alias("x"))
     q = means.agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("stable"))
     return m.crossJoin(q).select(r("point"), r(F.col("q")[0]).alias("lo"), r(F.col("q")[1]).alias("hi"), "stable")
 
@@ -400,8 +402,9 @@ def spearman_lineitem(w: Workspace) -> DataFrame:
 
 @query(with_base("SELECT round(corr(ra, rb), 6) AS rho FROM (SELECT row_number() OVER (ORDER BY round(d_raw, 9), query_id) AS ra, row_number() OVER (ORDER BY round(d_state, 9), query_id) AS rb FROM perq)"))
 def rank_of_rank(w: Workspace) -> DataFrame:
-    rank = lambda c: F.row_number().over(Window.orderBy(F.round(c, 9), "query_id"))
-    return w.perq.select(rank("d_raw").alias("a"), rank("d_state").alias("b")).agg(r(F.corr("a", "b")).alias("rho"))
+    rows = w.perq.select("query_id", F.round("d_raw", 9).alias("x"), F.round("d_state", 9).alias("y"))
+    rows = with_rank(with_rank(rows, "x", ["query_id"], "a"), "y", ["query_id"], "b")
+    return rows.agg(r(F.corr("a", "b")).alias("rho"))
 
 
 @query(with_base("SELECT flag, round(lo, 6) AS lo, round(hi, 6) AS hi FROM (SELECT CASE WHEN lo > 0 THEN 'worse' WHEN hi < 0 THEN 'better' ELSE 'undecided' END AS flag, lo, hi FROM (" + _boot_sql("SELECT chunk_id AS g, sum(delta_l) AS s, count(*) AS c FROM val GROUP BY 1", 500) + "))"))
@@ -491,12 +494,12 @@ def token_pairs(w: Workspace) -> DataFrame:
     from ..operators.vectors import vector_sums
 
     mean = vector_sums(w.ds.withColumn("token", F.col("y").cast("long")), "token").select("token", F.transform("s", lambda v: v / F.col("n")).alias("x"))
-    grid = w.dist.select("token").distinct().crossJoin(F.broadcast(w.proto.select("cluster_id"))).join(w.dist, ["cluster_id", "token"], "left")
+    grid = w.dist.select("token").distinct().crossJoin(w.proto.select("cluster_id")).join(w.dist, ["cluster_id", "token"], "left")
     prof = grid.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", F.coalesce("cnt", F.lit(0.0)).alias("c")))), lambda s: s["c"]).alias("v"))
     t = mean.join(prof, "token").persist()
     a = t.select(F.col("token").alias("t1"), F.col("x").alias("x1"), F.col("v").alias("v1"))
     b = t.select(F.col("token").alias("t2"), F.col("x").alias("x2"), F.col("v").alias("v2"))
-    return a.join(F.broadcast(b), F.col("t1") < F.col("t2")).select("t1", "t2", cosine("x1", "x2").alias("emb"), cosine("v1", "v2").alias("pred"))
+    return a.join(b, F.col("t1") < F.col("t2")).select("t1", "t2", cosine("x1", "x2").alias("emb"), cosine("v1", "v2").alias("pred"))
 
 
 @query(with_base("SELECT t1, t2, round(emb, 6) AS emb, round(pred, 6) AS pred FROM tsim", _TV, _TSIM))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import store
 from ..operators.vectors import nearest, nearest_expr
-from ..schema import draw
 from .base_sql import knn_sql, lloyd_sql, with_base
 from .catalog import n, query, r
 from .workspace import CLUSTERS, STEPS, Workspace
@@ -129,11 +128,5 @@ _SHUF = f"""SELECT a.cluster_id, b.token, a.cnt FROM (SELECT *, row_number() OVE
 
 @query(with_base("SELECT cluster_id, token, CAST(sum(cnt) AS BIGINT) AS cnt FROM sh GROUP BY cluster_id, token", ("sh", _SHUF)))
 def shuffled_contents(w: Workspace) -> DataFrame:
-    """A portable permutation: rows numbered by id meet rows numbered by hash."""
-    from pyspark.sql import Window
-
-    a = w.dist.withColumn("i", F.row_number().over(Window.orderBy("cluster_id", "token")))
-    key = draw(F.col("cluster_id") * 1000 + F.col("token"))
-    b = w.dist.select("token", F.row_number().over(Window.orderBy(key, "cluster_id", "token")).alias("i"))
-    got = a.drop("token").join(b, "i").groupBy("cluster_id", "token").agg(F.sum("cnt").alias("cnt"))
-    return got.select("cluster_id", "token", n("cnt"))
+    """A portable permutation of the contents."""
+    return store.shuffled_contents(w.dist).select("cluster_id", "token", n("cnt"))

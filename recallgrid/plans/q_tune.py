@@ -159,13 +159,6 @@ _ABL = [
 ]
 
 
-def shuffled(dist: DataFrame) -> DataFrame:
-    a = dist.withColumn("i", F.row_number().over(Window.orderBy("cluster_id", "token")))
-    key = draw(F.col("cluster_id") * 1000 + F.col("token"))
-    b = dist.select("token", F.row_number().over(Window.orderBy(key, "cluster_id", "token")).alias("i"))
-    return a.drop("token").join(b, "i").groupBy("cluster_id", "token").agg(F.sum("cnt").alias("cnt"))
-
-
 def reassigned(w: Workspace) -> DataFrame:
     """Contents dealt to other prototypes."""
     a = w.proto.select(F.col("cluster_id").alias("c0"), F.row_number().over(Window.orderBy("cluster_id")).alias("i"))
@@ -177,8 +170,8 @@ def reassigned(w: Workspace) -> DataFrame:
 def ablations(w: Workspace) -> DataFrame:
     """Contents truncated and renormalised, replaced by the unigram, and shuffled."""
     kinds = {"full": w.dist} | {f"top{k}": store.top_tokens(w.dist, k).drop("rn") for k in _KS}
-    kinds["unigram"] = w.proto.select("cluster_id").crossJoin(F.broadcast(w.unigram.select("token", F.col("p").alias("cnt"))))
-    kinds |= {"shuffled_dist": shuffled(w.dist), "shuffled_proto": reassigned(w)}
+    kinds["unigram"] = w.proto.select("cluster_id").crossJoin(w.unigram.select("token", F.col("p").alias("cnt")))
+    kinds |= {"shuffled_dist": store.shuffled_contents(w.dist), "shuffled_proto": reassigned(w)}
     rows, truth = None, w.truth.where("split = 'val'")
     for kind, dist in kinds.items():
         one = dist.select(F.lit(kind).alias("kind"), "cluster_id", "token", F.col("cnt").cast("double").alias("cnt"))
