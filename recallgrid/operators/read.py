@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import interpolate, nll, softmax_weights, sq_dist, weights_of
+from ..functions.scalar import interpolate, nll, softmax_weights, sq_dist, unrolled_sq_dist, weights_of
+
+#: Longest vectors whose distance is written out term by term.
+UNROLL = 128
 
 
 def first_k(nbr: DataFrame, k: int, tau: float) -> DataFrame:
@@ -79,20 +82,21 @@ def triple_prob(nbr: DataFrame, truth: DataFrame, dist: DataFrame, tau: float) -
 
 
 def member_terms(
-    weighted: DataFrame, members: DataFrame, queries: DataFrame, kernel: str = "softmax", tau: float = 0.1, sigma: float = 1.0, project: Column | None = None
+    weighted: DataFrame, members: DataFrame, queries: DataFrame, kernel: str = "softmax", tau: float = 0.1, sigma: float = 1.0, project: Column | None = None, dims: int | None = None
 ) -> DataFrame:
     """Every member of every retrieved cluster with ``wm``, its inner weight within query and cluster.
 
     ``members(cluster_id, pos_id, mx, token)``, ``queries(query_id[, cluster_id], qx)``. Kernels: softmax of the distance,
     Gaussian of the squared distance, or uniform. ``project`` is a Column of qx and mx giving the squared
-    distance, by default over the whole vectors.
+    distance, by default over the whole vectors; known ``dims`` keep that sum in generated code.
     """
     rows = weighted.select("query_id", "cluster_id", "w").join(members, "cluster_id")
     by = ["query_id", "cluster_id"]
     if kernel == "uniform":
         return weights_of(F.lit(1.0), rows, by, "wm")
+    whole = unrolled_sq_dist("qx", "mx", dims) if dims and dims <= UNROLL else sq_dist("qx", "mx")
     on = ["query_id", "cluster_id"] if "cluster_id" in queries.columns else ["query_id"]
-    rows = rows.join(queries, on).withColumn("sq", sq_dist("qx", "mx") if project is None else project).drop("qx", "mx")
+    rows = rows.join(queries, on).withColumn("sq", whole if project is None else project).drop("qx", "mx")
     group = Window.partitionBy(*by)
     if kernel == "gauss":
         return weights_of(F.exp(-(F.col("sq") - F.min("sq").over(group)) / (2 * sigma * sigma)), rows, by, "wm")

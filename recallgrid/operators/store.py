@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import draw
 from .ranking import with_rank
-from .vectors import nearest, vector_sums
+from .vectors import closest, matrix, nearest, nearest_sums, vector_sums
 
 #: Prototypes (rows times dimensions) that the driver may hold between two Lloyd steps: 512 MB.
 CENTROID_NUMBERS = 64_000_000
@@ -18,60 +19,47 @@ def frame(spark: SparkSession, ids, centres: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(int(i), c.tolist()) for i, c in zip(ids, centres)], "cluster_id long, x array<double>")
 
 
-def assign_nearest(rows: DataFrame, proto: DataFrame) -> DataFrame:
-    """``(pos_id, cluster_id, dist)``: nearest prototype, ties to the lower id.
+def assign_nearest(rows: DataFrame, proto: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``(pos_id, cluster_id, dist)``: nearest prototype, ties to the lower id; ``carry`` names columns kept.
 
     The prototypes are the broadcast side: one pass over the rows and no shuffle of them.
     """
     spark = rows.sparkSession
-    got = proto.select("cluster_id", "x").orderBy("cluster_id").toPandas()
-    if got.shape[0] and got.shape[0] * len(got["x"][0]) > CENTROID_NUMBERS:
-        return nearest(rows, proto.select(F.col("cluster_id").alias("pos_id"), "x"), 1).select(
-            F.col("query_id").alias("pos_id"), F.col("entry_id").alias("cluster_id"), "dist"
-        )
-    ids, m = got["cluster_id"].to_numpy(np.int64), np.array(got["x"].tolist(), float).reshape(len(got), -1)
-    shared = spark.sparkContext.broadcast((ids, m))
+    carry = carry or []
+    got = proto.select("cluster_id", "x").toArrow()
+    ids, m = got["cluster_id"].to_numpy(), matrix(got["x"])
+    if m.size > CENTROID_NUMBERS:
+        near = nearest(rows, proto.select(F.col("cluster_id").alias("pos_id"), "x"), 1)
+        near = near.select(F.col("query_id").alias("pos_id"), F.col("entry_id").alias("cluster_id"), "dist")
+        return near.join(rows.select("pos_id", *carry), "pos_id") if carry else near
+    order = np.argsort(ids)
+    shared = spark.sparkContext.broadcast((ids[order], m[order] if len(ids) else m))
 
     def run(batches):
         import pyarrow as pa
 
-        from .vectors import matrix
-
-        ids, m = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            v = matrix(b.column(1))
-            best = np.empty(len(v), np.int64)
-            d = np.empty(len(v))
-            for a in range(0, len(v), 1024):
-                part = v[a : a + 1024]
-                sq = (part * part).sum(1)[:, None] - 2 * part @ m.T + (m * m).sum(1)[None, :]
-                near = np.argsort(sq, axis=1, kind="stable")[:, :4]  # the exact distance decides among the closest
-                exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(2))
-                o = np.lexsort((ids[near], exact), axis=1)[:, 0]
-                best[a : a + 1024] = ids[np.take_along_axis(near, o[:, None], 1)[:, 0]]
-                d[a : a + 1024] = np.take_along_axis(exact, o[:, None], 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best), pa.array(d)], names=["pos_id", "cluster_id", "dist"])
-
-    return rows.select(F.col("pos_id").cast("long"), "x").mapInArrow(run, "pos_id long, cluster_id long, dist double")
+            if b.num_rows:
+                best, d = closest(matrix(b.column(1)), *shared.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best), pa.array(d), *b.columns[2:]], names=["pos_id", "cluster_id", "dist", *carry])
+
+    read = rows.select(F.col("pos_id").cast("long"), "x", *carry)
+    fields = [T.StructField("pos_id", T.LongType()), T.StructField("cluster_id", T.LongType()), T.StructField("dist", T.DoubleType()), *(rows.schema[c] for c in carry)]
+    return read.mapInArrow(run, T.StructType(fields))
 
 
 def lloyd(rows: DataFrame, clusters: int, steps: int = 3) -> DataFrame:
     """Prototypes ``(cluster_id, x)`` after a fixed number of Lloyd steps from the first ids.
 
-    A step is one scan of the rows; only the prototypes pass through the driver, so the plan doesn't
-    grow. An empty cluster keeps its centre.
+    A step is one scan that assigns and adds up in the same task, so vectors are never shuffled; only
+    the prototypes pass through the driver and the plan doesn't grow. An empty cluster keeps its centre.
     """
-    spark = rows.sparkSession
-    first = rows.select("pos_id", "x").orderBy("pos_id").limit(clusters).collect()
-    centres = {i: np.array(r["x"], float) for i, r in enumerate(first)}
+    first = rows.select("pos_id", "x").orderBy("pos_id").limit(clusters).toArrow()
+    ids, m = np.arange(first.num_rows), matrix(first["x"]).copy()
     for _ in range(steps):
-        proto = frame(spark, centres, np.array(list(centres.values())))
-        at = assign_nearest(rows, proto).select("pos_id", "cluster_id")
-        for r in vector_sums(rows.select("pos_id", "x").join(at, "pos_id"), "cluster_id").collect():
-            centres[r["cluster_id"]] = np.array(r["s"]) / r["n"]
-    return frame(spark, centres, np.array(list(centres.values())))
+        for r in nearest_sums(rows, ids, m).collect() if len(ids) else []:
+            m[r["cluster_id"]] = np.array(r["s"]) / r["n"]
+    return frame(rows.sparkSession, ids, m)
 
 
 def distribution(assigned: DataFrame, weight: Column | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A query side of at most so many numbers (rows times dimensions) is broadcast: 64 MB.
+#: A query side of at most so many rows and numbers (rows times dimensions, 64 MB) is broadcast.
+BROADCAST_ROWS = 8192
 BROADCAST_NUMBERS = 8_000_000
 #: Rows of a block when neither side is small.
 BLOCK_ROWS = 8192
@@ -18,25 +19,57 @@ SPARE = 8
 
 
 def matrix(col: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as rows of doubles."""
     n = len(col)
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False) if n else np.zeros(0)
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def closest(v: np.ndarray, ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id and distance of the nearest row of ``m`` for each row of ``v``; exact, ties to the lower id."""
+    best, dist = np.empty(len(v), np.int64), np.empty(len(v))
+    for a in range(0, len(v), 1024):
+        part = v[a : a + 1024]
+        sq = (part * part).sum(1)[:, None] - 2 * part @ m.T + (m * m).sum(1)[None, :]
+        near = np.argsort(sq, axis=1, kind="stable")[:, :4]  # the exact distance decides among the closest
+        exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(2))
+        first = np.lexsort((ids[near], exact), axis=1)[:, :1]
+        best[a : a + 1024] = ids[np.take_along_axis(near, first, 1)[:, 0]]
+        dist[a : a + 1024] = np.take_along_axis(exact, first, 1)[:, 0]
+    return best, dist
+
+
 def vector_sums(df: DataFrame, key: str, x: str = "x", weight: str | None = None) -> DataFrame:
     """``(key, n, total, s)``: rows, sum of weights and weighted vector sum of each key.
 
     Each task first adds up its own rows, so the shuffle carries a vector per key and task.
     """
 
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    return _sums(df.select(F.col(key).cast("long").alias("k"), x, w.alias("w")), lambda b: (b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False)), key)
+
+
+def nearest_sums(df: DataFrame, ids: np.ndarray, m: np.ndarray, x: str = "x") -> DataFrame:
+    """The same keyed by the nearest row of ``m``: one pass over the vectors, which never move."""
+    shared = df.sparkSession.sparkContext.broadcast((ids, m))
+
+    def keyed(b: pa.RecordBatch):
+        v = matrix(b.column(0))
+        return closest(v, *shared.value)[0], v, np.ones(len(v))
+
+    return _sums(df.select(x), keyed, "cluster_id")
+
+
+def _sums(df: DataFrame, read, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         counts: dict[int, list[float]] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, m = b.column(0).to_numpy(), matrix(b.column(1))
-            w = b.column(2).to_numpy(zero_copy_only=False).astype(float)
+            keys, m, w = read(b)
             uniq, at = np.unique(keys, return_inverse=True)
             part = np.zeros((len(uniq), m.shape[1]))
             np.add.at(part, at, m * w[:, None])
@@ -54,12 +87,12 @@ def vector_sums(df: DataFrame, key: str, x: str = "x", weight: str | None = None
              pa.array([sums[k].tolist() for k in ks], pa.list_(pa.float64()))], names=["k", "n", "total", "s"],
         )
 
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    part = df.select(F.col(key).cast("long").alias("k"), x, w.alias("w")).mapInArrow(run, "k long, n long, total double, s array<double>")
-    counts = part.groupBy("k").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    dims = part.select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
-    vecs = dims.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("s"))
-    return counts.join(vecs, "k").withColumnRenamed("k", key)
+    part = df.mapInArrow(run, "k long, n long, total double, s array<double>")
+    # One aggregation for counts and coordinates: they travel as coordinates -2 and -1 of the vector.
+    coords = F.concat(F.array(F.col("n").cast("double"), F.col("total")), F.col("s"))
+    dims = part.select("k", F.posexplode(coords).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
+    vecs = dims.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("a"))
+    return vecs.select(F.col("k").alias(key), F.col("a")[0].cast("long").alias("n"), F.col("a")[1].alias("total"), F.slice("a", F.lit(3), F.size("a") - 2).alias("s"))
 
 
 def top_k(q: np.ndarray, ids: np.ndarray, m: np.ndarray, best: tuple[np.ndarray, np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +116,12 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, q_id: str = "pos_id",
     spark = store.sparkSession
     q = queries.select(F.col(q_id).cast("long").alias("q"), F.col(x).alias("x"))
     s = store.select(F.col(s_id).cast("long").alias("e"), F.col(x).alias("x"))
-    head = q.limit(1).collect()
-    dims = len(head[0]["x"]) if head else 1
-    most = max(1, BROADCAST_NUMBERS // max(1, dims))
-    rows = q.limit(most + 1).toPandas()
-    if not len(rows):
+    head = q.limit(BROADCAST_ROWS + 1).toArrow()
+    qi, qm = head["q"].to_numpy(), matrix(head["x"].combine_chunks())
+    if not len(qi):
         part = spark.createDataFrame([], "query_id long, entry_id long, dist double")
-    elif len(rows) <= most:
-        qm = np.array(rows["x"].tolist(), float).reshape(len(rows), -1)
-        shared = spark.sparkContext.broadcast((rows["q"].to_numpy(), qm))
+    elif len(qi) <= BROADCAST_ROWS and qm.size <= BROADCAST_NUMBERS:
+        shared = spark.sparkContext.broadcast((qi, qm))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qi, qm = shared.value

@@ -73,7 +73,7 @@ def utility_weighted(w: Workspace) -> DataFrame:
 def query_kmeans(w: Workspace) -> DataFrame:
     """Prototypes fitted on tuning queries, raw entries assigned to them."""
     proto = store.lloyd(w.pos.where("split = 'ct'"), CLUSTERS, STEPS)
-    rows = store.assign_nearest(w.ds, proto).join(w.ds.select("pos_id", "y"), "pos_id")
+    rows = store.assign_nearest(w.ds, proto, ["y"])
     return store.distribution(rows).select("cluster_id", "token", n("cnt"))
 
 

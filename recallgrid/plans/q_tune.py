@@ -103,7 +103,7 @@ def sweep_b(w: Workspace) -> DataFrame:
     out = None
     for b in (4, 8, 32):
         proto = store.lloyd(w.ds, b, STEPS)
-        rows = store.assign_nearest(w.ds, proto).join(w.ds.select("pos_id", "y"), "pos_id")
+        rows = store.assign_nearest(w.ds, proto, ["y"])
         dist = store.distribution(rows).persist()
         full = store.with_totals(proto, dist)
         probs = read.state_prob(read.first_k(w.state_nbr(proto, 8), 8, STATE_TAU), w.truth.where("split = 'val'"), dist, full)
@@ -430,7 +430,7 @@ def match_budget(w: Workspace) -> DataFrame:
     low, high, best = 1, 64, None
     while low <= high:
         c = max(low, min(high, int(round((low * high) ** 0.5))))
-        rows = store.assign_nearest(w.ds, store.lloyd(w.ds, c, 2)).join(w.ds.select("pos_id", "y"), "pos_id")
+        rows = store.assign_nearest(w.ds, store.lloyd(w.ds, c, 2), ["y"])
         t = store.distribution(rows).count()
         if best is None or (abs(t - target), c) < (abs(best[1] - target), best[0]):
             best = (c, t)

@@ -55,6 +55,11 @@ class Workspace:
         rows = self.pos.where("split <> 'ds'").join(self.p_lm, "pos_id")
         return rows.select(F.col("pos_id").alias("query_id"), "split", "chunk_id", "x", "y", "p_lm", "entropy").persist()
 
+    @cached_property
+    def keys(self) -> DataFrame:
+        """Keys of the queries alone."""
+        return self.pos.where("split <> 'ds'").select("pos_id", "x")
+
     @cached_property
     def truth(self) -> DataFrame:
         return self.q.drop("x")
@@ -62,7 +67,7 @@ class Workspace:
     @cached_property
     def nbr(self) -> DataFrame:
         """The K_MAX nearest raw entries of every query, with their tokens."""
-        got = nearest(self.q.select(F.col("query_id").alias("pos_id"), "x"), self.ds, K_MAX)
+        got = nearest(self.keys, self.ds, K_MAX)
         return got.join(self.ds.select(F.col("pos_id").alias("entry_id"), F.col("y").alias("token")), "entry_id").persist()
 
     @cached_property
@@ -72,7 +77,7 @@ class Workspace:
     @cached_property
     def assigned(self) -> DataFrame:
         """``(pos_id, cluster_id, dist, y)`` of every raw entry."""
-        return store.assign_nearest(self.ds, self.centres).join(self.ds.select("pos_id", "y"), "pos_id").persist()
+        return store.assign_nearest(self.ds, self.centres, ["y"]).persist()
 
     @cached_property
     def dist(self) -> DataFrame:
@@ -88,8 +93,8 @@ class Workspace:
         return self.state_nbr(self.centres).persist()
 
     def state_nbr(self, centres: DataFrame, k: int = CLUSTERS, queries: DataFrame | None = None) -> DataFrame:
-        queries = self.q if queries is None else queries
-        got = nearest(queries.select(F.col("query_id").alias("pos_id"), "x"), centres.select(F.col("cluster_id").alias("pos_id"), "x"), k)
+        queries = self.keys if queries is None else queries.select(F.col("query_id").alias("pos_id"), "x")
+        got = nearest(queries, centres.select(F.col("cluster_id").alias("pos_id"), "x"), k)
         return got.withColumnRenamed("entry_id", "cluster_id")
 
     @cached_property
@@ -132,3 +137,8 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """The workspace of a dataset, kept for the session's next queries."""
     ship(spark)
     return _workspace(spark.sparkContext.applicationId, sf_dir, spark)
+
+
+def forget() -> None:
+    """Start anew: later queries build their own workspaces."""
+    _workspace.cache_clear()

@@ -29,7 +29,7 @@ def append_counts(stream: DataFrame, proto: DataFrame, path: str, checkpoint: st
     """Each micro-batch adds its counts under its number; a batch run again replaces itself."""
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = assign_nearest(batch, proto).join(batch.select("pos_id", "y"), "pos_id")
+        rows = assign_nearest(batch, proto, ["y"])
         distribution(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -115,7 +115,7 @@ def test_both_retrieval_forms_and_the_block_join_agree(spark, monkeypatch):
     q = points(spark, [(rng.normal(size=4), 0) for _ in range(9)])
     want = sorted((r["query_id"], r["rank"], r["entry_id"], round(r["dist"], 9)) for r in nearest_expr(q, p, 5, 4).collect())
     assert sorted((r["query_id"], r["rank"], r["entry_id"], round(r["dist"], 9)) for r in nearest(q, p, 5).collect()) == want
-    monkeypatch.setattr(vectors, "BROADCAST_NUMBERS", 8)
+    monkeypatch.setattr(vectors, "BROADCAST_ROWS", 4)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 4)
     assert sorted((r["query_id"], r["rank"], r["entry_id"], round(r["dist"], 9)) for r in nearest(q, p, 5).collect()) == want
 
