@@ -42,7 +42,9 @@ SEED_WEIGHT = 3.0
 TARGET_FACTOR, NEGATED_FACTOR, REPORTED_FACTOR = 1.25, 0.4, 0.6
 #: Bound on the labelled rows a fit reads, and on the words and stems it learns.
 MAX_LABELLED, MAX_LEARNED = 8000, 4000
-STEMS = (4, 5, 6)
+#: Share of the toxic texts that a learned word or stem must explain beyond better ones.
+LEAST_EXPLAINED = 0.004
+STEMS = (4, 5, 6, 7, 8)
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:,|\n]+")
 
 
@@ -169,12 +171,7 @@ def induce(sample: DataFrame, most: int = MAX_LEARNED) -> tuple[dict[str, float]
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs[y] += 1
-                found = set()
-                for w in set(TOKEN.findall((text or "").lower())):
-                    if w[0].isalpha():
-                        found.add("w" + w)
-                        found.update("s" + w[:n] for n in STEMS if len(w) >= n)
-                for k in found:
+                for k in symbols_of(text or ""):
                     counts.setdefault(k, [0, 0])[y] += 1
         counts["#"] = docs
         keys = list(counts)
@@ -189,16 +186,66 @@ def induce(sample: DataFrame, most: int = MAX_LEARNED) -> tuple[dict[str, float]
     if not total[0]:
         return {}, {}
     prior = total[0] / (total[0] + total[1])
-    words, stems = {}, {}
+    found: dict[str, tuple[float, int]] = {}
     for r in rows:
         if r["k"] == "#":
             continue
         n = r["tox"] + r["non"]
         z = (r["tox"] - n * prior) / math.sqrt(n * prior * (1 - prior) + 1e-9)
         weight = math.log((r["tox"] + 0.05) / (total[0] + 0.1)) - math.log((r["non"] + 0.5) / (total[1] + 1))
-        if z >= 4.5 and weight >= 2.5 and r["tox"] >= 4 * r["non"] and len(words) + len(stems) < most:
-            (words if r["k"][0] == "w" else stems)[r["k"][1:]] = round(min(weight, 6.0), 4)
-    return words, stems
+        if z >= 5.2 and weight >= 2.5 and r["tox"] >= 4 * r["non"] and len(found) < most:
+            found[r["k"]] = (round(min(weight, 6.0), 4), r["non"])
+    chosen = explain(sample, found, max(1.5, LEAST_EXPLAINED * total[0]))
+    return {k[1:]: found[k][0] for k in chosen if k[0] == "w"}, {k[1:]: found[k][0] for k in chosen if k[0] == "s"}
+
+
+def symbols_of(text: str) -> set[str]:
+    """Candidate words and stems of a text."""
+    found = set()
+    for w in set(TOKEN.findall(text.lower())):
+        if w[0].isalpha():
+            found.add("w" + w)
+            found.update("s" + w[:n] for n in STEMS if len(w) >= n)
+    return found
+
+
+def explain(sample: DataFrame, candidates: dict[str, tuple[float, int]], least: float) -> list[str]:
+    """The candidates that explain toxic texts not yet explained by better ones.
+
+    A text counts one half for each candidate chosen in it. So words that go along with real insults,
+    as all words of a text with many labelled copies do, are left out.
+    """
+    keys = frozenset(candidates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sorted(symbols_of(t or "") & keys) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if y]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.string()))], names=["found"])
+
+    texts = sorted(r["found"] for r in sample.mapInArrow(run, "found array<string>").collect())  # MAX_LABELLED texts at most
+    holders: dict[str, list[int]] = {}
+    for i, own in enumerate(texts):
+        for k in own:
+            holders.setdefault(k, []).append(i)
+    rest = np.ones(len(texts))
+    at = {k: np.array(v) for k, v in holders.items()}
+    bound = {k: float(len(v)) for k, v in at.items()}
+    chosen: list[str] = []
+    while bound:
+        k = max(bound, key=lambda k: (bound[k], -candidates[k][1], len(k), k))
+        now = float(rest[at[k]].sum())
+        if now < least:
+            if bound[k] < least:
+                break
+            del bound[k]
+            continue
+        if now < bound[k] - 1e-9:  # weights only fall, so an old sum is a bound
+            bound[k] = now
+            continue
+        chosen.append(k)
+        rest[at[k]] *= 0.5
+        del bound[k]
+    return chosen
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_LABELLED) -> Grammar:
