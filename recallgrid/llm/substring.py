@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,9 +108,10 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_chunks(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """``(id, start, length, n, shared, first)``: the chunks that occur more than once.
+    """``(id, start, length, n, shared, first_id, first)``: the chunks that occur more than once.
 
-    ``shared``: some other row holds it; ``first``: this is its first occurrence (least id, start).
+    ``shared``: some other row holds it; ``first_id``: the least id holding it; ``first``: this is its
+    first occurrence (least id, start).
     Occurrences of a digest are pre-aggregated in each scan task before they meet.
     """
     chunks = scratch.table(chunk_rows(df, id_col, text_col), "chunks")
@@ -121,7 +122,7 @@ def repeated_chunks(df: DataFrame, id_col: str, text_col: str, scratch: Scratch)
         "repeated",
     )
     return chunks.join(groups, ["d1", "d2"]).select(
-        "id", "start", "length", "n", "shared", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start"))).alias("first")
+        "id", "start", "length", "n", "shared", "first_id", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start"))).alias("first")
     )
 
 
@@ -131,28 +132,35 @@ def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``n_shared``/``shared_bytes`` count chunks some other document holds too (the first holder
     included), ``n_dropped``/``dropped_bytes`` the occurrences that dedup removes (all but the
     first), ``n_passages``/``longest_passage`` runs of adjoining shared chunks, ``spans`` these runs
-    as (start, length) byte ranges, ``repeats`` whether any run has ``PASSAGE`` bytes. Null and
+    as (start, length) byte ranges, ``repeats`` whether any run has ``PASSAGE`` bytes, ``first_doc_ids`` the
+    least ids holding the chunks of such runs (a document that holds one first names itself). Null and
     empty texts have none. Rows repeating an id are read as one document (with equal texts:
     nothing is shared between them but the row's chunks count once more); empty tables give no rows.
     """
     scratch = Scratch(df.sparkSession)
     found = repeated_chunks(df, id_col, text_col, scratch)
-    spans = F.array_sort(F.collect_list(F.when(F.col("shared"), F.struct("start", F.col("length").cast("long").alias("length")))))
+    chunk = F.struct("start", F.col("length").cast("long").alias("length"), "first_id")
+    chunks = F.array_sort(F.collect_list(F.when(F.col("shared"), chunk)))
     per = found.groupBy("id").agg(
         F.count(F.when(F.col("shared"), 1)).alias("n_shared"),
         F.sum(F.when(F.col("shared"), F.col("length")).otherwise(0)).alias("shared_bytes"),
         F.sum(F.col("n") - F.col("first").cast("int")).alias("n_dropped"),
         F.sum((F.col("n") - F.col("first").cast("int")) * F.col("length")).alias("dropped_bytes"),
-        spans.alias("chunks"),
+        chunks.alias("chunks"),
     )
-    per = per.withColumn("spans", merged("chunks")).drop("chunks").withColumnRenamed("id", P + "id")
+    ranges = F.transform("chunks", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))
+    per = per.withColumn("spans", merged(ranges)).withColumn("long", F.filter("spans", lambda s: s["length"] >= PASSAGE))
+    inside = lambda c: F.exists("long", lambda s: (c["start"] >= s["start"]) & (c["start"] < s["start"] + s["length"]))
+    firsts = F.array_sort(F.array_distinct(F.transform(F.filter("chunks", inside), lambda c: c["first_id"])))
+    per = per.select(F.col("id").alias(P + "id"), "n_shared", "shared_bytes", "n_dropped", "dropped_bytes", "spans", firsts.alias("firsts"))
     ids = df.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes"))
     out = ids.groupBy("id").agg(F.max("n_bytes").alias("n_bytes")).join(per, F.col("id").eqNullSafe(F.col(P + "id")), "left")
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     out = out.select(
-        F.col("id").alias(id_col), "n_bytes", zero("n_shared"), zero("shared_bytes"), zero("n_dropped"), zero("dropped_bytes"), F.coalesce("spans", none).alias("spans")
-    )
+        F.col("id").alias(id_col), "n_bytes", zero("n_shared"), zero("shared_bytes"), zero("n_dropped"), zero("dropped_bytes"), F.coalesce("spans", none).alias("spans"),
+        F.coalesce("firsts", F.array().cast(T.ArrayType(df.schema[id_col].dataType))).alias("first_doc_ids"),
+    )
     longest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["length"])), F.lit(0)).cast("long")
     return out.withColumn("n_passages", F.size("spans").cast("long")).withColumn("longest_passage", longest).withColumn(
         "repeats", F.col("longest_passage") >= PASSAGE
@@ -164,7 +172,7 @@ def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 PASSAGE = 96
 
 
-def merged(col: str):
+def merged(ranges: Column) -> Column:
     """Adjoining (start, length) ranges of a sorted array as one."""
     empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
 
@@ -173,4 +181,4 @@ def merged(col: str):
         wider = F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), (F.try_element_at(acc, F.lit(-1))["length"] + s["length"]).alias("length"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(F.col(col), empty, step)
+    return F.aggregate(ranges, empty, step)

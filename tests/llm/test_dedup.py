@@ -220,6 +220,7 @@ def test_substring_report_matches_brute_force(spark):
     for r in got:
         spans = [(s["start"], s["length"]) for s in r["spans"]]
         assert spans == sorted(spans) and all(a + n < b for (a, n), (b, _) in zip(spans, spans[1:]))
+        assert bool(r["first_doc_ids"]) == r["repeats"] and all(f <= r["doc_id"] for f in r["first_doc_ids"])
         assert sum(n for _, n in spans) == r["shared_bytes"] and max([n for _, n in spans], default=0) == r["longest_passage"]
 
 
@@ -247,6 +248,7 @@ def test_substring_edge_rows(spark):
     got = {r["doc_id"]: r for r in substring.substring_report(df).collect()}
     assert len(got) == len({i for i, _, _ in edge.ROWS})
     assert got[9]["n_shared"] and got[10]["n_shared"] and got[9]["n_dropped"] == 0 and got[10]["n_dropped"] > 0
+    assert got[9]["first_doc_ids"] == [] and got[7]["first_doc_ids"] == []  # too short, and shared with none
     assert got[2]["n_bytes"] == 0 and got[7]["n_dropped"] > 1000
     assert substring.substring_report(df.limit(0)).count() == 0
 
