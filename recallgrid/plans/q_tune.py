@@ -11,7 +11,7 @@ from ..operators.vectors import nearest
 from ..schema import draw
 from .base_sql import knn_sql, lloyd_sql, softmax_sql, state_p_sql, with_base
 from .catalog import n, query, r
-from .workspace import CLUSTERS, GRID_ALPHA, GRID_K, GRID_TAU, RAW_ALPHA, RAW_TAU, STATE_ALPHA, STATE_GRID_K, STATE_TAU, STEPS, Workspace
+from .workspace import CLUSTERS, GRID_ALPHA, GRID_K, GRID_TAU, RAW_ALPHA, RAW_TAU, STATE_ALPHA, STATE_GRID_K, STATE_K, STATE_TAU, STEPS, Workspace
 
 _LCG = "((({0}) * 1103515245 + 12345) % 2147483648)"
 
@@ -190,6 +190,67 @@ def ablate_majority(w: Workspace) -> DataFrame:
     return read.raw_prob(w.state_w.join(top, "cluster_id"), w.truth).select("query_id", r("p"))
 
 
+# The compressed store built in other ways, read alike.
+_CONS = {
+    "kmeans": ("SELECT pos_id, y, cluster_id FROM asg", "SELECT cluster_id, x FROM proto", "count(*)::DOUBLE"),
+    "random": (f"SELECT pos_id, y, CAST(floor({_LCG.format('pos_id')} / 65536) AS BIGINT) % {CLUSTERS} AS cluster_id FROM ds", "", "count(*)::DOUBLE"),
+    "utility": ("SELECT pos_id, y, cluster_id FROM asg", "SELECT cluster_id, x FROM proto", "sum(-ln(p_lm + 1e-12) + 0.1)"),
+    "query_kmeans": (f"SELECT p.pos_id, p.y, arg_min(c.cluster_id, (list_distance(p.x, c.x), c.cluster_id)) AS cluster_id FROM ds p, kq{STEPS} c GROUP BY 1, 2", f"SELECT cluster_id, x FROM kq{STEPS}", "count(*)::DOUBLE"),
+}
+
+
+def _construction_sql(kind: str) -> tuple[list[tuple[str, str]], str]:
+    rows, proto, cnt = _CONS[kind]
+    k = f"k_{kind}"
+    if kind == "random":
+        proto = f"SELECT cluster_id, list(v ORDER BY i) AS x FROM (SELECT cluster_id, i, avg(v) AS v FROM (SELECT r.cluster_id, unnest(d.x) AS v, generate_subscripts(d.x, 1) AS i FROM r_random r JOIN ds d USING (pos_id)) GROUP BY 1, 2) GROUP BY 1"
+    ctes = [
+        (f"r_{kind}", rows), (f"x_{kind}", proto), (f"d{k}", f"SELECT cluster_id, y AS token, {cnt} AS cnt FROM r_{kind} JOIN plm USING (pos_id) GROUP BY 1, 2"),
+        (f"p{k}", f"SELECT c.cluster_id, c.x, coalesce(t.total, 0) AS total FROM x_{kind} c LEFT JOIN (SELECT cluster_id, sum(cnt) AS total FROM d{k} GROUP BY 1) t USING (cluster_id)"),
+        (f"n{k}", knn_sql("q", f"p{k}", STATE_K, "cluster_id", "cluster_id")), (f"w{k}", softmax_sql(f"n{k}", STATE_K, STATE_TAU)),
+    ]
+    return ctes, f"SELECT '{kind}' AS kind, round(avg(-ln({STATE_ALPHA} * s.p + (1 - {STATE_ALPHA}) * q.p_lm + 1e-12)), 6) AS val_nll FROM ({state_p_sql(f'w{k}', f'd{k}', f'p{k}')}) s JOIN q USING (query_id) WHERE q.split = 'val'"
+
+
+_CON = [_construction_sql(k) for k in _CONS]
+
+
+@query(with_base(" UNION ALL ".join(s for _, s in _CON), ("ctk", "SELECT * FROM pos WHERE split = 'ct'"), *lloyd_sql("kq", "ctk", CLUSTERS, STEPS), *(c for cs, _ in _CON for c in cs)))
+def constructions(w: Workspace) -> DataFrame:
+    """Loss of the store by k-means, random partition, utility weights and query-fitted k-means."""
+    utility = w.assigned.join(w.p_lm, "pos_id")
+    fitted = store.lloyd(w.pos.where("split = 'ct'"), CLUSTERS, STEPS)
+    rand = store.random_clusters(w.ds, CLUSTERS)
+    stores = {
+        "kmeans": (w.centres, w.dist),
+        "random": (store.means(rand, CLUSTERS, 64), store.distribution(rand)),
+        "utility": (w.centres, store.distribution(utility, -F.ln(F.col("p_lm") + 1e-12) + 0.1)),
+        "query_kmeans": (fitted, store.distribution(store.assign_nearest(w.ds, fitted, ["y"]))),
+    }
+    out, truth = None, w.truth.where("split = 'val'")
+    for kind, (centres, dist) in stores.items():
+        weights = read.first_k(w.state_nbr(centres, STATE_K), STATE_K, STATE_TAU)
+        probs = read.state_prob(weights, truth, dist, store.with_totals(centres, dist))
+        one = read.mix(probs, STATE_ALPHA).agg(F.lit(kind).alias("kind"), r(F.avg("nll")).alias("val_nll"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(with_base(f"""SELECT kind, count(*) AS n, round(avg(cnt), 6) AS mean_uses FROM (
+  SELECT 'frequency' AS kind, entry_id, cnt FROM (SELECT entry_id, count(*) AS cnt FROM nbr JOIN q USING (query_id) WHERE rank <= 10 AND split = 'ct' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40)
+  UNION ALL SELECT 'random', pos_id, coalesce(cnt, 0) FROM (SELECT pos_id FROM ds ORDER BY {_LCG.format('pos_id')}, pos_id LIMIT 40) LEFT JOIN (SELECT entry_id, count(*) AS cnt FROM nbr JOIN q USING (query_id) WHERE rank <= 10 AND split = 'ct' GROUP BY 1) u ON u.entry_id = pos_id
+  UNION ALL SELECT 'oracle', entry_id, cnt FROM (SELECT entry_id, count(*) AS cnt FROM nbr JOIN perq USING (query_id) WHERE rank <= 10 AND split = 'val' AND delta_l > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40)) GROUP BY kind"""))
+def fixed_budget_retention(w: Workspace) -> DataFrame:
+    """Forty entries kept at random, by use in tuning, or by use of the queries that lose (an upper bound)."""
+    uses = lambda ids: w.nbr.where("rank <= 10").join(ids, "query_id", "left_semi").groupBy("entry_id").agg(F.count(F.lit(1)).alias("cnt"))
+    tuned_uses = uses(w.truth.where("split = 'ct'").select("query_id"))
+    top = lambda d, kind: d.orderBy(F.col("cnt").desc(), "entry_id").limit(40).select(F.lit(kind).alias("kind"), "cnt")
+    rand = w.ds.select("pos_id").orderBy(draw(F.col("pos_id")), "pos_id").limit(40).withColumnRenamed("pos_id", "entry_id")
+    rows = top(tuned_uses, "frequency").unionByName(top(uses(w.val.where("delta_l > 0").select("query_id")), "oracle"))
+    rows = rows.unionByName(rand.join(tuned_uses, "entry_id", "left").select(F.lit("random").alias("kind"), F.coalesce("cnt", F.lit(0)).alias("cnt")))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r(F.avg("cnt")).alias("mean_uses"))
+
+
 # Raw entries under the compressed store's budget.
 _SEL = {
     "random": f"ORDER BY {_LCG.format('pos_id')}, pos_id",
