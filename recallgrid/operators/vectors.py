@@ -14,8 +14,10 @@ BROADCAST_ROWS = 8192
 BROADCAST_NUMBERS = 8_000_000
 #: Rows of a block when neither side is small.
 BLOCK_ROWS = 8192
-#: Candidates kept beyond k before distances are taken exactly.
+#: Candidates kept beyond k until ties are settled.
 SPARE = 8
+#: Squared distances below this share of the squared norm, and gaps below its square, are taken again exactly.
+NEAR = 1e-5
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -97,9 +99,14 @@ def _sums(df: DataFrame, read, key: str) -> DataFrame:
 
 def top_k(q: np.ndarray, ids: np.ndarray, m: np.ndarray, best: tuple[np.ndarray, np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge a block of entries into the best ``keep`` squared distances and ids of each query."""
-    d = np.maximum((q * q).sum(1)[:, None] - 2 * q @ m.T + (m * m).sum(1)[None, :], 0)
+    d = (-2 * q) @ m.T
+    d += (q * q).sum(1)[:, None]
+    d += (m * m).sum(1)[None, :]
+    if len(ids) > keep:  # the block alone is cut first: less to merge
+        at = np.argpartition(d, keep - 1, axis=1)[:, :keep]
+        d, ids = np.take_along_axis(d, at, 1), ids[at]
     d = np.concatenate([best[0], d], axis=1)
-    i = np.concatenate([best[1], np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
+    i = np.concatenate([best[1], np.broadcast_to(ids, (len(q), ids.shape[-1]))], axis=1)
     if d.shape[1] > keep:
         at = np.argpartition(d, keep - 1, axis=1)[:, :keep]
         d, i = np.take_along_axis(d, at, 1), np.take_along_axis(i, at, 1)
@@ -135,24 +142,43 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, q_id: str = "pos_id",
 
 
 def _ranked(qi: np.ndarray, qm: np.ndarray, blocks, k: int) -> Iterator[pa.RecordBatch]:
-    """Best k of a stream of entry blocks for each query, with exact distances."""
-    step, kept = 1024, {}
-    vectors: dict[int, np.ndarray] = {}
+    """Best k of a stream of entry blocks for each query, with exact distances.
+
+    Candidates are kept by expanded squared distances, a few beyond k; their vectors are kept too, so
+    that small distances and near ties are settled by plain differences.
+    """
+    step = 1024
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    own_ids, own = np.zeros(0, np.int64), np.zeros((0, qm.shape[1]))
     for ids, m in blocks:
         for a in range(0, len(qi), step):
-            best = kept.get(a, (np.zeros((len(qi[a : a + step]), 0)), np.zeros((len(qi[a : a + step]), 0), np.int64)))
-            kept[a] = top_k(qm[a : a + step], ids, m, best, k + SPARE)
-        live = np.unique(np.concatenate([v[1].ravel() for v in kept.values()])) if kept else []
-        at = {int(e): j for j, e in enumerate(ids.tolist())}
-        vectors = {int(e): vectors[int(e)] if int(e) in vectors else m[at[int(e)]] for e in live}
-    for a, (_, i) in kept.items():
-        for r in range(len(i)):
-            own = i[r]
-            d = np.sqrt(((np.array([vectors[int(e)] for e in own]) - qm[a + r]) ** 2).sum(1))
-            o = np.lexsort((own, d))[:k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(o), qi[a + r])), pa.array(own[o]), pa.array(d[o])], names=["query_id", "entry_id", "dist"]
-            )
+            q = qm[a : a + step]
+            best = kept.get(a, (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)))
+            kept[a] = top_k(q, ids, m, best, k + SPARE)
+        live = np.unique(np.concatenate([i.ravel() for _, i in kept.values()]))
+        own_ids, own = np.concatenate([own_ids, ids]), np.concatenate([own, m])
+        order = np.argsort(own_ids, kind="stable")
+        at = order[np.searchsorted(own_ids[order], live)]
+        own_ids, own = own_ids[at], own[at]
+    for a, (sq, i) in kept.items():
+        o = np.lexsort((i, sq), axis=1)
+        i, sq = np.take_along_axis(i, o, 1), np.take_along_axis(sq, o, 1)
+        q = qm[a : a + step]
+        # The expanded form is exact to about 1e-13 of the norms: only small distances and near ties need more.
+        scale = (q * q).sum(1)[:, None]
+        doubt = sq < NEAR * scale
+        tie = np.diff(sq, axis=1) < NEAR * NEAR * (sq[:, 1:] + scale)
+        doubt[:, 1:] |= tie
+        doubt[:, :-1] |= tie
+        r, c = np.nonzero(doubt)
+        for f in range(0, len(r), 65_536):
+            rf, cf = r[f : f + 65_536], c[f : f + 65_536]
+            sq[rf, cf] = ((own[np.searchsorted(own_ids, i[rf, cf])] - q[rf]) ** 2).sum(1)
+        d = np.sqrt(np.maximum(sq, 0))
+        o = np.lexsort((i, d), axis=1)[:, :k]
+        near, dist = np.take_along_axis(i, o, 1), np.take_along_axis(d, o, 1)
+        who = np.repeat(qi[a : a + step], near.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(near.ravel()), pa.array(dist.ravel())], names=["query_id", "entry_id", "dist"])
 
 
 def _block_join(q: DataFrame, s: DataFrame, k: int) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dot, interpolate, nll, nll_or_null, sq_dist
+from ..functions.scalar import dot, interpolate, nll_or_null, sq_dist
 from ..operators import read, store
 from ..operators.policy import retained_members
 from ..operators.ranking import with_rank
 from .base_sql import softmax_sql, state_p_sql, with_base
 from .catalog import n, query, r
-from .workspace import RAW_ALPHA, STATE_ALPHA, STATE_K, STATE_TAU, Workspace
+from .workspace import RAW_ALPHA, STATE_ALPHA, STATE_K, Workspace
 
 K, TAU, TAU_IN, BETA = 4, 0.1, 0.1, 5.0
 _S4 = ("s4", softmax_sql("snbr", K, TAU))
