@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, Scratch, add_columns, text_bytes
+from .common import P, Scratch, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, scratch_root, slices
+from .common import Scratch, slices
 
 LIMIT = 512
 
