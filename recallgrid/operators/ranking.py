@@ -19,25 +19,49 @@ def _range_of(x: Column, edges: list[float], low: int = 0, high: int | None = No
 
 
 def with_running_sum(
-    df: DataFrame, value: str, ids: list[str], size: Column, out: str, descending: bool = False, ranges: int = RANGES
+    df: DataFrame, value: str, ids: list[str], size: Column, out: str, descending: bool = False, ranges: int = RANGES, by: list[str] | None = None
 ) -> DataFrame:
     """Add the sum of ``size`` over rows up to and including each, in the order of value, then ids.
 
     Approximate quantiles cut the values into ranges; range totals give each range its start, and a
-    window runs inside a range only. The result doesn't depend on where the cuts fall.
+    window runs inside a range only. The result doesn't depend on where the cuts fall. With ``by`` the
+    sums run within each group.
     """
+    by = by or []
     edges = sorted(set(df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
     at = _range_of(F.col(value), edges)
     df = df.withColumn("_range", -at if descending else at).withColumn("_size", size)
-    totals = df.groupBy("_range").agg(F.sum("_size").alias("_total"))
-    start = F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("_range", F.coalesce(start, F.lit(0)).alias("_start"))  # as many rows as ranges
+    totals = df.groupBy(*by, "_range").agg(F.sum("_size").alias("_total"))
+    start = F.sum("_total").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*by, "_range", F.coalesce(start, F.lit(0)).alias("_start"))  # as many rows as ranges, for each group
     order = [F.col(value).desc() if descending else F.col(value).asc(), *ids]
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out_df = df.join(F.broadcast(totals), "_range").withColumn(out, F.col("_start") + F.sum("_size").over(within))
+    within = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals if by else F.broadcast(totals)
+    out_df = df.join(totals, [*by, "_range"]).withColumn(out, F.col("_start") + F.sum("_size").over(within))
     return out_df.drop("_range", "_size", "_start")
 
 
-def with_rank(df: DataFrame, value: str, ids: list[str], out: str = "rk", descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """Add the row's number in the order of value, then ids, counted over the whole table from 1."""
-    return with_running_sum(df, value, ids, F.lit(1).cast("long"), out, descending, ranges)
+def with_rank(
+    df: DataFrame, value: str, ids: list[str], out: str = "rk", descending: bool = False, ranges: int = RANGES, by: list[str] | None = None
+) -> DataFrame:
+    """Add the row's number in the order of value, then ids, counted over the whole table (or group) from 1."""
+    return with_running_sum(df, value, ids, F.lit(1).cast("long"), out, descending, ranges, by)
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """``(by..., q)``: exact quantiles with linear interpolation, nulls left out, as an array in the order of ``qs``.
+
+    Equal values are counted first, then ranked by ranges, so that neither a task nor an aggregation
+    buffer holds a whole column: the built-in exact percentile keeps every distinct value in one buffer.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = with_running_sum(counts, value, [], F.col("_n"), "_upto", ranges=ranges, by=by)
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    rows = upto.join(sizes, by) if by else upto.crossJoin(F.broadcast(sizes))
+    pos = [F.lit(q) * (F.col("_all") - 1) for q in qs]
+    has = lambda p: (p >= F.col("_upto") - F.col("_n")) & (p <= F.col("_upto") - 1)
+    ends = [F.max(F.when(has(e(p)), F.col(value))) for p in pos for e in (F.floor, F.ceil)]
+    got = rows.groupBy(*by).agg(F.max("_all").alias("_all"), *(c.alias(f"_e{i}") for i, c in enumerate(ends)))
+    mixed = [F.col(f"_e{2 * i}") + (p - F.floor(p)) * (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) for i, p in enumerate(pos)]
+    return got.select(*by, F.array(*mixed).alias("q"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import draw
-from .ranking import with_rank, with_running_sum
+from .ranking import exact_quantiles, with_rank, with_running_sum
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,14 +73,27 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def quantile_summary(df: DataFrame, x: Column, by: list[str] | None = None) -> DataFrame:
-    q = F.percentile(x, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95), F.lit(0.99)))
+    """n, mean, population deviation, median and upper quantiles, of each group."""
+    q = F.percentile(x, F.array(*(F.lit(v) for v in QUANTILES)))
     out = df.groupBy(*(by or [])).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), q.alias("q"))
     return out.select(*(by or []), "n", "mean", "std", *(F.col("q")[i].alias(c) for i, c in enumerate(("median", "p90", "p95", "p99"))))
 
 
+def quantile_summary_wide(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
+    """The same for whole tables: exact quantiles by ranges, no buffer of distinct values."""
+    by = by or []
+    plain = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    q = exact_quantiles(df.select(*by, x), x, list(QUANTILES), by)
+    out = plain.join(q, by, "left") if by else plain.crossJoin(F.broadcast(q))
+    return out.select(*by, "n", "mean", "std", *(F.col("q")[i].alias(c) for i, c in enumerate(("median", "p90", "p95", "p99"))))
+
+
+QUANTILES = (0.5, 0.9, 0.95, 0.99)
+
+
 def binned(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
-    """Means of y in bins of x between quantile edges, right-open, the last closed."""
-    edges = df.agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("e"))
+    """Means of y in bins of x between exact quantile edges, right-open, the last closed."""
+    edges = exact_quantiles(df.select(x), x, [i / bins for i in range(bins + 1)]).select(F.col("q").alias("e"))
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).crossJoin(F.broadcast(edges))
     at = sum((F.when(F.col("x") >= F.col("e")[i], 1).otherwise(0) for i in range(1, bins)), F.lit(0))
     return rows.withColumn("bin", at).groupBy("bin").agg(

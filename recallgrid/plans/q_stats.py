@@ -155,7 +155,7 @@ def quantiles(w: Workspace) -> DataFrame:
 @query(f"SELECT l_returnflag, {_QS.format(x='l_extendedprice')} FROM lineitem GROUP BY l_returnflag")
 def quantiles_lineitem(w: Workspace) -> DataFrame:
     """The same summary at table scale."""
-    got = stats.quantile_summary(w.table("lineitem"), F.col("l_extendedprice"), ["l_returnflag"])
+    got = stats.quantile_summary_wide(w.table("lineitem"), "l_extendedprice", ["l_returnflag"])
     return got.select("l_returnflag", "n", *(r(c) for c in ("mean", "std", "median", "p90", "p95", "p99")))
 
 
@@ -548,7 +548,7 @@ def distribution_metrics(w: Workspace) -> DataFrame:
 
 @query("SELECT event_type, " + _QS.format(x="value") + " FROM events GROUP BY event_type")
 def quantiles_events(w: Workspace) -> DataFrame:
-    got = stats.quantile_summary(w.table("events"), F.col("value"), ["event_type"])
+    got = stats.quantile_summary_wide(w.table("events"), "value", ["event_type"])
     return got.select("event_type", "n", *(r(c) for c in ("mean", "std", "median", "p90", "p95", "p99")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recallgrid.operators import store
-from recallgrid.operators.ranking import with_rank, with_running_sum
+from recallgrid.operators.ranking import exact_quantiles, with_rank, with_running_sum
 from recallgrid.schema import POSITIONS
 from recallgrid.sources import extract, ingest
 from recallgrid.sources.memo import memoised, signature_of
@@ -26,6 +26,19 @@ def test_ranks_equal_a_global_window(spark, ranges, descending):
     assert with_rank(df.limit(0), "x", ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 5, 64])
+def test_exact_quantiles_equal_numpy(spark, ranges):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 500), rng.integers(0, 60, 500) / 7)] + [(9, 1.5), (1, None)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    qs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r["g"]: r["q"] for r in exact_quantiles(df, "x", qs, ["g"], ranges).collect()}
+    for g in got:
+        assert got[g] == pytest.approx(np.quantile([v for h, v in rows if h == g and v is not None], qs).tolist())
+    whole = exact_quantiles(df, "x", qs, ranges=ranges).first()["q"]
+    assert whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], qs).tolist())
+
+
 def test_offsets_equal_a_global_window(spark):
     df = spark.createDataFrame([(i * 37 % 5000, i % 7) for i in range(400)], "doc_id long, n long").dropDuplicates(["doc_id"])
     w = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
