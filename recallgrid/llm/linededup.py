@@ -7,6 +7,8 @@
 3. A second scan sends just the keys the twice-seen filter suspects (with a 128-bit digest) to
    exact counting, which also picks the document that keeps the line. A full filter would only
    suspect more keys: results never depend on its size.
+4. Confirmed keys are broadcast if they are few, which is counted first, and lines go in a third scan.
+   Otherwise each document's keys are joined to it by id, which shuffles the texts once.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SEGMENTS = 4096
 #: At most so many bits of the twice-seen filter for each segment: 4096 * 8 KB = 32 MB.
 TWICE_BITS = 1 << 16
 PROBES = 4
+#: So many confirmed keys at most are broadcast (about 30 MB in a worker), and texts then stay where they are.
+BROADCAST_KEYS = 200_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -165,10 +169,10 @@ def suspected(narrow: DataFrame, dense, bits: int, least: int) -> DataFrame:
     return narrow.mapInArrow(run, T.StructType([narrow.schema["id"], T.StructField("key", T.BinaryType())]))
 
 
-def dropped_keys(
+def repeated_keys(
     df: DataFrame, id_col: str, text_col: str, least: int, min_docs: int, scratch: Scratch
-) -> DataFrame:
-    """``(id, keys)``: the repeated keys whose lines that document loses."""
+) -> tuple[DataFrame, DataFrame]:
+    """``(id, key)`` of suspected keys, and ``(key, last)`` of those that are repeated."""
     spark = df.sparkSession
     narrow = df.select(text_bytes(text_col).alias("t"), F.col(f"`{id_col}`").alias("id"))
     hashes = scratch.table(key_hashes(narrow, least), "hashes")
@@ -181,12 +185,7 @@ def dropped_keys(
         found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).drop("n"),
         "repeated",
     )
-    return (
-        found.join(repeated, "key")
-        .where(~F.col("id").eqNullSafe(F.col("last")))
-        .groupBy("id")
-        .agg(F.collect_list("key").alias("keys"))
-    )
+    return found, repeated
 
 
 def dedup_lines(
@@ -206,34 +205,46 @@ def dedup_lines(
     a null id are together one document that is never the largest. Empty tables give no rows. The
     names of the two counts are parameters, so that columns of such names can stay.
     """
-    scratch = Scratch(df.sparkSession)
-    gone = dropped_keys(df, id_col, text_col, min_chars, min_docs, scratch).select(
-        F.col("id").alias(P + "id"), F.col("keys").alias(P + "keys")
-    )
-    both = df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(P + "id")), "left").drop(P + "id")
-    names, at, kat = df.columns, df.columns.index(text_col), len(df.columns)
+    spark = df.sparkSession
+    scratch = Scratch(spark)
+    found, repeated = repeated_keys(df, id_col, text_col, min_chars, min_docs, scratch)
+    names, at, iat, kat = df.columns, df.columns.index(text_col), df.columns.index(id_col), len(df.columns)
+    shared, rows = None, df
+    if repeated.count() <= BROADCAST_KEYS:
+        few = repeated.toArrow()
+        shared = spark.sparkContext.broadcast(dict(zip(few["key"].to_pylist(), few["last"].to_pylist())))
+    else:
+        gone = found.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_list("key").alias("keys"))
+        gone = gone.select(F.col("id").alias(P + "id"), F.col("keys").alias(P + "keys"))
+        rows = df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(P + "id")), "left").drop(P + "id")
     fields = [*df.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())]
     schema = T.StructType([T.StructField(text_col, T.StringType()) if i == at else f for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
+        last = shared.value if shared else {}
         for batch in batches:
             texts, counts, drops = [], [], []
-            for text, keys in zip(batch.column(at).to_pylist(), batch.column(kat).to_pylist()):
+            own = batch.column(iat).to_pylist() if shared else batch.column(kat).to_pylist()
+            for text, mine in zip(batch.column(at).to_pylist(), own):
                 lines = (text or "").split("\n")
                 kept = lines
-                if keys:
-                    gone_here, kept = set(keys), []
+                gone_here = last if shared else set(mine or ())
+                if gone_here:
+                    kept = []
                     for line in lines:
                         key = line_key(line.encode())
-                        if not (long_enough(key, min_chars) and blake2b(key, digest_size=16).digest() in gone_here):
-                            kept.append(line)
-                texts.append("\n".join(kept) if keys else text or "")
+                        if long_enough(key, min_chars):
+                            digest = blake2b(key, digest_size=16).digest()
+                            if digest in gone_here and not (shared and last[digest] == mine):
+                                continue
+                        kept.append(line)
+                texts.append("\n".join(kept) if len(kept) < len(lines) else text or "")
                 counts.append(len(lines))
                 drops.append(len(lines) - len(kept))
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(kat)]
             cols += [pa.array(counts, pa.int64()), pa.array(drops, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, n_lines, n_dropped])
 
-    return both.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

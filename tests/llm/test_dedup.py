@@ -127,8 +127,12 @@ def slow_lines(rows, least=20, docs=3):
     return key(out)
 
 
-def test_line_dedup_matches_brute_force(spark):
+def test_line_dedup_matches_brute_force(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
+    want = slow_lines(edge.texts(spark, SF))
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", -1)
+    assert key((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(df).collect()) == want
+    monkeypatch.undo()
     got = key((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(df).collect())
     assert got == slow_lines(edge.texts(spark, SF))
 
@@ -141,6 +145,8 @@ def test_line_dedup_edge_rows_and_a_full_filter(spark, monkeypatch):
     assert sum(x[3] for x in want) > 0
     monkeypatch.setattr(linededup, "TWICE_BITS", 64)
     assert run() == want
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", -1)
+    assert run() == want
     out = linededup.dedup_lines(df)
     assert out.columns == [*df.columns, "n_lines", "n_dropped"]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
