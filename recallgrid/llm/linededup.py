@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, Scratch, text_bytes
+from .common import P, Scratch, slices, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -29,6 +29,8 @@ SEGMENTS = 4096
 #: At most so many bits of the twice-seen filter for each segment: 4096 * 8 KB = 32 MB.
 TWICE_BITS = 1 << 16
 PROBES = 4
+#: Bytes of text that a worker has in hand at a time, a longer single text aside.
+SLICE = 4 << 20
 #: So many confirmed keys at most are broadcast (about 30 MB in a worker), and texts then stay where they are.
 BROADCAST_KEYS = 200_000
 
@@ -86,7 +88,7 @@ def key_hashes(narrow: DataFrame, least: int) -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         seen: dict[int, bool] = {}
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 0, SLICE)):
             out: list[int] = []
             for text in batch.column(0).to_pylist():
                 for h in map(xxh3_64_intdigest, doc_keys(text, least)):
@@ -97,7 +99,7 @@ def key_hashes(narrow: DataFrame, least: int) -> DataFrame:
                     elif more:
                         seen[h] = False
                         out.append(h)
-            if len(seen) > 2_000_000:  # bounded; a hash then may come again, which is harmless
+            if len(seen) > 500_000:  # bounded; a hash then may come again, which is harmless
                 seen.clear()
             hashes = np.array(out, np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -152,7 +154,7 @@ def suspected(narrow: DataFrame, dense, bits: int, least: int) -> DataFrame:
 
         filt = Blooms(0, bits)
         filt.data = dense.value
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 0, SLICE)):
             owner: list[int] = []
             keys: list[bytes] = []
             for i, text in enumerate(batch.column(0).to_pylist()):
@@ -224,7 +226,7 @@ def dedup_lines(
         from hashlib import blake2b
 
         last = shared.value if shared else {}
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at, SLICE)):
             texts, counts, drops = [], [], []
             own = batch.column(iat).to_pylist() if shared else batch.column(kat).to_pylist()
             for text, mine in zip(batch.column(at).to_pylist(), own):
