@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .common import P, Scratch, add_columns
 from .components import connected_components
+from .jaccard import classify_similar, with_set_print
 
 RADIUS = 3
 SHINGLE = 3
@@ -224,16 +225,25 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None
+) -> DataFrame:
     """One row of each component stays, whole: the one with the least id (of repeats, any one).
 
+    Links are fingerprints within ``radius`` bits; with ``similarity`` (0.8 or more), texts whose sets of word shingles have
+    that Jaccard similarity at least (``jaccard.py``), and ``radius`` isn't read.
     Texts are shuffled once, by id: the semi join and the removal of repeats share that partitioning.
     Rows without an id stay only where their whole component has none, one for each such component.
     """
-    marked, of_print = classify(df, id_col, text_col)
+    if similarity is None:
+        marked, of_print = classify(df, id_col, text_col, radius, shingle)
+        stamp = with_fingerprint
+    else:
+        marked, of_print = classify_similar(df, id_col, text_col, similarity, shingle)
+        stamp = with_set_print
     own = F.col(f"`{id_col}`")
     keep = marked.join(of_print, P + "fp").where(F.col("id") == F.col(P + "component")).select(F.col("id").alias(P + "keep"))
     kept = df.where(own.isNotNull()).join(keep, own == F.col(P + "keep"), "left_semi").dropDuplicates([id_col])
     nameless = of_print.where(F.col(P + "component").isNull()).select(P + "fp", P + "root")
-    rest = with_fingerprint(df.where(own.isNull()), text_col, P + "fp").join(nameless, P + "fp").dropDuplicates([P + "root"])
+    rest = stamp(df.where(own.isNull()), text_col, P + "fp", shingle).join(nameless, P + "fp").dropDuplicates([P + "root"])
     return kept.unionByName(rest.select(*(f"`{c}`" for c in df.columns)))
