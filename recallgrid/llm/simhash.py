@@ -232,7 +232,8 @@ def drop_near_duplicates(
 
     Links are fingerprints within ``radius`` bits; with ``similarity`` (0.8 or more), texts whose sets of word shingles have
     that Jaccard similarity at least (``jaccard.py``), and ``radius`` isn't read.
-    Texts are shuffled once, by id: the semi join and the removal of repeats share that partitioning.
+    Rows that share an id but not the text go or stay by their own component.
+    Texts are shuffled once, by id and fingerprint: the semi join and the removal of repeats share that partitioning.
     Rows without an id stay only where their whole component has none, one for each such component.
     """
     if similarity is None:
@@ -242,8 +243,11 @@ def drop_near_duplicates(
         marked, of_print = classify_similar(df, id_col, text_col, similarity, shingle)
         stamp = with_set_print
     own = F.col(f"`{id_col}`")
-    keep = marked.join(of_print, P + "fp").where(F.col("id") == F.col(P + "component")).select(F.col("id").alias(P + "keep"))
-    kept = df.where(own.isNotNull()).join(keep, own == F.col(P + "keep"), "left_semi").dropDuplicates([id_col])
+    keep = marked.join(of_print, P + "fp").where(F.col("id") == F.col(P + "component"))
+    keep = keep.groupBy(P + "root").agg(F.min(P + "fp").alias(P + "fp"), F.min("id").alias(P + "keep"))
+    named = stamp(df.where(own.isNotNull()), text_col, P + "fp", shingle).alias("d")
+    same = (own == F.col(P + "keep")) & (F.col(f"d.{P}fp") == F.col(f"k.{P}fp"))
+    kept = named.join(keep.alias("k"), same, "left_semi").dropDuplicates([id_col, P + "fp"]).drop(P + "fp")
     nameless = of_print.where(F.col(P + "component").isNull()).select(P + "fp", P + "root")
     rest = stamp(df.where(own.isNull()), text_col, P + "fp", shingle).join(nameless, P + "fp").dropDuplicates([P + "root"])
     return kept.unionByName(rest.select(*(f"`{c}`" for c in df.columns)))

@@ -61,3 +61,16 @@ def test_near_dedup_on_awkward_rows(spark):
     assert sorted(i for i in ids if i is not None) == sorted(min(g) for g in named if g)
     assert ids.count(None) == sum(not g for g in named)
     assert pipe.near_dedup(spark, df.limit(0), SF).count() == 0
+
+
+def test_rows_sharing_an_id_stay_by_their_own_component(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, texts[0], "a"), (2, texts[0], "a"), (2, texts[1], "a"), (2, texts[1], "b"), (3, texts[1], "a"), (3, texts[2], "a")]
+    want = [(1, texts[0]), (2, texts[1]), (3, texts[2])]
+    for given in ({}, {"shingle": 5, "similarity": 0.8}):
+        for order in (rows, rows[::-1]):
+            got = simhash.drop_near_duplicates(edge.table(spark, order).coalesce(1), **given)
+            assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == want
+    both = [(1, texts[0], "a"), (1, texts[1], "a"), (1, texts[1], "b")]
+    got = simhash.drop_near_duplicates(edge.table(spark, both), shingle=5, similarity=0.8)
+    assert sorted(r["text"] for r in got.collect()) == sorted(texts[:2])
