@@ -66,13 +66,13 @@ def cuts(text: bytes, least: int = LEAST, most: int = MOST, mask: int = MASK) ->
 
 
 def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, d1, d2, start, length, n)`` for each distinct chunk of each row: its first place and how often.
+    """``(id, d1, d2, starts, length)`` for each distinct chunk of each row: all its places, ascending.
 
     Chunks below the least length, which only a text's end can be, are never duplicates and left out.
     """
     schema = T.StructType([
         T.StructField("id", df.schema[id_col].dataType), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
-        T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("n", T.IntegerType()),
+        T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("length", T.IntegerType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,58 +80,58 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
-                owner, digests, start, length, count = [], [], [], [], []
+                owner, digests, starts, length = [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    seen: dict[bytes, list[int]] = {}
+                    seen: dict[bytes, tuple[int, list[int]]] = {}
                     at = 0
                     for end in cuts(text):
                         if end - at >= LEAST:
                             d = xxh3_128_digest(text[at:end])
                             if d in seen:
-                                seen[d][2] += 1
+                                seen[d][1].append(at)
                             else:
-                                seen[d] = [at, end - at, 1]
+                                seen[d] = (end - at, [at])
                         at = end
                     owner += [i] * len(seen)
                     digests += seen
-                    for a, b, c in seen.values():
-                        start.append(a)
-                        length.append(b)
-                        count.append(c)
+                    for a, b in seen.values():
+                        length.append(a)
+                        starts.append(b)
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner, pa.int64())), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int32()), pa.array(count, pa.int32())], names=schema.names,
+                    [part.column(0).take(pa.array(owner, pa.int64())), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(starts, pa.list_(pa.int32())),
+                     pa.array(length, pa.int32())], names=schema.names,
                 )
 
     return df.select(F.col(f"`{id_col}`").alias("id"), text_bytes(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def repeated_chunks(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """``(id, start, length, n, shared, first_id, first)``: the chunks that occur more than once.
+    """``(id, starts, length, shared, first_id, first)``: the chunks that occur more than once.
 
-    ``shared``: some other row holds it; ``first_id``: the least id holding it; ``first``: this is its
-    first occurrence (least id, start).
+    ``shared``: some other row holds it; ``first_id``: the least id holding it; ``first``: ``starts`` begins
+    with its first occurrence (least id, start).
     Occurrences of a digest are pre-aggregated in each scan task before they meet.
     """
     chunks = scratch.table(chunk_rows(df, id_col, text_col), "chunks")
-    owner = F.struct(F.col("id").isNull().alias("nul"), "id", "start")
-    groups = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"), F.min(owner).alias("o"))
+    lead = F.element_at("starts", 1)
+    owner = F.struct(F.col("id").isNull().alias("nul"), "id", lead.alias("start"))
+    groups = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("starts")).alias("all"), F.min(owner).alias("o"))
     groups = scratch.table(
         groups.where("all > 1").select("d1", "d2", (F.col("rows") > 1).alias("shared"), F.col("o.id").alias("first_id"), F.col("o.start").alias("first_start")),
         "repeated",
     )
     return chunks.join(groups, ["d1", "d2"]).select(
-        "id", "start", "length", "n", "shared", "first_id", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("start") == F.col("first_start"))).alias("first")
+        "id", "starts", "length", "shared", "first_id", (F.col("id").eqNullSafe(F.col("first_id")) & (lead == F.col("first_start"))).alias("first")
     )
 
 
 def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per id: bytes, repeated chunks and the passages they make.
 
-    ``n_shared``/``shared_bytes`` count chunks some other document holds too (the first holder
-    included), ``n_dropped``/``dropped_bytes`` the occurrences that dedup removes (all but the
-    first), ``n_passages``/``longest_passage`` runs of adjoining shared chunks, ``spans`` these runs
+    ``n_shared`` counts distinct chunks some other document holds too (the first holder
+    included), ``shared_bytes`` the bytes at all their places, ``n_dropped``/``dropped_bytes`` the occurrences that dedup removes (all but the
+    first) and ``dropped_spans`` where they are, ``n_passages``/``longest_passage`` runs of adjoining shared chunks, ``spans`` these runs
     as (start, length) byte ranges, ``repeats`` whether any run has ``PASSAGE`` bytes, ``first_doc_ids`` the
     least ids holding the chunks of such runs (a document that holds one first names itself). Null and
     empty texts have none. Rows repeating an id are read as one document (with equal texts:
@@ -139,27 +139,30 @@ def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(df.sparkSession)
     found = repeated_chunks(df, id_col, text_col, scratch)
-    chunk = F.struct("start", F.col("length").cast("long").alias("length"), "first_id")
-    chunks = F.array_sort(F.collect_list(F.when(F.col("shared"), chunk)))
+    place = lambda s: (s.cast("long").alias("start"), F.col("length").cast("long").alias("length"))
+    chunks = F.array_sort(F.flatten(F.collect_list(F.when(F.col("shared"), F.transform("starts", lambda s: F.struct(*place(s), "first_id"))))))
+    n, first = F.size("starts"), F.col("first").cast("int")
+    gone = F.array_sort(F.flatten(F.collect_list(F.transform(F.slice("starts", first + 1, n), lambda s: F.struct(*place(s))))))
     per = found.groupBy("id").agg(
         F.count(F.when(F.col("shared"), 1)).alias("n_shared"),
-        F.sum(F.when(F.col("shared"), F.col("length")).otherwise(0)).alias("shared_bytes"),
-        F.sum(F.col("n") - F.col("first").cast("int")).alias("n_dropped"),
-        F.sum((F.col("n") - F.col("first").cast("int")) * F.col("length")).alias("dropped_bytes"),
+        F.sum(F.when(F.col("shared"), F.col("length") * n).otherwise(0)).alias("shared_bytes"),
+        F.sum(n - first).alias("n_dropped"),
+        F.sum((n - first) * F.col("length")).alias("dropped_bytes"),
         chunks.alias("chunks"),
+        gone.alias("gone"),
     )
     ranges = F.transform("chunks", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))
-    per = per.withColumn("spans", merged(ranges)).withColumn("long", F.filter("spans", lambda s: s["length"] >= PASSAGE))
+    per = per.withColumn("ranges", ranges).withColumn("spans", merged(F.col("ranges"))).withColumn("long", F.filter("spans", lambda s: s["length"] >= PASSAGE))
     inside = lambda c: F.exists("long", lambda s: (c["start"] >= s["start"]) & (c["start"] < s["start"] + s["length"]))
     firsts = F.array_sort(F.array_distinct(F.transform(F.filter("chunks", inside), lambda c: c["first_id"])))
-    per = per.select(F.col("id").alias(P + "id"), "n_shared", "shared_bytes", "n_dropped", "dropped_bytes", "spans", firsts.alias("firsts"))
+    per = per.select(F.col("id").alias(P + "id"), "n_shared", "shared_bytes", "n_dropped", "dropped_bytes", "spans", firsts.alias("firsts"), merged(F.col("gone")).alias("dropped"))
     ids = df.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes"))
     out = ids.groupBy("id").agg(F.max("n_bytes").alias("n_bytes")).join(per, F.col("id").eqNullSafe(F.col(P + "id")), "left")
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     out = out.select(
         F.col("id").alias(id_col), "n_bytes", zero("n_shared"), zero("shared_bytes"), zero("n_dropped"), zero("dropped_bytes"), F.coalesce("spans", none).alias("spans"),
-        F.coalesce("firsts", F.array().cast(T.ArrayType(df.schema[id_col].dataType))).alias("first_doc_ids"),
+        F.coalesce("firsts", F.array().cast(T.ArrayType(df.schema[id_col].dataType))).alias("first_doc_ids"), F.coalesce("dropped", none).alias("dropped_spans"),
     )
     longest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["length"])), F.lit(0)).cast("long")
     return out.withColumn("n_passages", F.size("spans").cast("long")).withColumn("longest_passage", longest).withColumn(
@@ -174,11 +177,7 @@ PASSAGE = 96
 
 def merged(ranges: Column) -> Column:
     """Adjoining (start, length) ranges of a sorted array as one."""
-    empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
-
-    def step(acc, s):
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["start"] + F.try_element_at(acc, F.lit(-1))["length"] == s["start"])
-        wider = F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), (F.try_element_at(acc, F.lit(-1))["length"] + s["length"]).alias("length"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(ranges, empty, step)
+    end = lambda c: c["start"] + c["length"]
+    opens = F.filter(ranges, lambda c, i: (i == 0) | (end(F.get(ranges, i - 1)) != c["start"]))
+    closes = F.filter(ranges, lambda c, i: (i == F.size(ranges) - 1) | (F.get(ranges, i + 1)["start"] != end(c)))
+    return F.zip_with(opens, closes, lambda a, b: F.struct(a["start"].alias("start"), (end(b) - a["start"]).alias("length")))
