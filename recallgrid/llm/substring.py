@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from .common import P, Scratch, slices, text_bytes
 
-#: Least and most bytes of a chunk, and the mask that makes a cut likely once in 32 bytes beyond the least.
-LEAST, MOST, MASK = 32, 96, 0xF800
+#: Least and most bytes of a chunk, and the mask that makes a cut likely once in 16 bytes beyond the least: short, so that
+#: chunks of a passage meet again soon after its edges.
+LEAST, MOST, MASK = 16, 64, 0xF000
 #: The gear table: 256 fixed pseudo-random 16-bit numbers.
 GEAR = np.random.RandomState(20240229).randint(0, 1 << 16, 256).astype(np.uint16)
 
@@ -113,7 +114,7 @@ def repeated_chunks(df: DataFrame, id_col: str, text_col: str, scratch: Scratch)
     with its first occurrence (least id, start).
     Occurrences of a digest are pre-aggregated in each scan task before they meet.
     """
-    chunks = scratch.table(chunk_rows(df, id_col, text_col), "chunks")
+    chunks = chunk_rows(df, id_col, text_col)  # cut twice from the texts: written, they would be most of the disk
     lead = F.element_at("starts", 1)
     owner = F.struct(F.col("id").isNull().alias("nul"), "id", lead.alias("start"))
     groups = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("starts")).alias("all"), F.min(owner).alias("o"))
@@ -171,7 +172,7 @@ def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 #: Bytes of adjoining shared chunks that make a document one with a repeated passage: what is left
-#: of about 50 words when up to one chunk at either edge is lost.
+#: of about 50 words when the chunks at either edge are lost (usually one or two, of 30 bytes on average).
 PASSAGE = 96
 
 
