@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .vectors import matrix
+from .vectors import NEAR, matrix
 
 STEP = 1024
 
@@ -31,7 +31,8 @@ def cluster_neighbours(rows: DataFrame, k: int) -> DataFrame:
             d = _pairs(x, a)
             d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
             for i in range(len(d)):
-                near = np.argsort(d[i], kind="stable")[: k + 4]
+                edge = np.partition(d[i], k - 1)[k - 1] if k < len(ids) else np.inf
+                near = np.flatnonzero(d[i] <= edge + NEAR * NEAR * (edge + (x[a + i] ** 2).sum()))  # all that may tie with the last
                 near = near[near != a + i]
                 exact = np.sqrt(((x[near] - x[a + i]) ** 2).sum(1))
                 near = near[np.lexsort((ids[near], exact))][:k]

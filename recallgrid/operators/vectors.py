@@ -16,7 +16,7 @@ BROADCAST_NUMBERS = 8_000_000
 BLOCK_ROWS = 8192
 #: Candidates kept beyond k until ties are settled.
 SPARE = 8
-#: Squared distances below this share of the squared norm, and gaps below its square, are taken again exactly.
+#: Gaps between squared distances below the square of this share of the squared norms are settled by exact distances.
 NEAR = 1e-5
 
 
@@ -97,20 +97,47 @@ def _sums(df: DataFrame, read, key: str) -> DataFrame:
     return vecs.select(F.col("k").alias(key), F.col("a")[0].cast("long").alias("n"), F.col("a")[1].alias("total"), F.slice("a", F.lit(3), F.size("a") - 2).alias("s"))
 
 
-def top_k(q: np.ndarray, ids: np.ndarray, m: np.ndarray, best: tuple[np.ndarray, np.ndarray], keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge a block of entries into the best ``keep`` squared distances and ids of each query."""
+def top_k(
+    q: np.ndarray, ids: np.ndarray, m: np.ndarray, best: tuple[np.ndarray, np.ndarray], keep: int, own: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Merge a block of entries into the best ``keep`` squared distances and ids of each query.
+
+    ``own``: ascending ids, and vectors, of the entries in ``best``. Where more entries than fit lie at the edge, exact
+    distances and then ids choose among them.
+    """
+    scale = (q * q).sum(1)
     d = (-2 * q) @ m.T
-    d += (q * q).sum(1)[:, None]
+    d += scale[:, None]
     d += (m * m).sum(1)[None, :]
-    if len(ids) > keep:  # the block alone is cut first: less to merge
-        at = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-        d, ids = np.take_along_axis(d, at, 1), ids[at]
-    d = np.concatenate([best[0], d], axis=1)
-    i = np.concatenate([best[1], np.broadcast_to(ids, (len(q), ids.shape[-1]))], axis=1)
-    if d.shape[1] > keep:
-        at = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-        d, i = np.take_along_axis(d, at, 1), np.take_along_axis(i, at, 1)
-    return d, i
+    i = np.broadcast_to(ids, d.shape)
+    d, i = _cut(d, i, keep, scale, lambda r, c: ((m[c] - q[r]) ** 2).sum(1))  # the block alone is cut first: less to merge
+    d, i = np.concatenate([best[0], d], axis=1), np.concatenate([best[1], i], axis=1)
+    if d.shape[1] <= keep:
+        return d, i
+    all_ids, vectors = (ids, m) if own is None else (np.concatenate([own[0], ids]), np.concatenate([own[1], m]))
+    order = np.argsort(all_ids, kind="stable")
+    find = lambda want: order[np.searchsorted(all_ids, want, sorter=order)]
+    return _cut(d, i, keep, scale, lambda r, c: ((vectors[find(i[r, c])] - q[r]) ** 2).sum(1))
+
+
+def _cut(d: np.ndarray, i: np.ndarray, keep: int, scale: np.ndarray, exact) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` least of each row; ``exact(row, columns)`` settles rows where others lie within rounding of the last."""
+    if d.shape[1] <= keep:
+        return d, i
+    at = np.argpartition(d, keep, axis=1)[:, : keep + 1]
+    after = np.take_along_axis(d, at[:, keep:], 1)[:, 0]
+    at = at[:, :keep]
+    edge = np.take_along_axis(d, at, 1).max(1)
+    margin = NEAR * NEAR * (np.abs(edge) + scale)
+    for r in np.flatnonzero(after <= edge + margin):
+        c = np.flatnonzero(d[r] <= edge[r] + margin[r])
+        sq = d[r, c]
+        tied = sq >= edge[r] - margin[r]
+        inside = c[~tied]
+        c = c[tied]
+        o = np.lexsort((i[r, c], exact(r, c)))[: keep - len(inside)]
+        at[r] = np.concatenate([inside, c[o]])
+    return np.take_along_axis(d, at, 1), np.take_along_axis(i, at, 1)
 
 
 def nearest(queries: DataFrame, store: DataFrame, k: int, q_id: str = "pos_id", s_id: str = "pos_id", x: str = "x") -> DataFrame:
@@ -144,8 +171,8 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, q_id: str = "pos_id",
 def _ranked(qi: np.ndarray, qm: np.ndarray, blocks, k: int) -> Iterator[pa.RecordBatch]:
     """Best k of a stream of entry blocks for each query, with exact distances.
 
-    Candidates are kept by expanded squared distances, a few beyond k; their vectors are kept too, so
-    that small distances and near ties are settled by plain differences.
+    Candidates are kept by expanded squared distances, a few beyond k, ties at the edge by plain differences
+    and ids; their vectors are kept too, and all returned distances are plain differences.
     """
     step = 1024
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -154,7 +181,7 @@ def _ranked(qi: np.ndarray, qm: np.ndarray, blocks, k: int) -> Iterator[pa.Recor
         for a in range(0, len(qi), step):
             q = qm[a : a + step]
             best = kept.get(a, (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)))
-            kept[a] = top_k(q, ids, m, best, k + SPARE)
+            kept[a] = top_k(q, ids, m, best, k + SPARE, (own_ids, own))
         live = np.unique(np.concatenate([i.ravel() for _, i in kept.values()]))
         own_ids, own = np.concatenate([own_ids, ids]), np.concatenate([own, m])
         order = np.argsort(own_ids, kind="stable")
@@ -164,13 +191,8 @@ def _ranked(qi: np.ndarray, qm: np.ndarray, blocks, k: int) -> Iterator[pa.Recor
         o = np.lexsort((i, sq), axis=1)
         i, sq = np.take_along_axis(i, o, 1), np.take_along_axis(sq, o, 1)
         q = qm[a : a + step]
-        # The expanded form is exact to about 1e-13 of the norms: only small distances and near ties need more.
-        scale = (q * q).sum(1)[:, None]
-        doubt = sq < NEAR * scale
-        tie = np.diff(sq, axis=1) < NEAR * NEAR * (sq[:, 1:] + scale)
-        doubt[:, 1:] |= tie
-        doubt[:, :-1] |= tie
-        r, c = np.nonzero(doubt)
+        # Tasks meet in an order by distance and id: equal distances must be equal numbers in all of them.
+        r, c = (x.ravel() for x in np.indices(sq.shape))
         for f in range(0, len(r), 65_536):
             rf, cf = r[f : f + 65_536], c[f : f + 65_536]
             sq[rf, cf] = ((own[np.searchsorted(own_ids, i[rf, cf])] - q[rf]) ** 2).sum(1)
