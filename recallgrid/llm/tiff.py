@@ -1,8 +1,10 @@
 """TIFF pages as rows: image directories are walked, strips or tiles decoded, predictors undone.
 
-Reads classic and big TIFF in either byte order; no compression, PackBits, LZW and deflate; 8, 16
-and 32 bit samples, chunky or planar; horizontal prediction. The writer makes what the tests and
-the text payloads need: 8 and 16 bit chunky pages in strips or tiles with any of those codings.
+Reads classic and big TIFF in either byte order; no compression, PackBits, LZW and deflate; 1, 8, 16,
+32 and 64 bit samples (32 and 64 bit floats too), chunky or planar; horizontal and floating-point
+prediction. Every tag is validated before memory is taken for it, so a damaged or hostile file costs
+its own row an error and nothing else. The writer makes what the tests and the text payloads need:
+chunky pages in strips or tiles with any of those codings.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: Tag numbers of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 262, 273, 277
 ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 278, 279, 284, 317, 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 #: Bytes of the field types.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 INT_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+#: Default bound on the decoded bytes of a page, and of a strip or tile: a parameter of ``tiff_pages``.
 MAX_PAGE = 1 << 30
+#: No coding here makes more bytes than this of one stored byte (LZW, which comes closest, under 2,731).
+MOST_OF_A_BYTE = 4096
 
 
 class TiffError(ValueError):
@@ -190,31 +196,40 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
                 size = TYPE_SIZE.get(kind, 0) * values
                 if size > inline:
                     where = struct.unpack_from(order + head, data, where)[0]
-                if kind in INT_CODE and where + size <= len(data):
+                if kind in INT_CODE and 0 <= where and where + size <= len(data):
                     tags[tag] = list(struct.unpack_from(f"{order}{values}{INT_CODE[kind]}", data, where))
                 at += step + inline
             yield order, tags
             at = struct.unpack_from(order + head, data, at)[0]
-    except struct.error as e:
+    except (struct.error, OverflowError) as e:  # an offset beyond the file, or beyond what an offset can be
         raise TiffError(f"cut short: {e}") from e
 
 
-def page_pixels(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndarray:
-    """Samples of a page as ``[height, width, samples]``, in the machine's byte order."""
-    one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
+def page_pixels(data: bytes, order: str, tags: dict[int, list[int]], max_page: int = MAX_PAGE) -> np.ndarray:
+    """Samples of a page as ``[height, width, samples]``, in the machine's byte order; 1-bit samples as bytes 0 and 1."""
+
+    def one(tag: int, default: int | None = None) -> int | None:
+        value = tags[tag][0] if tags.get(tag) else default
+        if value is not None and not 0 <= value < 1 << 32:
+            raise TiffError(f"tag {tag} is out of range")
+        return value
+
     w, h, samples, coding = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, NONE)
     if not w or not h:
         raise TiffError("a page without a size")
-    bits = one(BITS, 1)
-    if bits not in (8, 16, 32) or any(b != bits for b in tags.get(BITS, [])):
+    bits, form = one(BITS, 1), one(SAMPLE_FORMAT, 1)
+    if bits not in (1, 8, 16, 32, 64) or any(b != bits for b in tags.get(BITS, [])):
         raise TiffError(f"{bits} bits a sample aren't supported")
-    if w * h * samples * bits // 8 > MAX_PAGE:
-        raise TiffError("a page over the size limit")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    if form not in (1, 2, 3, 4) or form == 3 and bits < 32 or any(f != form for f in tags.get(SAMPLE_FORMAT, [])):
+        raise TiffError(f"sample format {form} of {bits} bits isn't supported")
+    if not samples or samples > 1 << 16 or one(FILL_ORDER, 1) != 1:
+        raise TiffError("samples or bit order aren't supported")
+    kind = np.dtype(f"{order}{'f' if form == 3 else 'i' if form == 2 else 'u'}{max(1, bits // 8)}")
     planar, predictor = one(PLANAR, 1), one(PREDICTOR, 1)
-    if predictor not in (1, 2):
-        raise TiffError(f"predictor {predictor} isn't supported")
-    if TILE_OFFSETS in tags:
+    if planar not in (1, 2) or predictor not in (1, 2, 3) or predictor == 3 and form != 3 or predictor == 2 and (form == 3 or bits == 1):
+        raise TiffError(f"planes {planar}, predictor {predictor} aren't supported for these samples")
+    tiled = TILE_OFFSETS in tags
+    if tiled:
         bw, bh, offsets, counts = one(TILE_WIDTH), one(TILE_HEIGHT), tags[TILE_OFFSETS], tags.get(TILE_COUNTS, [])
     elif STRIP_OFFSETS in tags:
         bw, bh, offsets, counts = w, min(one(ROWS_PER_STRIP, h), h), tags[STRIP_OFFSETS], tags.get(STRIP_COUNTS, [])
@@ -222,28 +237,47 @@ def page_pixels(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndarr
         raise TiffError("a page without strips or tiles")
     if not bw or not bh:
         raise TiffError("blocks without a size")
-    across, down = -(-w // bw), -(-h // bh)
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
-    if len(offsets) < across * down * planes or len(counts) < len(offsets):
+    row_bytes = -(-bw * deep * bits // 8)
+    if w * h * samples * kind.itemsize > max_page or row_bytes * bh > max_page:
+        raise TiffError("a page, strip or tile over the size limit")
+    across, down = -(-w // bw), -(-h // bh)
+    blocks = across * down * planes
+    if len(offsets) < blocks or len(counts) < blocks:
         raise TiffError("too few strips or tiles")
+    places = list(zip(offsets[:blocks], counts[:blocks]))
+    if any(at < 0 or n < 0 or at + n > len(data) for at, n in places):
+        raise TiffError("a strip or tile outside the file")
+    if -(-w * samples * bits // 8) * h > MOST_OF_A_BYTE * sum(n for _, n in places):
+        raise TiffError("strips or tiles too short for the page")
     out = np.zeros((h, w, samples), kind.newbyteorder("="))
-    for n in range(across * down * planes):
+    for n, (at, stored) in enumerate(places):
         plane, rest = divmod(n, across * down)
         y, x = rest // across * bh, rest % across * bw
-        rows = bh if TILE_OFFSETS in tags else min(bh, h - y)
-        size = rows * bw * deep * bits // 8
-        raw = decode_block(data[offsets[n] : offsets[n] + counts[n]], coding, size)
+        rows = bh if tiled else min(bh, h - y)
+        size = rows * row_bytes
+        raw = decode_block(data[at : at + stored], coding, size)
         if len(raw) < size:
             raise TiffError("a strip or tile is cut short")
-        block = np.frombuffer(raw[:size], kind).reshape(rows, bw, deep).astype(kind.newbyteorder("="))
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=block.dtype)
-        part = block[: h - y, : w - x]
+        part = block_samples(raw[:size], kind, bits, rows, bw, deep, predictor)[: h - y, : w - x]
         to = slice(plane, plane + 1) if planar == 2 else slice(None)
         out[y : y + part.shape[0], x : x + part.shape[1], to] = part
     return out
 
 
+def block_samples(raw: bytes, kind: np.dtype, bits: int, rows: int, width: int, deep: int, predictor: int) -> np.ndarray:
+    """Samples of a decoded strip or tile, its prediction undone."""
+    if bits == 1:
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : width * deep].reshape(rows, width, deep)
+    if predictor == 3:  # bytes of a row by significance, each the sum of those ``deep`` before it
+        size = kind.itemsize
+        flat = np.frombuffer(raw, np.uint8).reshape(rows, width * size, deep)
+        planes = np.cumsum(flat, axis=1, dtype=np.uint8).reshape(rows, size, width * deep)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}").astype(f"f{size}").reshape(rows, width, deep)
+    block = np.frombuffer(raw, kind).reshape(rows, width, deep).astype(kind.newbyteorder("="))
+    return np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block
+
+
 def pages(data: bytes) -> Iterator[np.ndarray]:
     for order, tags in directories(data):
         yield page_pixels(data, order, tags)
@@ -253,7 +287,7 @@ def write_tiff(
     images: list[np.ndarray], coding: int = DEFLATE, predictor: int = 2, rows_per_strip: int = 1024,
     tile: tuple[int, int] | None = None, order: str = "<",
 ) -> bytes:
-    """A classic TIFF of ``[height, width]`` or ``[height, width, samples]`` pages."""
+    """A classic TIFF of ``[height, width]`` or ``[height, width, samples]`` pages of whole numbers or floats."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for image in images:
@@ -269,11 +303,20 @@ def write_tiff(
                     block = np.pad(block, ((0, bh - block.shape[0]), (0, bw - block.shape[1]), (0, 0)))
                 if predictor == 2:
                     block = np.diff(block, axis=1, prepend=np.zeros((block.shape[0], 1, samples), block.dtype))
-                raw = encode_block(block.astype(image.dtype.newbyteorder(order)).tobytes(), coding)
+                if predictor == 3:
+                    size = image.dtype.itemsize
+                    planes = np.ascontiguousarray(block.astype(f">f{size}")).view(np.uint8).reshape(len(block), -1, size).transpose(0, 2, 1)
+                    flat = planes.reshape(len(block), -1, samples)
+                    raw = np.diff(flat, axis=1, prepend=np.zeros((len(block), 1, samples), np.uint8)).tobytes()
+                else:
+                    raw = block.astype(image.dtype.newbyteorder(order)).tobytes()
+                raw = encode_block(raw, coding)
                 offsets.append(len(out))
                 counts.append(len(raw))
                 out += raw
         tags = [(WIDTH, [w], 4), (HEIGHT, [h], 4), (BITS, [bits] * samples, 3), (COMPRESSION, [coding], 3), (PHOTOMETRIC, [2 if samples >= 3 else 1], 3), (SAMPLES, [samples], 3), (PLANAR, [1], 3), (PREDICTOR, [predictor], 3)]
+        if image.dtype.kind != "u":
+            tags.append((SAMPLE_FORMAT, [{"i": 2, "f": 3}[image.dtype.kind]] * samples, 3))
         if tile:
             tags += [(TILE_WIDTH, [bw], 4), (TILE_HEIGHT, [bh], 4), (TILE_OFFSETS, offsets, 4), (TILE_COUNTS, counts, 4)]
         else:
@@ -302,12 +345,14 @@ PAGE_SCHEMA = T.StructType(
 )
 
 
-def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
+def tiff_pages(df: DataFrame, id_col: str, media_col: str, max_page: int = MAX_PAGE) -> DataFrame:
     """One row per page: ``(id, page, width, height, samples, bits, compression, predictor, pixels, error)``.
 
-    ``pixels`` are the samples row by row, little-endian. A page that can't be decoded keeps its row
-    with ``error`` set and null pixels; a null, empty or foreign file is one row with page null.
-    Pages come out as they are decoded, so memory holds one file and one page.
+    ``pixels`` are the samples row by row, little-endian (1-bit samples as bytes). A page that can't be
+    decoded, one of more than ``max_page`` bytes among them, keeps its row with ``error`` set and null
+    pixels; a null, empty or foreign file is one row with page null. Numbers in a row beyond 31 bits are
+    null there. Pages come out as they are decoded, so memory holds one file and one page. Repeated rows
+    and null ids are decoded like any other, other columns are ignored, an empty table gives no rows.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *PAGE_SCHEMA.fields])
     names = schema.names
@@ -320,11 +365,11 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     try:
                         for n, (order, tags) in enumerate(directories(data or b"")):
                             one = lambda tag, default, tags=tags: tags[tag][0] if tags.get(tag) else default
-                            head = [n, one(WIDTH, None), one(HEIGHT, None), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)]
+                            head = [n, *map(small, [one(WIDTH, None), one(HEIGHT, None), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)])]
                             try:
-                                px = page_pixels(data, order, tags)
+                                px = page_pixels(data, order, tags, max_page)
                                 tail = [px.astype(px.dtype.newbyteorder("<")).tobytes(), None]
-                            except (TiffError, zlib.error) as e:
+                            except (TiffError, zlib.error, MemoryError) as e:
                                 tail = [None, str(e)]
                             yield row(part.column(0).slice(i, 1), head + tail)
                         if n is None:
@@ -332,6 +377,9 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     except TiffError as e:
                         yield row(part.column(0).slice(i, 1), [None if n is None else n + 1, *[None] * 7, str(e)])
 
+    def small(value: int | None) -> int | None:
+        return value if value is not None and -(1 << 31) <= value < 1 << 31 else None
+
     def row(own: pa.Array, values: list) -> pa.RecordBatch:
         kinds = [*[pa.int32()] * 7, pa.binary(), pa.string()]
         return pa.RecordBatch.from_arrays([own, *(pa.array([v], k) for v, k in zip(values, kinds))], names=names)
@@ -367,7 +415,8 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Texts through TIFF and back: sizes and digests of what the pages hold, and a feature.
 
     Null is the empty text, 64 zero bytes. The feature names pages and rows, the mean sample and the
-    average hash of all pages as one image. Rows are handled alone, so repeats give equal rows.
+    average hash of all pages as one image. Rows are handled alone, so repeats give equal rows, null ids
+    are kept, other columns are ignored and an empty table gives no rows.
     """
     import hashlib
 
