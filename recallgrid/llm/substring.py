@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,8 @@ def cuts(text: bytes, least: int = LEAST, most: int = MOST, mask: int = MASK) ->
     """Ends of the chunks of a text.
 
     Where no cut comes within ``most`` bytes, as in one word said over and over, the cut falls on the
-    least hash there: that too depends on content, not on where the text began.
+    least hash there: that too depends on content, not on where the text began. A tail shorter than
+    ``least`` belongs to the chunk before it; a text that short is one chunk.
     """
     n = len(text)
     if not n:
@@ -61,16 +62,15 @@ def cuts(text: bytes, least: int = LEAST, most: int = MOST, mask: int = MASK) ->
     while n - last > most:
         last = forced(last)
         ends.append(last)
-    if last < n:
+    if ends and n - last < least:
+        ends[-1] = n
+    elif last < n:
         ends.append(n)
     return ends
 
 
 def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, d1, d2, starts, length)`` for each distinct chunk of each row: all its places, ascending.
-
-    Chunks below the least length, which only a text's end can be, are never duplicates and left out.
-    """
+    """``(id, d1, d2, starts, length)`` for each distinct chunk of each row: all its places, ascending."""
     schema = T.StructType([
         T.StructField("id", df.schema[id_col].dataType), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
         T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("length", T.IntegerType()),
@@ -86,12 +86,11 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     seen: dict[bytes, tuple[int, list[int]]] = {}
                     at = 0
                     for end in cuts(text):
-                        if end - at >= LEAST:
-                            d = xxh3_128_digest(text[at:end])
-                            if d in seen:
-                                seen[d][1].append(at)
-                            else:
-                                seen[d] = (end - at, [at])
+                        d = xxh3_128_digest(text[at:end])
+                        if d in seen:
+                            seen[d][1].append(at)
+                        else:
+                            seen[d] = (end - at, [at])
                         at = end
                     owner += [i] * len(seen)
                     digests += seen
@@ -127,58 +126,68 @@ def repeated_chunks(df: DataFrame, id_col: str, text_col: str, scratch: Scratch)
     )
 
 
-def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id: bytes, repeated chunks and the passages they make.
+#: Bytes of adjoining repeated chunks that make a passage: what is left of about 50 words when the chunks
+#: at either edge are lost (usually one or two, of 30 bytes on average).
+PASSAGE = 96
+
 
-    ``n_shared`` counts distinct chunks some other document holds too (the first holder
-    included), ``shared_bytes`` the bytes at all their places, ``n_dropped``/``dropped_bytes`` the occurrences that dedup removes (all but the
-    first) and ``dropped_spans`` where they are, ``n_passages``/``longest_passage`` runs of adjoining shared chunks, ``spans`` these runs
-    as (start, length) byte ranges, ``repeats`` whether any run has ``PASSAGE`` bytes, ``first_doc_ids`` the
-    least ids holding the chunks of such runs (a document that holds one first names itself). Null and
-    empty texts have none. Rows repeating an id are read as one document (with equal texts:
-    nothing is shared between them but the row's chunks count once more); empty tables give no rows.
+def passages(found: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """``(id, kind, start, length, chunks, firsts)``: runs of adjoining chunks, of ``least`` bytes or of the whole text.
+
+    ``kind`` 0: chunks that other rows hold too, 1: chunks that dedup may drop, as they have occurred
+    before. Chunks don't overlap, so one sort by place and a running count of the breaks number the runs.
+    """
+    place = F.explode(F.transform("starts", lambda s, i: F.struct(s.cast("long").alias("start"), (~F.col("first") | (i > 0)).alias("gone"))))
+    flat = found.select("id", "length", "shared", "first_id", place.alias("p")).select("id", "length", "shared", "first_id", "p.start", "p.gone")
+    end = F.col("start") + F.col("length")
+    w = Window.partitionBy("id").orderBy("start")
+    before = F.lag(F.struct(end.alias("end"), "shared", "gone")).over(w)
+    flat = flat.withColumn("before", before)
+    for kind, flag in enumerate(("shared", "gone")):
+        goes_on = F.coalesce(F.col("before.end") == F.col("start"), F.lit(False)) & F.coalesce(F.col(f"before.{flag}"), F.lit(False))
+        flat = flat.withColumn(f"run{kind}", F.sum(F.when(F.col(flag) & ~goes_on, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of = F.array_compact(F.array(*(F.when(F.col(flag), F.struct(F.lit(k).alias("kind"), F.col(f"run{k}").alias("run"))) for k, flag in enumerate(("shared", "gone")))))
+    runs = flat.select("id", "start", "length", "first_id", F.explode(of).alias("r")).groupBy("id", "r.kind", "r.run")
+    runs = runs.agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("chunks"), F.collect_set("first_id").alias("firsts"))
+    runs = runs.where((F.col("length") >= least) | (F.col("start") == 0))
+    runs = runs.join(sizes, runs["id"].eqNullSafe(sizes["own"]))
+    return runs.where((F.col("length") >= least) | (F.col("length") == F.col("size"))).select("id", "kind", "start", "length", "chunks", "firsts")
+
+
+def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
+    """One row per id: bytes, the repeated passages and what dedup drops of them.
+
+    A passage is a run of adjoining chunks that other documents hold too, of ``passage`` bytes at least
+    or a whole text: shorter runs are common phrases and count nowhere. ``spans`` are the passages as
+    (start, length) byte ranges, ``n_passages`` and ``longest_passage`` their number and longest,
+    ``n_shared`` the chunks in them and ``shared_bytes`` their bytes (first holders included),
+    ``repeats`` whether there is any, ``first_doc_ids`` the least ids holding their chunks (a document that
+    holds one first names itself). ``dropped_spans`` are the runs of that length that have all occurred
+    before (in a lesser id, or earlier in the same text), ``n_dropped``/``dropped_bytes`` their chunks and bytes.
+    Null and empty texts have none. Rows repeating an id are read as one document (with equal texts:
+    nothing is shared between them, but their chunks count once more); so are rows without an id. Other columns
+    are ignored; empty tables give no rows.
     """
     scratch = Scratch(df.sparkSession)
     found = repeated_chunks(df, id_col, text_col, scratch)
-    place = lambda s: (s.cast("long").alias("start"), F.col("length").cast("long").alias("length"))
-    chunks = F.array_sort(F.flatten(F.collect_list(F.when(F.col("shared"), F.transform("starts", lambda s: F.struct(*place(s), "first_id"))))))
-    n, first = F.size("starts"), F.col("first").cast("int")
-    gone = F.array_sort(F.flatten(F.collect_list(F.transform(F.slice("starts", first + 1, n), lambda s: F.struct(*place(s))))))
-    per = found.groupBy("id").agg(
-        F.count(F.when(F.col("shared"), 1)).alias("n_shared"),
-        F.sum(F.when(F.col("shared"), F.col("length") * n).otherwise(0)).alias("shared_bytes"),
-        F.sum(n - first).alias("n_dropped"),
-        F.sum((n - first) * F.col("length")).alias("dropped_bytes"),
-        chunks.alias("chunks"),
-        gone.alias("gone"),
+    size = F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long")
+    sizes = scratch.table(df.select(F.col(f"`{id_col}`").alias("own"), size.alias("size")).groupBy("own").agg(F.max("size").alias("size")), "sizes")
+    runs = passages(found, sizes, passage)
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    span = F.struct("start", "length")
+    per = runs.groupBy(F.col("id").alias(P + "id")).agg(
+        *(F.array_sort(F.collect_list(of(k, span))).alias(c) for k, c in enumerate(("spans", "dropped_spans"))),
+        *(F.coalesce(F.sum(of(k, F.col("chunks"))), F.lit(0)).alias(c) for k, c in enumerate(("n_shared", "n_dropped"))),
+        *(F.coalesce(F.sum(of(k, F.col("length"))), F.lit(0)).alias(c) for k, c in enumerate(("shared_bytes", "dropped_bytes"))),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(of(0, F.col("firsts")))))).alias("firsts"),
     )
-    ranges = F.transform("chunks", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))
-    per = per.withColumn("ranges", ranges).withColumn("spans", merged(F.col("ranges"))).withColumn("long", F.filter("spans", lambda s: s["length"] >= PASSAGE))
-    inside = lambda c: F.exists("long", lambda s: (c["start"] >= s["start"]) & (c["start"] < s["start"] + s["length"]))
-    firsts = F.array_sort(F.array_distinct(F.transform(F.filter("chunks", inside), lambda c: c["first_id"])))
-    per = per.select(F.col("id").alias(P + "id"), "n_shared", "shared_bytes", "n_dropped", "dropped_bytes", "spans", firsts.alias("firsts"), merged(F.col("gone")).alias("dropped"))
-    ids = df.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes"))
-    out = ids.groupBy("id").agg(F.max("n_bytes").alias("n_bytes")).join(per, F.col("id").eqNullSafe(F.col(P + "id")), "left")
+    out = sizes.join(per, F.col("own").eqNullSafe(F.col(P + "id")), "left")
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    out = out.select(
-        F.col("id").alias(id_col), "n_bytes", zero("n_shared"), zero("shared_bytes"), zero("n_dropped"), zero("dropped_bytes"), F.coalesce("spans", none).alias("spans"),
-        F.coalesce("firsts", F.array().cast(T.ArrayType(df.schema[id_col].dataType))).alias("first_doc_ids"), F.coalesce("dropped", none).alias("dropped_spans"),
-    )
     longest = F.coalesce(F.array_max(F.transform("spans", lambda s: s["length"])), F.lit(0)).cast("long")
-    return out.withColumn("n_passages", F.size("spans").cast("long")).withColumn("longest_passage", longest).withColumn(
-        "repeats", F.col("longest_passage") >= PASSAGE
-    )
-
-
-#: Bytes of adjoining shared chunks that make a document one with a repeated passage: what is left
-#: of about 50 words when the chunks at either edge are lost (usually one or two, of 30 bytes on average).
-PASSAGE = 96
-
-
-def merged(ranges: Column) -> Column:
-    """Adjoining (start, length) ranges of a sorted array as one."""
-    end = lambda c: c["start"] + c["length"]
-    opens = F.filter(ranges, lambda c, i: (i == 0) | (end(F.get(ranges, i - 1)) != c["start"]))
-    closes = F.filter(ranges, lambda c, i: (i == F.size(ranges) - 1) | (F.get(ranges, i + 1)["start"] != end(c)))
-    return F.zip_with(opens, closes, lambda a, b: F.struct(a["start"].alias("start"), (end(b) - a["start"]).alias("length")))
+    return out.select(
+        F.col("own").alias(id_col), F.col("size").alias("n_bytes"), zero("n_shared"), zero("shared_bytes"), zero("n_dropped"), zero("dropped_bytes"),
+        F.coalesce("spans", none).alias("spans"), F.coalesce("firsts", F.array().cast(T.ArrayType(df.schema[id_col].dataType))).alias("first_doc_ids"),
+        F.coalesce("dropped_spans", none).alias("dropped_spans"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_passages"),
+        longest.alias("longest_passage"), (longest > 0).alias("repeats"),
+    )
