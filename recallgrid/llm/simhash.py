@@ -5,7 +5,8 @@ equal bit ranges, so each distinct fingerprint is sent once to the shard of ever
 ranges. A shard's fingerprints form a BK-tree (a child hangs from its parent by their integer
 Hamming distance); each member walks it along the edges within the radius only. Trees are built in
 the task that holds the shard: a broadcast of all shard trees would gather every fingerprint on the
-driver and grow with the data.
+driver and grow with the data. Shards too large for a task are cut finer, and where that doesn't help, their trees
+are broadcast in pieces of a counted size and walked by members that stay spread over the tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ RADIUS = 3
 SHINGLE = 3
 #: Mean members of a shard above which one more block is used.
 SHARD_MEAN = 256
+#: Members above which a shard is cut finer, how often, and nodes of a tree that is broadcast (about 32 MB).
+HOT_SHARD, LEVELS, TREE_NODES = 20_000, 2, 1 << 20
 #: Queries walked between two looks at which subtrees have become one component.
 WALK = 4096
 
@@ -135,6 +138,41 @@ class BKForest:
         return label
 
 
+    def near(self, fps: np.ndarray, radius: int, walk: int = WALK) -> tuple[np.ndarray, np.ndarray]:
+        """Links that span, with the tree's own members, what is within ``radius`` of each fingerprint.
+
+        ``(i, v)``: fingerprint i and node v. A subtree that is one component already, that of a node the query
+        has been linked to, isn't walked again, so a tree full of near copies costs no square.
+        """
+        n = len(self.fp)
+        label = np.arange(n + len(fps))
+        out_i, out_v = [], []
+        low, high = label[:n].copy(), label[:n].copy()
+        for begin in range(0, len(fps), walk):
+            q = np.arange(begin, min(len(fps), begin + walk))
+            v = np.zeros(len(q), np.int64)
+            while len(q) and n:
+                d = np.bitwise_count(fps[q] ^ self.fp[v]).astype(np.int64)
+                hit = d <= radius
+                out_i.append(q[hit])
+                out_v.append(v[hit])
+                label = join(label, n + q[hit], v[hit])
+                lo = np.searchsorted(self.keys, v * 65 + np.maximum(d - radius, 1))
+                hi = np.searchsorted(self.keys, v * 65 + np.minimum(d + radius, 64), side="right")
+                count = hi - lo
+                q = np.repeat(q, count)
+                v = self.kids[np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(len(q))]
+                own = label[n + q]
+                todo = (low[v] != own) | (high[v] != own)
+                q, v = q[todo], v[todo]
+            low, high = label[:n].copy(), label[:n].copy()
+            for parent, kid in reversed(self.levels):
+                np.minimum.at(low, parent, low[kid])
+                np.maximum.at(high, parent, high[kid])
+        i, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_v))
+        return i, v
+
+
 def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union the components of a[i] and b[i]; labels stay the least member."""
     label = label.copy()
@@ -152,30 +190,48 @@ def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def shard_keys(fp: str, blocks: int, radius: int = RADIUS) -> Column:
-    """Array of shard numbers of a fingerprint: each choice of ``blocks - radius`` bit ranges."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (edges[c + 1] - edges[c])) - 1) << edges[c] for c in chosen)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(n).alias("t"), F.col(fp).bitwiseAND(F.lit(mask)).alias("m")))
-    return F.array(*keys)
+def bit_ranges(bits: list[int], parts: int) -> list[int]:
+    """Masks of ``parts`` near-equal runs of the given bit numbers."""
+    edges = [round(i * len(bits) / parts) for i in range(parts + 1)]
+    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
 
 
-def shard_links(prints: DataFrame, fp: str, count: int, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """Spanning links ``(a, b)`` of the distinct fingerprints within ``radius`` bits, by shard."""
+def first_masks(blocks: int, radius: int = RADIUS) -> list[int]:
+    """Each choice of ``blocks - radius`` of ``blocks`` bit ranges: links agree on one of these wholly."""
+    return [sum(chosen) for chosen in combinations(bit_ranges(list(range(64)), blocks), blocks - radius)]
+
+
+def finer_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks within a shard of ``mask``: it and one of ``radius + 1`` ranges of the other bits, as links in it agree on one."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [mask | part for part in bit_ranges(rest, radius + 1)]
+
+
+def shard_keys(fp: str, masks: list[int]) -> Column:
+    """Array of a fingerprint's shards: a mask and the bits under it."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*(F.struct(F.lit(m).cast("long").alias("t"), F.col(fp).bitwiseAND(F.lit(m)).alias("m")) for m in signed))
+
+
+def shard_links(prints: DataFrame, fp: str, count: int, radius: int = RADIUS, blocks: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Spanning links ``(a, b)`` of the distinct fingerprints within ``radius`` bits, by shard.
+
+    A shard over ``HOT_SHARD`` members is cut finer, ``LEVELS`` times at most: by pigeonhole on the bits its
+    members are free in, so no link is lost. What is over it even then agrees on 37 bits and more: such a
+    shard's tree is broadcast, and its members walk it in the tasks where they lie.
+    """
     spark = prints.sparkSession
+    scratch = scratch or Scratch(spark)
     if blocks is None:
         blocks = radius + 1
         while blocks < radius + 4 and count / 2 ** (64 * (blocks - radius) / blocks) > SHARD_MEAN:
             blocks += 1
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    sent = prints.select(F.col(fp).alias("fp"), F.explode(shard_keys(fp, blocks, radius)).alias("s")).select(
-        "fp", F.col("s.t").alias("t"), F.col("s.m").alias("m")
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(rows: DataFrame, keys: Column) -> DataFrame:
+        return rows.select(F.col(fp).alias("fp"), F.explode(keys).alias("s")).select("fp", F.col("s.t").alias("t"), F.col("s.m").alias("m"))
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
@@ -184,12 +240,63 @@ def shard_links(prints: DataFrame, fp: str, count: int, radius: int = RADIUS, bl
         fps, t, m = fps[o], t[o], m[o]
         shard = np.cumsum(np.r_[True, (t[1:] != t[:-1]) | (m[1:] != m[:-1])])
         forest = BKForest(fps.view(np.uint64), shard)
-        label = forest.components(radius)
-        apart = np.flatnonzero(label != np.arange(len(label)))
-        own = forest.fp.view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[label[apart]])], names=["a", "b"])
-
-    return sent.repartition(tasks, "t", "m").mapInArrow(run, "a long, b long")
+        yield spanning(forest, forest.components(radius))
+
+    masks, sent, links = first_masks(blocks, radius), cut(prints, shard_keys(fp, first_masks(blocks, radius))), None
+    for level in range(LEVELS + 1):
+        hot = scratch.table(sent.groupBy("t", "m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SHARD), "hot")
+        crowded = not hot.isEmpty()
+        cool = sent.join(hot, ["t", "m"], "left_anti") if crowded else sent
+        found = cool.select("fp", "t", "m").repartition(tasks, "t", "m").mapInArrow(trees, "a long, b long")
+        links = found if links is None else links.unionByName(found)
+        if not crowded:
+            return links
+        sent = scratch.table(sent.join(hot.select("t", "m"), ["t", "m"], "left_semi").select("fp", "t", "m"), "crowded")
+        if level == LEVELS:
+            return links.unionByName(broadcast_links(sent, hot, radius, tasks, scratch))
+        finer = {m: finer_masks(m, radius) for m in masks}
+        masks = [x for own in finer.values() for x in own]
+        signed = lambda m: m - (1 << 64) if m >> 63 else m
+        keys = F.coalesce(*(F.when(F.col("t") == signed(m), shard_keys("fp", own)) for m, own in finer.items()))
+        sent = sent.select("fp", F.explode(keys).alias("s")).select("fp", "s.t", "s.m")
+    raise AssertionError("the last level returns")
+
+
+def spanning(forest: BKForest, label: np.ndarray) -> pa.RecordBatch:
+    apart = np.flatnonzero(label != np.arange(len(label)))
+    own = forest.fp.view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[label[apart]])], names=["a", "b"])
+
+
+def broadcast_links(sent: DataFrame, hot: DataFrame, radius: int, tasks: int, scratch: Scratch) -> DataFrame:
+    """Links in shards too large for a task: trees are broadcast in pieces of ``TREE_NODES`` nodes at most.
+
+    A piece is a part of a shard, by a hash of the fingerprint into as many parts as its size, which was
+    counted, asks for. Members of the shard lie spread over the tasks and each walks the piece's tree, so every pair
+    within a shard meets. One piece at a time is on the driver.
+    """
+    spark = sent.sparkSession
+    sized = sent.join(hot, ["t", "m"])
+    part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / F.lit(TREE_NODES // 2)).cast("long"))
+    members = scratch.table(sized.select("fp", "t", "m", part.alias("part")), "spread")
+    links = None
+    pieces = members.groupBy("t", "m", "part").agg(F.count(F.lit(1)).alias("n")).orderBy("t", "m", "part")
+    for piece in pieces.toLocalIterator():
+        mine = members.where((F.col("t") == piece["t"]) & (F.col("m") == piece["m"]))
+        nodes = mine.where(F.col("part") == piece["part"]).select("fp").toArrow()["fp"].to_numpy()
+        tree = BKForest(np.sort(nodes).view(np.uint64), np.zeros(len(nodes), np.int64))
+        shared = spark.sparkContext.broadcast(tree)
+
+        def walk(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                a, b = shared.value.near(own.view(np.uint64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(shared.value.fp.view(np.int64)[b])], names=["a", "b"])
+
+        found = scratch.table(mine.select("fp").repartition(tasks, "fp").mapInArrow(walk, "a long, b long"), "walked")
+        links = found if links is None else links.unionByName(found)
+        shared.destroy()
+    return links
 
 
 def classify(
@@ -201,7 +308,7 @@ def classify(
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marked = scratch.table(with_fingerprint(narrow, "text", f, shingle).select("id", f), "prints")
     prints = scratch.table(marked.groupBy(f).agg(F.min("id").alias("least")), "distinct")
-    members = connected_components(shard_links(prints, f, prints.count(), radius), scratch)
+    members = connected_components(shard_links(prints, f, prints.count(), radius, scratch=scratch), scratch)
     rooted = prints.join(members.withColumnRenamed("node", f), f, "left").select(
         f, "least", F.coalesce("root", f).alias("root")
     )
