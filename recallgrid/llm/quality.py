@@ -59,16 +59,31 @@ def measured(df: DataFrame, text_col: str) -> DataFrame:
     return out.withColumn(P + "pattern", code).drop(*(P + m for m in MEASURED))
 
 
-def one_hot(patterns: np.ndarray) -> np.ndarray:
-    """Indicator columns of the bins of pattern numbers, and a constant."""
-    out = np.zeros((len(patterns), sum(BINS) + 1))
-    rest, offset = patterns.copy(), sum(BINS)
-    for n in reversed(BINS):
-        rest, b = np.divmod(rest, n)
-        offset -= n
-        out[np.arange(len(out)), offset + b] = 1
-    out[:, -1] = 1
-    return out
+class Bins:
+    """The bins of pattern numbers as a sparse 0/1 matrix with one column a bin and a constant last.
+
+    Kept as the column of each feature's bin: two bytes a feature and row, so that every pattern there can be
+    (1.5 million) takes 31 MB.
+    """
+
+    def __init__(self, patterns: np.ndarray):
+        rest, offset = patterns.copy(), sum(BINS)
+        self.width, self.rows, self.at = offset + 1, len(patterns), []
+        for n in reversed(BINS):
+            rest, b = np.divmod(rest, n)
+            offset -= n
+            self.at.append((offset + b).astype(np.int16))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.full(self.rows, w[-1])
+        for at in self.at:
+            out += w[at]
+        return out
+
+    def adjoint(self, v: np.ndarray) -> np.ndarray:
+        out = sum(np.bincount(at, v, self.width) for at in self.at)
+        out[-1] = v.sum()
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -89,19 +104,19 @@ def estimate_prior(z: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray)
     return float(np.clip((u[ok] / nu)[best] / (p[ok] / np_)[best], 0.02, 0.98))
 
 
-def nn_pu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> np.ndarray:
+def nn_pu(x: Bins, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> np.ndarray:
     """Minimise pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with the logistic loss, by Adam.
 
-    Where the second part is negative its gradient is followed upwards, as the estimator asks.
+    Where the second part is negative, a step follows its ascent alone, as the published estimator does.
     """
     p, u = positive / positive.sum(), unlabelled / unlabelled.sum()
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, m, v = np.zeros(x.width), np.zeros(x.width), np.zeros(x.width)
     for t in range(1, steps + 1):
-        z = x @ w
+        z = x.times(w)
         s = sigmoid(z)
         negative = float(u @ np.logaddexp(0, z) - prior * (p @ np.logaddexp(0, z)))
-        down = x.T @ (u * s) - prior * (x.T @ (p * s))
-        grad = prior * (x.T @ (p * (s - 1))) + (down if negative >= 0 else -down) + RIDGE * np.r_[w[:-1], 0]
+        down = u * s - prior * p * s
+        grad = x.adjoint(prior * p * (s - 1) + down if negative >= 0 else -down) + RIDGE * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -133,10 +148,10 @@ def fit_patterns(patterns: np.ndarray, positive: np.ndarray, unlabelled: np.ndar
         return QualityModel((0.0,) * (sum(BINS) + 1), 0.5)
     o = np.argsort(patterns)
     patterns, positive, unlabelled = patterns[o], positive[o].astype(float), unlabelled[o].astype(float)
-    x, prior = one_hot(patterns), 0.5
+    x, prior = Bins(patterns), 0.5
     for _ in range(3):
         w = nn_pu(x, positive, unlabelled, prior)
-        prior = estimate_prior(x @ w, positive, unlabelled)
+        prior = estimate_prior(x.times(w), positive, unlabelled)
     w = nn_pu(x, positive, unlabelled, prior)
     return QualityModel(tuple(round(float(v), 6) for v in w), round(prior, 6))
 
@@ -146,13 +161,14 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     Labels are read from training rows only (crc32 of the id as text, mod 5, not 0) and only where
     they are 1. Null and empty texts are the pattern of no words. Repeated rows and null ids are
-    scored like any other; a null id has no label. With no trusted positive all scores are 0.5.
+    scored like any other; a null id has no label; an id labelled twice counts once. Other columns are
+    ignored. With no trusted positive all scores are 0.5; an empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession)
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = scratch.table(measured(narrow, "text").select("id", F.col(P + "pattern").alias("pattern")), "patterns")
     trusted = labels.where(F.col(label_col) == 1).where(~held_out(id_col)).select(F.col(f"`{id_col}`").alias("id")).distinct()
     marked = rows.join(trusted.withColumn("pos", F.lit(1)), "id", "left")
-    table = marked.groupBy("pattern").agg(F.count(F.lit(1)).alias("u"), F.count("pos").alias("p")).collect()  # bounded by the bins
-    model = fit_patterns(*(np.array([r[c] for r in table], np.int64) for c in ("pattern", "p", "u")))
+    table = marked.groupBy("pattern").agg(F.count(F.lit(1)).alias("u"), F.count("pos").alias("p")).toArrow()  # bounded by the bins
+    model = fit_patterns(*(table[c].to_numpy() for c in ("pattern", "p", "u")))
     return rows.select(F.col("id").alias(id_col), model.score("pattern").alias("score"), F.lit(model.prior).alias("prior"))
