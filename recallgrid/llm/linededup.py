@@ -5,8 +5,9 @@
    twice-seen filter. Once-seen filters never leave their task; twice-seen ones have at most
    ``TWICE_BITS`` bits a segment, 32 MB in all, and are the only thing broadcast.
 3. A second scan sends just the keys the twice-seen filter suspects (with a 128-bit digest) to
-   exact counting, which also picks the document that keeps the line. A full filter would only
-   suspect more keys: results never depend on its size.
+   exact counting, which also picks the document that keeps the line. Where the broadcast filter would be over
+   ``FULL``, it isn't used: filters of any size stay with their segments, and digests of all keys meet them there, spread by
+   id within a segment. Results never depend on the filters' size or place.
 4. Confirmed keys are broadcast if they are few, which is counted first, and lines go in a third scan.
    Otherwise each document's keys are joined to it by id, which shuffles the texts once.
 """
@@ -29,6 +30,9 @@ SEGMENTS = 4096
 #: At most so many bits of the twice-seen filter for each segment: 4096 * 8 KB = 32 MB.
 TWICE_BITS = 1 << 16
 PROBES = 4
+#: Share of bits set from which the broadcast filter suspects too much; hashes a segment may have where filters stay with them,
+#: and over how many tasks the keys of a segment are spread there.
+FULL, SEGMENT_HASHES, SPREAD = 0.5, 1 << 22, 8
 #: Bytes of text that a worker has in hand at a time, a longer single text aside.
 SLICE = 4 << 20
 #: So many confirmed keys at most are broadcast (about 30 MB in a worker), and texts then stay where they are.
@@ -109,12 +113,8 @@ def key_hashes(narrow: DataFrame, least: int) -> DataFrame:
     return narrow.select("t").mapInArrow(run, "segment int, h long")
 
 
-def twice_seen(hashes: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """The twice-seen filter of all segments and its bits a segment."""
-    once_bits = _power(10 * count / SEGMENTS)
-    bits = min(once_bits, TWICE_BITS)
-    spark = hashes.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def segment_filters(hashes: DataFrame, tasks: int, once_bits: int, bits: int) -> DataFrame:
+    """``(segment, bits)``: the twice-seen filter of each segment; the once-seen ones end with their task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, int] = {}
@@ -138,12 +138,73 @@ def twice_seen(hashes: DataFrame, count: int) -> tuple[np.ndarray, int]:
                 [pa.array([s], pa.int32()), pa.array([twice[r].data.tobytes()], pa.binary())], names=["segment", "bits"]
             )
 
+    return hashes.repartition(tasks, "segment").mapInArrow(run, "segment int, bits binary")
+
+
+def n_tasks(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def twice_seen(hashes: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """The twice-seen filter of all segments and its bits a segment."""
+    once_bits = _power(10 * count / SEGMENTS)
+    bits = min(once_bits, TWICE_BITS)
     dense = np.zeros((SEGMENTS, bits // 8), np.uint8)
-    for row in hashes.repartition(tasks, "segment").mapInArrow(run, "segment int, bits binary").collect():  # 32 MB at most
+    for row in segment_filters(hashes, n_tasks(hashes.sparkSession), once_bits, bits).collect():  # 32 MB at most
         dense[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     return dense.ravel(), bits
 
 
+def suspected_by_segment(narrow: DataFrame, hashes: DataFrame, count: int, least: int, scratch: Scratch) -> DataFrame:
+    """``(id, key)`` of every key that its segment's own twice-seen filter holds; nothing is broadcast."""
+    spark = narrow.sparkSession
+    digits = max(12, int(np.ceil(np.log2(max(1.0, count / SEGMENT_HASHES)))))
+    once_bits = _power(10 * count / (1 << digits))
+    segment = lambda: F.shiftrightunsigned("h", 64 - digits).cast("int").alias("segment")
+    # A task holds the filters of its segments: as many tasks as keep that at about 64 MB.
+    tasks = max(n_tasks(spark), (1 << digits) * once_bits // 4 // (64 << 20))
+    filters = scratch.table(segment_filters(hashes.select(segment(), "h"), tasks, once_bits, once_bits), "filters")
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
+        from xxhash import xxh3_64_intdigest
+
+        for batch in (part for b in batches for part in slices(b, 0, SLICE)):
+            owner: list[int] = []
+            keys: list[bytes] = []
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                own = doc_keys(text, least)
+                keys += own
+                owner += [i] * len(own)
+            h = np.fromiter(map(xxh3_64_intdigest, keys), np.uint64, len(keys)).view(np.int64)
+            digests = [blake2b(k, digest_size=16).digest() for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(1).take(pa.array(owner, pa.int64())), pa.array(digests, pa.binary())], names=["h", "id", "key"])
+
+    kind = narrow.schema["id"]
+    keys = narrow.mapInArrow(keys_of, T.StructType([T.StructField("h", T.LongType()), kind, T.StructField("key", T.BinaryType())]))
+    spread = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int").alias("spread")
+    one = keys.select(segment(), spread, F.lit(None).cast("binary").alias("bits"), "h", "id", "key")
+    two = filters.select("segment", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"), "bits", F.lit(0).cast("long").alias("h"), F.lit(None).cast(kind.dataType).alias("id"), F.lit(None).cast("binary").alias("key"))
+    met = two.unionByName(one).repartition(tasks, "segment", "spread").sortWithinPartitions("segment", "spread", F.col("bits").isNull())
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filt = Blooms(0, once_bits)
+        for batch in batches:
+            bits, h = batch.column(2), batch.column(3).to_numpy().view(np.uint64)
+            leads = np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False))  # each filter comes before its segment's keys
+            hit = []
+            for begin, end in zip([0, *(leads + 1).tolist()], [*leads.tolist(), len(h)]):
+                if begin and bits[begin - 1].is_valid:
+                    filt.data = np.frombuffer(bits[begin - 1].as_py(), np.uint8)
+                if end > begin:
+                    hit.append(begin + np.flatnonzero(filt.test(np.zeros(end - begin, np.int64), h[begin:end])))
+            at = pa.array(np.concatenate(hit) if hit else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(4).take(at), batch.column(5).take(at)], names=["id", "key"])
+
+    return met.mapInArrow(test, T.StructType([kind, T.StructField("key", T.BinaryType())]))
+
+
 def suspected(narrow: DataFrame, dense, bits: int, least: int) -> DataFrame:
     """``(id, key)`` with a 128-bit digest for every key the twice-seen filter holds."""
 
@@ -178,11 +239,14 @@ def repeated_keys(
     spark = df.sparkSession
     narrow = df.select(text_bytes(text_col).alias("t"), F.col(f"`{id_col}`").alias("id"))
     hashes = scratch.table(key_hashes(narrow, least), "hashes")
-    dense, bits = twice_seen(hashes, hashes.count())
+    count = hashes.count()
+    dense, bits = twice_seen(hashes, count)
+    if np.bitwise_count(dense).sum(dtype=np.int64) <= FULL * 8 * dense.size:
+        suspects = suspected(narrow, spark.sparkContext.broadcast(dense), bits, least)
+    else:
+        suspects = suspected_by_segment(narrow, hashes, count, least, scratch)
+    found = scratch.table(suspects.distinct(), "suspects")
     scratch.drop(hashes)
-    found = scratch.table(
-        suspected(narrow, spark.sparkContext.broadcast(dense), bits, least).distinct(), "suspects"
-    )
     repeated = scratch.table(
         found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).drop("n"),
         "repeated",
@@ -204,9 +268,10 @@ def dedup_lines(
     A key of at least ``min_chars`` code points held by at least ``min_docs`` documents stays in
     the document with the largest id only (there: every line of it). Null and empty texts are one
     empty line and come back empty. Rows repeating an id are one document for the count; rows with
-    a null id are together one document that is never the largest. Empty tables give no rows. The
-    names of the two counts are parameters, so that columns of such names can stay.
+    a null id are together one document that is never the largest. Empty tables give no rows. A column of
+    ``df`` named as one of the two counts gives way to it; the names are parameters, so that it can stay.
     """
+    df = df.drop(*{n_lines, n_dropped} & set(df.columns))
     spark = df.sparkSession
     scratch = Scratch(spark)
     found, repeated = repeated_keys(df, id_col, text_col, min_chars, min_docs, scratch)
