@@ -21,7 +21,7 @@ SEED = "mix-1"
 #: Hex digits of the order that make a bucket: a source is spread over 16 ** 3 tasks at most.
 BUCKET_DIGITS = 3
 
-_SRC, _NUL, _SIZE, _ORD, _BKT = (P + x for x in ("src", "nul", "size", "order", "bucket"))
+_SRC, _NUL, _SIZE, _ORD, _BKT, _TIE = (P + x for x in ("src", "nul", "size", "order", "bucket", "tie"))
 
 
 def cyclic_weights(weights: tuple[float, ...] = WEIGHTS) -> Column:
@@ -54,7 +54,7 @@ def seeded_order(id_col: str, seed: str = SEED) -> Column:
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """All columns and the working ones: size in words, source key, seeded order and bucket."""
+    """All columns and the working ones: size in words, source key, seeded order, bucket, and what settles ties."""
     src = F.col(f"`{source_col}`")
     return (
         df.withColumn(_SIZE, n_words(text_col))
@@ -62,6 +62,7 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFra
         .withColumn(_NUL, src.isNull())
         .withColumn(_ORD, seeded_order(id_col))
         .withColumn(_BKT, F.substring(_ORD, 1, BUCKET_DIGITS))
+        .withColumn(_TIE, F.xxhash64(F.col(f"`{text_col}`")))
     )
 
 
@@ -89,7 +90,7 @@ def mix_sized(
     plan = scratch.table(
         plan.select(_SRC, _NUL, _BKT, *(F.col(c).alias(P + c) for c in ("total", "target", "before", "epochs", "rest"))), "plan"
     )
-    within = Window.partitionBy(_SRC, _NUL, _BKT).orderBy(_ORD, f"`{id_col}`", _SIZE).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(_SRC, _NUL, _BKT).orderBy(_ORD, f"`{id_col}`", _SIZE, _TIE).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(plan, [_SRC, _NUL, _BKT])
     out = out.withColumn(P + "at", F.col(P + "before") + F.coalesce(F.sum(_SIZE).over(within), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col(_SIZE), F.col(P + "rest") - F.col(P + "at")))
@@ -102,8 +103,8 @@ def mix_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """``(id, size, source_size, target, taken)`` for every row.
 
     A null text has size 0 and takes 0; a null source is a source of its own, last in order; a
-    source without words has target 0. Repeated rows are each taken on their own. Empty tables
-    give no rows.
+    source without words has target 0. Repeated rows are each taken on their own; of rows with one id the
+    shorter come first, of equally long ones the order is by a hash of the text. Empty tables give no rows.
     """
     scratch = Scratch(df.sparkSession)
     narrow = sized(df.select(f"`{id_col}`", f"`{text_col}`", f"`{source_col}`"), id_col, text_col, source_col)
@@ -118,7 +119,9 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: each row once for every whole repetition, once more for a fractional one.
 
     The document at the edge of a source's target comes with its first words up to the target.
-    Rows without words are in no repetition. Columns are those of ``df``.
+    Rows without words, null texts among them, are in no repetition; a null source is one of its own, last
+    in order. Repeated rows and null ids are rows like any other; ties are settled as in ``mix_report``. Columns are those
+    of ``df``, whatever their names; an empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession)
     got = mix_sized(sized(df, id_col, text_col, source_col), id_col, scratch, **how)

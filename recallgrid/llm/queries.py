@@ -16,14 +16,17 @@ from .common import documents, labels
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: ``simhash.near_duplicates``, which states how nulls, ties and repeats come out."""
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document: ``substring.substring_report``; one row per id, null and empty texts have none."""
     return substring.substring_report(documents(spark, sf_dir))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a grammar fitted on training rows: one row per row, null and empty texts score as no evidence."""
     docs = documents(spark, sf_dir)
     grammar = toxicity.fit(docs, labels(spark, sf_dir))
     out = toxicity.score_toxicity(docs, grammar)
@@ -33,28 +36,34 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a risk over all of them: one row per row, null and empty texts are the pattern of no words."""
     out = quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(documents(spark, sf_dir))
+    """Lines before and dropped, and the digest of what stays, of every document: one row per row, null is one empty line."""
+    out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in windows: at least one per row, as the null and the empty text have their end id."""
     return packing.pack(documents(spark, sf_dir))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document through a digest cache that is new in each call: one row per row."""
     return tokens.token_counts(documents(spark, sf_dir))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: one row per row; a null source is a source, a null text has size 0."""
     return mixing.mix_report(documents(spark, sf_dir))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdict of every document from the ledger: one row per row; null and empty texts fail ``few_words``."""
     led = rules.ledger(documents(spark, sf_dir).select("doc_id", "text"), prefix="", bits="failures")
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -63,10 +72,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text through TIFF pages and back: one row per row; null is the empty text, 64 zero bytes."""
     return tiff.media_digest(documents(spark, sf_dir))
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy fails, fails alone, and what would be kept without it, over the whole table."""
+    return rules.ablations(rules.ledger(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages over all documents: pieces of what is kept and mixed; an empty table gives no rows."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -74,12 +90,52 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_substring, op3_toxicity, op4_quality, op5_line_dedup, op6_packing, op7_token_counts, op8_mixing, op9_quality_rules, op10_tiff, pipeline)
+    for f in (op1_simhash, op2_substring, op3_toxicity, op4_quality, op5_line_dedup, op6_packing, op7_token_counts, op8_mixing, op9_quality_rules, op10_tiff, quality_rule_ablations, pipeline)
 }
 
 #: The six ASCII white-space characters, and a class of them, as SQL string pieces.
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: The ledger in SQL, with the rules' thresholds written out.
+_LEDGER = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w,
+         generate_subscripts(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1) AS i
+  FROM d),
+g AS (
+  SELECT doc_id, i, w, lead(w, 1) OVER p AS b, lead(w, 2) OVER p AS c, lead(w, 3) OVER p AS d, lead(w, 4) OVER p AS e, lag(w) OVER p AS before
+  FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+h AS (
+  SELECT *, e IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, b, c, d, e) > 1 AS twice FROM g),
+c AS (
+  SELECT doc_id, w, i, max(CASE WHEN twice THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered,
+         sum(CASE WHEN w = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM h),
+r AS (SELECT doc_id, max(n) AS max_run FROM (SELECT doc_id, run, count(*) AS n FROM c GROUP BY doc_id, run) GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, sum(covered) AS n_repeat_words FROM c GROUP BY doc_id),
+l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
+         length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '')) AS n_letters,
+         coalesce(max_run, 0) AS max_run
+  FROM d LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (
+  SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 8 ELSE 0 END
+    + CASE WHEN 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END
+    + CASE WHEN 2 * n_upper > n_letters AND n_letters >= 40 THEN 32 ELSE 0 END
+    + CASE WHEN max_run >= 8 THEN 64 ELSE 0 END) AS failures
+  FROM m)
+"""
+
 ORACLES: dict[str, str] = {
     "op5_line_dedup": f"""
 WITH l AS (
@@ -126,44 +182,19 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_siz
        CAST(epochs * size + greatest(0, least(size, rest - pos)) AS BIGINT) AS taken
 FROM x
 """,
-    "op9_quality_rules": f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w,
-         generate_subscripts(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1) AS i
-  FROM d),
-g AS (
-  SELECT doc_id, i, w, lead(w, 1) OVER p AS b, lead(w, 2) OVER p AS c, lead(w, 3) OVER p AS d, lead(w, 4) OVER p AS e, lag(w) OVER p AS before
-  FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
-h AS (
-  SELECT *, e IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, b, c, d, e) > 1 AS twice FROM g),
-c AS (
-  SELECT doc_id, w, i, max(CASE WHEN twice THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered,
-         sum(CASE WHEN w = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
-  FROM h),
-r AS (SELECT doc_id, max(n) AS max_run FROM (SELECT doc_id, run, count(*) AS n FROM c GROUP BY doc_id, run) GROUP BY doc_id),
-a AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, sum(covered) AS n_repeat_words FROM c GROUP BY doc_id),
-l AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
-  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
-m AS (
-  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
-         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-         length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
-         length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '')) AS n_letters,
-         coalesce(max_run, 0) AS max_run
-  FROM d LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-b AS (
-  SELECT *, (CASE WHEN {rules.RULES[0].fails} THEN 1 ELSE 0 END
-    + CASE WHEN {rules.RULES[1].fails} THEN 2 ELSE 0 END + CASE WHEN {rules.RULES[2].fails} THEN 4 ELSE 0 END
-    + CASE WHEN {rules.RULES[3].fails} THEN 8 ELSE 0 END + CASE WHEN {rules.RULES[4].fails} THEN 16 ELSE 0 END
-    + CASE WHEN {rules.RULES[5].fails} THEN 32 ELSE 0 END + CASE WHEN {rules.RULES[6].fails} THEN 64 ELSE 0 END) AS failures
-  FROM m)
+    "op9_quality_rules": _LEDGER
+    + """
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, failures = 0 AS kept, CAST(failures AS BIGINT) AS failures
 FROM b
-""".replace("{", "").replace("}", ""),
+""",
+    "quality_rule_ablations": _LEDGER
+    + """,
+r2 AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'word_length', 'duplicate_lines', 'capitals', 'one_word_run']) AS rule,
+              unnest([1, 2, 4, 8, 16, 32, 64]) AS bit)
+SELECT rule, count(*) FILTER ((failures & bit) <> 0) AS failed, count(*) FILTER (failures = bit) AS failed_alone,
+       count(*) FILTER (failures = 0) AS kept, count(*) FILTER (failures = 0 OR failures = bit) AS kept_without
+FROM b, r2 GROUP BY rule
+""",
 }

@@ -118,8 +118,11 @@ def failed(bits: str, policy: str | int) -> Column:
 def ledger(df: DataFrame, text_col: str = "text", prefix: str = P, bits: str = P + "failures") -> DataFrame:
     """All rows and columns, the measurements (named with ``prefix``) and the failure bits.
 
-    Null and empty texts measure zero throughout and fail ``few_words``. Nothing is shuffled.
+    Null and empty texts measure zero throughout and fail ``few_words``. Repeated rows and null ids are rows like
+    any other, an empty table gives no rows. A column of ``df`` that has the name of a measurement (with ``prefix``)
+    gives way to it; choose another prefix to keep it. Nothing is shuffled.
     """
+    df = df.drop(*({prefix + m for m in MEASURES} | {bits}) & set(df.columns))
 
     def run(texts: list[bytes]) -> list[list]:
         return list(np.array([measure(t) for t in texts], np.int64).reshape(-1, len(MEASURES)).T)
@@ -137,7 +140,7 @@ def ablations(led: DataFrame, bits: str = P + "failures", policy: str = CURRENT)
     """One row per rule of a policy: documents it fails, fails alone, and kept without it.
 
     The ledger is first counted by its distinct bit patterns, so the rest handles at most
-    2 ** rules rows whatever the corpus.
+    2 ** rules rows whatever the corpus. A ledger without rows gives none.
     """
     m = POLICIES[policy]
     patterns = led.groupBy(F.col(bits).bitwiseAND(F.lit(m)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -154,6 +157,10 @@ def ablations(led: DataFrame, bits: str = P + "failures", policy: str = CURRENT)
 
 
 def keep_good(df: DataFrame, text_col: str = "text", policy: str = CURRENT) -> DataFrame:
-    """The rows that pass the policy, with their own columns only."""
+    """The rows that pass the policy, with their own columns only, whatever their names.
+
+    Null and empty texts fail (``few_words``); repeated rows and null ids are judged like any other; an empty
+    table gives no rows.
+    """
     led = ledger(df, text_col)
     return led.where(~failed(P + "failures", policy)).select(*(f"`{c}`" for c in df.columns))
