@@ -19,9 +19,10 @@ ROWS = [
     (None, None, None),
     (9, "same text in two documents, word for word, ten words at least", "b"),
     (10, "same text in two documents, word for word, ten words at least", "b"),
+    (11, "blank " + " " * 1_000_000 + " run", "a"),
 ]
 #: Further columns whose names operators might use themselves.
-CLASH = ["id", "size", "score", "t", "key", "keys", "fp", "root", "component_id", "n", "y", "digest", "start", "length", "target", "n_words", "x"]
+CLASH = ["id", "size", "score", "t", "key", "keys", "fp", "root", "component_id", "n", "y", "digest", "start", "length", "target", "n_words", "x", "n_lines", "n_dropped", "n_tokens", "taken", "offset", "page", "feature", "failures", "label", "hub"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType())]
     + [T.StructField(c, T.StringType()) for c in CLASH]

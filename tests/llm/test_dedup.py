@@ -101,6 +101,30 @@ def test_bk_forest_finds_every_link_for_any_number_of_blocks(spark):
     assert counts.pop() == frozenset(frozenset(g) for g in want_groups.values() if len(g) > 1)
 
 
+def test_hot_shards_are_cut_finer_and_then_broadcast(spark, monkeypatch):
+    from recallgrid.llm.common import Scratch
+    from recallgrid.llm.components import connected_components
+
+    rng = np.random.default_rng(0)
+    far = np.unique((rng.integers(0, 1 << 62, 400, dtype=np.uint64) & ~np.uint64(0xFFFF)) | np.uint64(0xBEEF))
+    fps = np.unique(np.r_[far, far[:60] ^ np.uint64(7 << 40), far[:60] ^ np.uint64(1 << 20), far[60:90] ^ np.uint64(3 << 30)])
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
+
+    def groups():
+        out = defaultdict(set)
+        for r in connected_components(simhash.shard_links(df, "fp", len(fps)), Scratch(spark)).collect():
+            out[r["root"]].add(r["node"])
+        return frozenset(map(frozenset, out.values()))
+
+    want = groups()
+    assert sum(map(len, want)) == 60 * 3 + 30 * 2
+    for hot, levels, nodes in ((50, 2, 1 << 20), (50, 0, 100), (4, 1, 1 << 20)):
+        monkeypatch.setattr(simhash, "HOT_SHARD", hot)
+        monkeypatch.setattr(simhash, "LEVELS", levels)
+        monkeypatch.setattr(simhash, "TREE_NODES", nodes)
+        assert groups() == want
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     from recallgrid.llm.common import Scratch
     from recallgrid.llm.components import connected_components
@@ -132,6 +156,9 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch):
     want = slow_lines(edge.texts(spark, SF))
     monkeypatch.setattr(linededup, "BROADCAST_KEYS", -1)
     assert key((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(df).collect()) == want
+    monkeypatch.setattr(linededup, "FULL", -1)
+    monkeypatch.setattr(linededup, "SEGMENT_HASHES", 1)
+    assert key((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(df).collect()) == want
     monkeypatch.undo()
     got = key((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(df).collect())
     assert got == slow_lines(edge.texts(spark, SF))
@@ -147,8 +174,11 @@ def test_line_dedup_edge_rows_and_a_full_filter(spark, monkeypatch):
     assert run() == want
     monkeypatch.setattr(linededup, "BROADCAST_KEYS", -1)
     assert run() == want
+    monkeypatch.setattr(linededup, "FULL", -1)  # filters stay with their segments
+    assert run() == want
     out = linededup.dedup_lines(df)
-    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert out.columns == [*(c for c in df.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped"]
+    assert linededup.dedup_lines(df, n_lines="a", n_dropped="b").columns == [*df.columns, "a", "b"]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -180,6 +210,8 @@ def slow_cuts(text, least=substring.LEAST, most=substring.MOST):
                 end = min(reversed(span), key=lambda e: hs[e - 1])
         ends.append(end)
         last = end
+    if len(ends) > 1 and ends[-1] - ends[-2] < least:  # a short tail belongs to the chunk before it
+        del ends[-2]
     return ends
 
 
@@ -198,36 +230,49 @@ def test_cuts_resist_insertions():
 
 
 def slow_report(rows):
-    seen = []
+    """``{id: (n_shared, n_dropped, spans, dropped spans, first ids)}`` from runs of adjoining repeated chunks."""
+    size, seen = {i: len((t or "").encode()) for i, t in rows}, defaultdict(list)
     for i, t in rows:
         b, at = (t or "").encode(), 0
         for end in substring.cuts(b):
-            if end - at >= substring.LEAST:
-                seen.append((i, at, b[at:end]))
+            seen[i].append((at, b[at:end]))
             at = end
     holders, first = defaultdict(set), {}
-    for i, at, c in sorted(seen, key=lambda s: (s[0] is None, s[0] if s[0] is not None else 0, s[1])):
-        holders[c].add(i)
-        first.setdefault(c, (i, at))
-    out = defaultdict(lambda: [0, 0])
-    for i, at, c in seen:
-        out[i][1] += (i, at) != first[c]
-    for i in {i for i, _, _ in seen}:
-        out[i][0] = len({c for j, _, c in seen if j == i and len(holders[c]) > 1})
+    for i in sorted(seen):
+        for at, c in seen[i]:
+            holders[c].add(i)
+            first.setdefault(c, (i, at))
+    out = {}
+    for i in size:
+        found = []
+        for flag in (lambda at, c: len(holders[c]) > 1, lambda at, c: (i, at) != first[c]):
+            runs, on = [], False
+            for at, c in seen[i]:
+                if flag(at, c):
+                    runs = runs if on else [*runs, []]
+                    runs[-1].append((at, c))
+                on = flag(at, c)
+            runs = [(r[0][0], sum(len(c) for _, c in r), r) for r in runs]
+            found.append([r for r in runs if r[1] >= substring.PASSAGE or r[1] == size[i]])
+        out[i] = (
+            *(sum(len(r[2]) for r in runs) for runs in found), *([r[:2] for r in runs] for runs in found),
+            sorted({first[c][0] for r in found[0] for _, c in r[2]}),
+        )
     return out
 
 
 def test_substring_report_matches_brute_force(spark):
     rows = edge.texts(spark, SF)
-    want = slow_report(rows)
     got = substring.substring_report(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["n_shared"], r["n_dropped"]) for r in got} == {i: tuple(want.get(i, (0, 0))) for i, _ in rows}
+    places = lambda spans: [(s["start"], s["length"]) for s in spans]
+    have = {r["doc_id"]: (r["n_shared"], r["n_dropped"], places(r["spans"]), places(r["dropped_spans"]), r["first_doc_ids"]) for r in got}
+    assert have == slow_report(rows)
     for r in got:
-        spans = [(s["start"], s["length"]) for s in r["spans"]]
-        assert spans == sorted(spans) and all(a + n < b for (a, n), (b, _) in zip(spans, spans[1:]))
-        assert bool(r["first_doc_ids"]) == r["repeats"] and all(f <= r["doc_id"] for f in r["first_doc_ids"])
+        spans = places(r["spans"])
+        assert bool(spans) == r["repeats"] and r["n_passages"] == len(spans)
         assert sum(n for _, n in spans) == r["shared_bytes"] and max([n for _, n in spans], default=0) == r["longest_passage"]
+        assert sum(n for _, n in places(r["dropped_spans"])) == r["dropped_bytes"]
 
 
 def test_shared_passages_are_caught_and_others_left(spark):
@@ -243,6 +288,8 @@ def test_shared_passages_are_caught_and_others_left(spark):
         w = t.split()
         for j in range(len(w) - 9):
             short[tuple(w[j : j + 10])].add(i)
+    for i, t in rows:
+        short[t].add(i)  # a whole text, however short
     any_shared = {i for g in short.values() if len(g) > 1 for i in g}
     flagged = {r["doc_id"] for r in substring.substring_report(spark.read.parquet(f"{SF}/documents.parquet")).where("repeats").collect()}
     assert len(shared - flagged) <= 0.02 * len(shared)
@@ -253,12 +300,26 @@ def test_substring_edge_rows(spark):
     df = edge.table(spark)
     got = {r["doc_id"]: r for r in substring.substring_report(df).collect()}
     assert len(got) == len({i for i, _, _ in edge.ROWS})
+    # A whole text that another document holds is a passage however short.
     assert got[9]["n_shared"] and got[10]["n_shared"] and got[9]["n_dropped"] == 0 and got[10]["n_dropped"] > 0
-    assert got[9]["first_doc_ids"] == [] and got[7]["first_doc_ids"] == []  # too short, and shared with none
-    assert got[2]["n_bytes"] == 0 and got[7]["n_dropped"] > 1000
+    assert got[9]["first_doc_ids"] == [9] and got[10]["first_doc_ids"] == [9] and got[7]["first_doc_ids"] == []
+    assert got[2]["n_bytes"] == 0 and got[7]["dropped_bytes"] > 500_000 and not got[7]["repeats"]
     assert substring.substring_report(df.limit(0)).count() == 0
 
 
+def test_short_equal_texts_repeat(spark):
+    got = substring.substring_report(edge.table(spark, [(1, "ok", "a"), (2, "ok", "a"), (3, "no", "a"), (4, "ok or not", "a")])).collect()
+    assert {r["doc_id"]: (r["repeats"], r["n_dropped"], r["first_doc_ids"]) for r in got} == {1: (True, 0, [1]), 2: (True, 1, [1]), 3: (False, 0, []), 4: (False, 0, [])}
+
+
+def test_long_texts_are_merged_in_a_line(spark):
+    rng = np.random.default_rng(0)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(20_000)])
+    long = " ".join(words[rng.integers(0, len(words), 400_000)])
+    got = {r["doc_id"]: r for r in substring.substring_report(edge.table(spark, [(1, long, "a"), (2, "front " + long[1000:], "a")])).drop("source").collect()}
+    assert got[2]["dropped_bytes"] > 0.99 * len(long) and got[1]["n_passages"] == 1
+
+
 def test_digest_of_kept_lines(spark):
     from recallgrid.llm.queries import op5_line_dedup
 

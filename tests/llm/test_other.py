@@ -222,6 +222,25 @@ def test_the_fast_encoder_gives_the_library_ids(text):
     assert tokens.fast_encoder(path)(text) == tokens.library_tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_go_to_the_library():
+    path = tokens.default_vocabulary()
+    for t in (" " * 300_000, "a" * 9000, "x" + "\n" * 5000 + "7" * 5000, "#" * 9000, "é" * 7999, "ab " * 3000 + " " * 3999):
+        assert tokens.fast_encoder(path)(t) == tokens.library_tokenizer(path).encode(t, add_special_tokens=False).ids
+
+
+def test_texts_move_only_where_too_many_digests_say_so(spark, tmp_path, monkeypatch):
+    df = edge.table(spark)
+    run = lambda d, c: sorted((tuple(r) for r in tokens.token_counts(d, cache=f"file://{tmp_path}/{c}").collect()), key=repr)
+    want = run(df, "a")
+    monkeypatch.setattr(tokens, "BROADCAST_DIGESTS", -1)
+    assert run(df, "b") == want and run(df, "b") == want
+    monkeypatch.setattr(tokens, "BROADCAST_DIGESTS", 3)
+    run(df.where("doc_id < 8"), "c")
+    assert run(df, "c") == want
+    run(df.where("doc_id = 8"), "d")  # one hit, many misses
+    assert run(df, "d") == want
+
+
 def test_counts_and_cache(spark, tmp_path, monkeypatch):
     df = edge.table(spark)
     tok = tokens.library_tokenizer(tokens.default_vocabulary())
@@ -291,6 +310,58 @@ def test_planar_and_big_files():
     assert (page[:, :, 0] == plane).all() and (page[:, :, 1] == plane + 100).all()
 
 
+@pytest.mark.parametrize("dtype", [np.float32, np.float64, np.int64, np.uint32])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_wide_samples_and_their_predictors(dtype, order):
+    rng = np.random.default_rng(2)
+    images = [(rng.normal(size=(37, 50)) * 1000).astype(dtype), (rng.normal(size=(9, 8, 3)) * 9).astype(dtype)]
+    for predictor in (1, 3) if np.dtype(dtype).kind == "f" else (1, 2):
+        for tile in (None, (16, 32)):
+            got = list(tiff.pages(tiff.write_tiff(images, tiff.DEFLATE, predictor, 10, tile, order)))
+            assert (got[0][:, :, 0] == images[0]).all() and (got[1] == images[1]).all()
+
+
+def bare_tiff(tags, body):
+    """A little-endian file of one directory: (tag, type, count, value) and what follows the header."""
+    entries = b"".join(struct.pack("<HHI", t, k, n) + struct.pack("<i" if k == 9 else "<I", v) for t, k, n, v in tags)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0"
+
+
+def test_one_bit_samples_are_the_default():
+    body = bytes([0b10110000, 0b01000000])
+    page = next(tiff.pages(bare_tiff([(256, 4, 1, 3), (257, 4, 1, 2), (273, 4, 1, 8), (279, 4, 1, 2)], body)))
+    assert page[:, :, 0].tolist() == [[1, 0, 1], [0, 1, 0]]
+
+
+HOSTILE = [
+    [(256, 9, 1, -5), (257, 4, 1, 2), (258, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, 2)],
+    [(256, 4, 1, 9), (257, 4, 1, 9), (258, 3, 1, 8), (259, 3, 1, 8), (322, 4, 1, 2**32 - 1), (323, 4, 1, 2**32 - 1), (324, 4, 1, 8), (325, 4, 1, 2)],
+    [(256, 4, 1, 2**31), (257, 4, 1, 2**31), (258, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, 2)],
+    [(256, 4, 1, 30_000), (257, 4, 1, 30_000), (258, 3, 1, 8), (259, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, 2)],
+    [(256, 4, 1, 2), (257, 4, 1, 2), (258, 3, 1, 8), (273, 4, 1, 2**32 - 9), (279, 4, 1, 4)],
+    [(256, 4, 1, 2), (257, 4, 1, 2), (258, 3, 1, 8), (277, 3, 1, 0), (273, 4, 1, 8), (279, 4, 1, 4)],
+]
+
+
+@pytest.mark.parametrize("tags", HOSTILE)
+def test_hostile_tags_are_errors(tags):
+    with pytest.raises(tiff.TiffError):
+        list(tiff.pages(bare_tiff(tags, b"abcd")))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([(c, t) for c in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for t in (None, (16, 32))]), st.lists(st.tuples(st.integers(0, 160), st.integers(0, 255)), min_size=1, max_size=8))
+def test_damaged_files_raise_nothing_else(how, damage):
+    data = bytearray(tiff.write_tiff([np.arange(37 * 50, dtype=np.uint8).reshape(37, 50)], how[0], 2, 10, how[1]))
+    for back, value in damage:
+        data[-1 - back] = value
+    try:
+        for page in tiff.pages(bytes(data)):
+            assert page.nbytes <= tiff.MAX_PAGE
+    except (tiff.TiffError, zlib.error):
+        pass
+
+
 def test_page_rows(spark):
     good = tiff.write_tiff([np.zeros((4, 4), np.uint8), np.full((2, 3), 7, np.uint8)], tiff.LZW)
     loop = bytearray(good)
@@ -301,6 +372,10 @@ def test_page_rows(spark):
     assert bytes(next(r for r in rows if r["id"] == 1 and r["page"] == 1)["pixels"]) == b"\7" * 6
     assert all(r["error"] for r in rows if r["id"] in (2, 3, 4)) and any(r["error"] for r in rows if r["id"] == 5)
     assert tiff.tiff_pages(df.limit(0), "id", "media").count() == 0
+    bad = spark.createDataFrame([(i, bytearray(bare_tiff(t, b"abcd"))) for i, t in enumerate(HOSTILE)] + [(9, bytearray(good))], "id long, media binary")
+    rows = tiff.tiff_pages(bad, "id", "media").collect()
+    assert all(r["error"] for r in rows if r["id"] < 9) and not any(r["error"] for r in rows if r["id"] == 9)
+    assert all(r["error"] for r in tiff.tiff_pages(bad, "id", "media", max_page=10).collect() if r["page"] == 0)
 
 
 def test_texts_through_tiff(spark):
@@ -337,10 +412,73 @@ def test_grammar_reads_clauses():
     assert total("") == 0 and total("a calm clean sentence, nothing else") == 0
 
 
+def test_reports_negations_and_threats():
+    g = toxicity.Grammar()
+    total = lambda t: sum(s for _, s in g.clauses(t))
+    said = total("you are an idiot")
+    for t in ("he said you are an idiot", "he said, you are an idiot", 'he said: "you are an idiot"'):
+        assert total(t) == pytest.approx(said * toxicity.REPORTED_FACTOR)
+    assert total("he said hello. you are an idiot") == said and total("no, you are an idiot") == said
+    assert total('you are not an "idiot"') < said
+    assert total("you will be killed") == total("i will kill you") > 0 and total("the lights will be killed") == 0
+    assert total("i will kill or hurt you") == 2 * total("i will kill you") and total("kill it, you know") == 0
+
+
+def naive_clauses(g, text):
+    """The five machines read side by side, each with its own state, without any table."""
+    out, clause, score = [], 0, 0.0
+    held, waits, seen, ready, target, negation, report = [], 0, 0, 0, 0, 0, False
+    for word in toxicity.TOKEN.findall(text.lower()):
+        s, weight = g.symbol(word)
+        if s in (toxicity.PAUSE, toxicity.STOP):
+            if score:
+                out.append((clause, score))
+            clause, score, held, waits, seen, ready, target, negation = clause + 1, 0.0, [], 0, 0, 0, 0, 0
+            report = report and s == toxicity.PAUSE
+            continue
+        scale = (toxicity.NEGATED_FACTOR if negation else 1.0) * (toxicity.REPORTED_FACTOR if report else 1.0)
+        if s == toxicity.INSULT:
+            score += weight * scale * (toxicity.TARGET_FACTOR if target else 1.0)
+        passive = ready and s in (toxicity.THREAT, toxicity.HARMED)
+        if passive:
+            score += weight * scale
+        if s == toxicity.TARGET:
+            score += sum(held) * scale
+        auxiliary = s == toxicity.AUXILIARY and (seen or ready)
+        waits, seen, ready = max(0, waits - 1), max(0, seen - 1), max(0, ready - 1)
+        target, negation = max(0, target - 1), max(0, negation - 1)
+        if passive:
+            waits = seen = ready = 0
+        elif s == toxicity.TARGET:
+            waits, seen, ready, held, target = 0, toxicity.REACH, 0, [], toxicity.REACH
+        elif s == toxicity.THREAT:
+            waits, seen, ready, held = toxicity.REACH, 0, 0, [*held, weight]
+        elif auxiliary:
+            waits, seen, ready = 0, 0, toxicity.REACH
+        if not waits:
+            held = []
+        if s == toxicity.NEGATION:
+            negation = toxicity.REACH
+        report = report or s == toxicity.REPORT
+    return [*out, (clause, score)] if score else out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["you", "idiot", "kill", "hurt", "be", "killed", "not", "said", "word", "a", ",", ".", ": ", "moron"]), max_size=40).map(" ".join))
+def test_the_composed_table_reads_as_the_machines_do(text):
+    g = toxicity.Grammar({"word": 2.5})
+    got, want = g.clauses(text), naive_clauses(g, text)
+    assert [c for c, _ in got] == [c for c, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
 def test_composition_is_total():
-    step, factor, start = toxicity.compose()
-    assert step.min() >= 0 and step.max() < len(step) and factor.min() >= 0
-    assert (factor[:, [toxicity.OTHER, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT]] == 0).all()
+    machines = toxicity.transducers()
+    whole = toxicity.compose(machines)
+    assert [m.name for m in machines] == ["insult", "threat", "target", "negation", "report"]
+    assert all(0 <= to < len(whole.step) for row in whole.step for to in row) and all(f > 0 for row in whole.factor for f in row)
+    assert all(not row[a] for row in whole.emit for a in (toxicity.OTHER, toxicity.NEGATION, toxicity.REPORT, toxicity.AUXILIARY, toxicity.PAUSE, toxicity.STOP))
+    assert all(row[toxicity.STOP] == 0 for row in whole.step)
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -391,6 +529,59 @@ def test_quality_edge_rows(spark):
     assert quality.score_quality(df.limit(0), some).count() == 0
 
 
+def one_hot(patterns):
+    """Indicator columns of the bins of pattern numbers, and a constant."""
+    out = np.zeros((len(patterns), sum(quality.BINS) + 1))
+    rest, offset = patterns.copy(), sum(quality.BINS)
+    for n in reversed(quality.BINS):
+        rest, b = np.divmod(rest, n)
+        offset -= n
+        out[np.arange(len(out)), offset + b] = 1
+    out[:, -1] = 1
+    return out
+
+
+def slow_risk_fit(x, positive, prior, steps):
+    """The non-negative risk row by row: ``x`` one row a document, ``positive`` which of them are trusted."""
+    n, n_p = len(x), positive.sum()
+    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for t in range(1, steps + 1):
+        z = x @ w
+        s = 1 / (1 + np.exp(-z))
+        plus = x[positive].T @ (s[positive] - 1) / n_p * prior
+        minus = x.T @ s / n - prior * x[positive].T @ s[positive] / n_p
+        risk = np.log1p(np.exp(z)).mean() - prior * np.log1p(np.exp(z[positive])).mean()
+        grad = (plus + minus if risk >= 0 else -minus) + quality.RIDGE * np.r_[w[:-1], 0]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - quality.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def slow_pattern(text):
+    """A text's bin pattern from plain measurements."""
+    n, chars, symbols, dup, repeat, lines, upper, letters, run = slow_measure(text)
+    words = WORD.findall(text)
+    value = [n, symbols / max(n, 1), repeat / max(n, 1), dup / max(lines, 1), upper / max(letters, 1), run, chars / max(n, 1), sum(c in "!?" for c in text) / max(n, 1), n / max(lines, 1), len(set(words)) / max(n, 1)]
+    code = 0
+    for (_, _, edges), x in zip(quality.FEATURES, value):
+        code = code * (len(edges) + 1) + sum(x > e for e in edges)
+    return code
+
+
+def test_quality_matches_the_risk_computed_row_by_row(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = edge.texts(spark, SF)
+    trusted = {r["doc_id"] for r in labels.where("quality = 1").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    patterns, positive = np.array([slow_pattern(t or "") for _, t in rows]), np.array([i in trusted for i, _ in rows])
+    x, prior = one_hot(patterns), 0.5
+    for _ in range(3):
+        w = slow_risk_fit(x, positive, prior, quality.STEPS)
+        prior = quality.estimate_prior(x @ w, positive.astype(float), np.ones(len(rows)))
+    w = slow_risk_fit(x, positive, prior, quality.STEPS)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(quality.sigmoid(x @ w).tolist(), abs=1e-4)
+
+
 def test_scores_in_the_engine_equal_those_of_the_fit(spark):
     rng = np.random.default_rng(0)
     patterns = rng.integers(0, int(np.prod(quality.BINS)), 50)
@@ -398,7 +589,7 @@ def test_scores_in_the_engine_equal_those_of_the_fit(spark):
     model = quality.QualityModel(tuple(w.tolist()), 0.5)
     df = spark.createDataFrame([(int(p),) for p in patterns], "pattern long")
     got = [r["s"] for r in df.select(model.score("pattern").alias("s")).collect()]
-    assert got == pytest.approx(quality.sigmoid(quality.one_hot(patterns) @ w).tolist(), abs=1e-9)
+    assert got == pytest.approx(quality.sigmoid(one_hot(patterns) @ w).tolist(), abs=1e-9)
 
 
 def test_prior_and_risk_recover_a_known_mixture():
@@ -413,5 +604,5 @@ def test_prior_and_risk_recover_a_known_mixture():
     pats, back = np.unique(code, return_inverse=True)
     model = quality.fit_patterns(pats, np.bincount(back, labelled), np.bincount(back))
     assert model.prior == pytest.approx(0.7, abs=0.05)
-    score = quality.sigmoid(quality.one_hot(pats) @ np.array(model.weights))[back]
+    score = quality.sigmoid(one_hot(pats) @ np.array(model.weights))[back]
     assert ((score >= 0.5) == y).mean() > 0.99

@@ -3,8 +3,9 @@ from collections import Counter, defaultdict
 import corpus_pipeline as pipe
 from recallgrid.llm import packing, rules, simhash
 from tests.llm import edge
-from tests.llm.test_dedup import slow_components, slow_fingerprint, slow_lines
+from tests.llm.test_dedup import slow_lines
 from tests.llm.test_other import WORD, check_packed, library_ids, slow_measure, slow_targets
+from tests.llm.test_similar import slow_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +30,8 @@ def slow_stages(docs):
         if dropped and not text.strip(" "):
             continue
         b.append((i, text, by[i][2], len(text)))
-    c = {i: comp for i, _, comp in slow_components([(d[0], slow_fingerprint(d[1])) for d in b])}
-    return a, b, [d for d in b if c[d[0]] == d[0]]
+    least = {min(g) for g in slow_similar([(d[0], d[1]) for d in b])}  # five words, similarity 0.8
+    return a, b, [d for d in b if d[0] in least]
 
 
 def key(x):
