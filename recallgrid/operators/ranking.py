@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a global order is cut into.
-RANGES = 64
+#: Ranges that a global order is cut into at least, and rows that a range holds on average at most.
+RANGES, RANGE_ROWS = 64, 500_000
+
+
+def ranges_for(df: DataFrame) -> int:
+    """How many ranges a table's order takes."""
+    return max(RANGES, -(-df.count() // RANGE_ROWS))
 
 
 def _range_of(x: Column, edges: list[float], low: int = 0, high: int | None = None) -> Column:
@@ -19,16 +24,17 @@ def _range_of(x: Column, edges: list[float], low: int = 0, high: int | None = No
 
 
 def with_running_sum(
-    df: DataFrame, value: str, ids: list[str], size: Column, out: str, descending: bool = False, ranges: int = RANGES, by: list[str] | None = None
+    df: DataFrame, value: str, ids: list[str], size: Column, out: str, descending: bool = False, ranges: int | None = None, by: list[str] | None = None
 ) -> DataFrame:
     """Add the sum of ``size`` over rows up to and including each, in the order of value, then ids.
 
     Approximate quantiles cut the values into ranges; range totals give each range its start, and a
     window runs inside a range only. The result doesn't depend on where the cuts fall. With ``by`` the
-    sums run within each group.
+    sums run within each group. The number of ranges grows with the table.
     """
     by = by or []
-    edges = sorted(set(df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
+    ranges = ranges or ranges_for(df)
+    edges = sorted(set(df.approxQuantile(value, [i / ranges for i in range(1, ranges)], min(0.01, 0.5 / ranges)))) if ranges > 1 else []
     at = _range_of(F.col(value), edges)
     df = df.withColumn("_range", -at if descending else at).withColumn("_size", size)
     totals = df.groupBy(*by, "_range").agg(F.sum("_size").alias("_total"))
@@ -42,13 +48,13 @@ def with_running_sum(
 
 
 def with_rank(
-    df: DataFrame, value: str, ids: list[str], out: str = "rk", descending: bool = False, ranges: int = RANGES, by: list[str] | None = None
+    df: DataFrame, value: str, ids: list[str], out: str = "rk", descending: bool = False, ranges: int | None = None, by: list[str] | None = None
 ) -> DataFrame:
     """Add the row's number in the order of value, then ids, counted over the whole table (or group) from 1."""
     return with_running_sum(df, value, ids, F.lit(1).cast("long"), out, descending, ranges, by)
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """``(by..., q)``: exact quantiles with linear interpolation, nulls left out, as an array in the order of ``qs``.
 
     Equal values are counted first, then ranked by ranges, so that neither a task nor an aggregation

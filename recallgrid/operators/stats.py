@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import draw
 from .ranking import exact_quantiles, with_rank, with_running_sum
 
 
@@ -109,21 +108,45 @@ def worst_flag(df: DataFrame, by: str, percent: int, rounding: str = "round", id
     return ranked.withColumn("worst", F.col("_rk") <= F.col("_k")).drop("_rk", "_k")
 
 
+#: 2 ** 32 times the chance that a Poisson variable of mean 1 is at most 0, 1, 2, ...
+POISSON_EDGES = tuple(int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(11))
+
+
+def poisson_sums(per: DataFrame, group: str, sums: list[str], draws: int, by: list[str] | None = None) -> DataFrame:
+    """``(by..., draw, sums...)``: sums over groups, each group counted a Poisson number of times in each draw.
+
+    A group's count follows from the MD5 of its key and the draw's number, four draws from one digest, so groups are
+    neither numbered nor joined: one scan, partially aggregated, however many groups there are.
+    """
+    by = by or []
+    rows = per.select(*by, F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g"), *sums)
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // 4) - 1))))
+    rows = rows.withColumn("_h", F.md5(F.concat("_g", F.lit(":"), F.col("_b").cast("string"))))
+    weight = []
+    for i in range(4):
+        u = F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("long")
+        weight.append(sum((F.when(u >= e, 1).otherwise(0) for e in POISSON_EDGES), F.lit(0)))
+    rows = rows.select(*by, "_b", *sums, *(w.alias(f"_w{i}") for i, w in enumerate(weight)))
+    got = rows.groupBy(*by, "_b").agg(*(F.sum(F.col(c) * F.col(f"_w{i}")).alias(f"{c}_{i}") for i in range(4) for c in sums))
+    each = F.explode(F.array(*(F.struct((F.col("_b") * 4 + i).alias("draw"), *(F.col(f"{c}_{i}").alias(c) for c in sums)) for i in range(4))))
+    return got.select(*by, each.alias("_e")).select(*by, "_e.*").where(F.col("draw") < draws)
+
+
+def poisson_sql(per: str, sums: list[str], draws: int) -> str:
+    """The same in SQL, of a table with ``g`` and the columns to add up."""
+    w = " + ".join(f"CASE WHEN u >= {e} THEN 1 ELSE 0 END" for e in POISSON_EDGES)
+    return f"""SELECT draw, {", ".join(f"sum({c} * w) AS {c}" for c in sums)} FROM (SELECT *, {w} AS w FROM (
+  SELECT *, blk * 4 + part AS draw, CAST('0x' || substr(md5(coalesce(CAST(g AS VARCHAR), '') || ':' || blk), 1 + 8 * part, 8) AS BIGINT) AS u
+  FROM {per}, (SELECT unnest(range(0, {-(-draws // 4)})) AS blk), (SELECT unnest(range(0, 4)) AS part))) WHERE draw < {draws} GROUP BY draw"""
+
+
 def group_bootstrap(df: DataFrame, group: str, x: Column, draws: int) -> DataFrame:
-    """Percentile interval of the mean, resampling whole groups with a counter hash.
+    """Percentile interval of the mean, resampling whole groups by Poisson counts.
 
-    Rows are first reduced to a sum and a count for each group; a draw picks as many groups as there
-    are, by number.
+    Rows are first reduced to a sum and a count for each group. A draw that counts no group has no mean.
     """
     per = df.groupBy(F.col(group).alias("g")).agg(F.sum(x).alias("s"), F.count(x).alias("c"))
-    per = per.withColumn("i", F.row_number().over(Window.orderBy("g")) - 1)
-    total = per.agg(F.count(F.lit(1)).alias("m"))
-    picks = (
-        total.select("m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-        .select("m", "draw", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))).alias("j"))
-        .withColumn("i", (F.floor(draw(draw(F.col("draw") * 100003 + F.col("j")), 77) / 65536) % F.col("m")).cast("int"))
-    )
-    means = picks.join(per, "i").groupBy("draw").agg((F.sum("s") / F.sum("c")).alias("mean"))
+    means = poisson_sums(per, "g", ["s", "c"], draws).where("c <> 0").select((F.col("s") / F.col("c")).alias("mean"))
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     point = per.agg((F.sum("s") / F.sum("c")).alias("point"), F.count(F.lit(1)).alias("groups"))
     return point.crossJoin(means.agg(q.alias("q"), F.stddev_pop("mean").alias("boot_se"))).select(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import draw
+from ..schema import draw, pick
 from .ranking import with_rank
 from .vectors import closest, matrix, nearest, nearest_sums, vector_sums
 
@@ -26,12 +26,12 @@ def assign_nearest(rows: DataFrame, proto: DataFrame, carry: list[str] | None =
     """
     spark = rows.sparkSession
     carry = carry or []
-    got = proto.select("cluster_id", "x").toArrow()
-    ids, m = got["cluster_id"].to_numpy(), matrix(got["x"])
-    if m.size > CENTROID_NUMBERS:
+    if (proto.agg(F.sum(F.size("x"))).first()[0] or 0) > CENTROID_NUMBERS:  # counted before any of them moves
         near = nearest(rows, proto.select(F.col("cluster_id").alias("pos_id"), "x"), 1)
         near = near.select(F.col("query_id").alias("pos_id"), F.col("entry_id").alias("cluster_id"), "dist")
         return near.join(rows.select("pos_id", *carry), "pos_id") if carry else near
+    got = proto.select("cluster_id", "x").toArrow()
+    ids, m = got["cluster_id"].to_numpy(), matrix(got["x"])
     order = np.argsort(ids)
     shared = spark.sparkContext.broadcast((ids[order], m[order] if len(ids) else m))
 
@@ -52,8 +52,12 @@ def lloyd(rows: DataFrame, clusters: int, steps: int = 3) -> DataFrame:
     """Prototypes ``(cluster_id, x)`` after a fixed number of Lloyd steps from the first ids.
 
     A step is one scan that assigns and adds up in the same task, so vectors are never shuffled; only
-    the prototypes pass through the driver and the plan doesn't grow. An empty cluster keeps its centre.
+    the prototypes pass through the driver and the plan doesn't grow. An empty cluster keeps its centre. More than
+    ``CENTROID_NUMBERS`` numbers of prototypes are refused before they are read.
     """
+    wide = rows.select(F.size("x").alias("n")).limit(1).collect()
+    if wide and clusters * wide[0]["n"] > CENTROID_NUMBERS:
+        raise ValueError(f"{clusters} prototypes of {wide[0]['n']} dimensions are over {CENTROID_NUMBERS} numbers")
     first = rows.select("pos_id", "x").orderBy("pos_id").limit(clusters).toArrow()
     ids, m = np.arange(first.num_rows), matrix(first["x"]).copy()
     for _ in range(steps):
@@ -75,7 +79,7 @@ def with_totals(proto: DataFrame, dist: DataFrame) -> DataFrame:
 
 
 def random_clusters(rows: DataFrame, clusters: int, salt: int = 0) -> DataFrame:
-    return rows.withColumn("cluster_id", F.floor(draw(F.col("pos_id"), salt) / 65536) % clusters)
+    return rows.withColumn("cluster_id", pick(F.col("pos_id"), clusters, salt))
 
 
 def means(assigned: DataFrame, clusters: int, dims: int) -> DataFrame:

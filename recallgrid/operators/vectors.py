@@ -32,14 +32,13 @@ def matrix(col: pa.Array) -> np.ndarray:
 def closest(v: np.ndarray, ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Id and distance of the nearest row of ``m`` for each row of ``v``; exact, ties to the lower id."""
     best, dist = np.empty(len(v), np.int64), np.empty(len(v))
+    order = np.argsort(ids, kind="stable")
     for a in range(0, len(v), 1024):
         part = v[a : a + 1024]
-        sq = (part * part).sum(1)[:, None] - 2 * part @ m.T + (m * m).sum(1)[None, :]
-        near = np.argsort(sq, axis=1, kind="stable")[:, :4]  # the exact distance decides among the closest
-        exact = np.sqrt(((part[:, None, :] - m[near]) ** 2).sum(2))
-        first = np.lexsort((ids[near], exact), axis=1)[:, :1]
-        best[a : a + 1024] = ids[np.take_along_axis(near, first, 1)[:, 0]]
-        dist[a : a + 1024] = np.take_along_axis(exact, first, 1)[:, 0]
+        none = (np.zeros((len(part), 0)), np.zeros((len(part), 0), np.int64))
+        best[a : a + 1024] = top_k(part, ids, m, none, 1)[1][:, 0]
+        at = order[np.searchsorted(ids, best[a : a + 1024], sorter=order)]
+        dist[a : a + 1024] = np.sqrt(((part - m[at]) ** 2).sum(1))
     return best, dist
 
 
@@ -144,7 +143,8 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, q_id: str = "pos_id",
     """Exact Euclidean k nearest entries: ``(query_id, rank, entry_id, dist)``, ties to the lower id.
 
     The query side is broadcast if it is proven small; each task then scans its share of the store
-    once and sends k rows a query. Otherwise both sides are cut into blocks and every pair of blocks
+    once and sends k rows a query. Otherwise the store is, if it is proven small: each task ranks its own queries
+    whole, and nothing is shuffled. With neither small both sides are cut into blocks and every pair of blocks
     meets in one task. k beyond the store's size gives the whole store.
     """
     spark = store.sparkSession
@@ -163,11 +163,30 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, q_id: str = "pos_id",
 
         part = s.mapInArrow(scan, "query_id long, entry_id long, dist double")
     else:
+        head = s.limit(BROADCAST_ROWS + 1).toArrow()
+        if 0 < head.num_rows <= BROADCAST_ROWS and head["x"].combine_chunks().flatten().__len__() <= BROADCAST_NUMBERS:
+            return _small_store(q, head, k)
         part = _block_join(q, s, k)
     order = Window.partitionBy("query_id").orderBy("dist", "entry_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "entry_id", "dist")
 
 
+def _small_store(q: DataFrame, store: pa.Table, k: int) -> DataFrame:
+    """``nearest`` with the whole store in each task: queries are ranked where they lie."""
+    shared = q.sparkSession.sparkContext.broadcast((store["e"].to_numpy(), matrix(store["x"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, m = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for got in _ranked(b.column(0).to_numpy(), matrix(b.column(1)), [(ids, m)], k):
+                rank = np.tile(np.arange(1, min(k, len(ids)) + 1, dtype=np.int32), got.num_rows // min(k, len(ids)))
+                yield pa.RecordBatch.from_arrays([got.column(0), pa.array(rank), got.column(1), got.column(2)], names=["query_id", "rank", "entry_id", "dist"])
+
+    return q.mapInArrow(run, "query_id long, rank int, entry_id long, dist double")
+
+
 def _ranked(qi: np.ndarray, qm: np.ndarray, blocks, k: int) -> Iterator[pa.RecordBatch]:
     """Best k of a stream of entry blocks for each query, with exact distances.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import nll, raw_bytes, signature
 from ..operators.stats import worst_flag
-from ..schema import draw
+from ..schema import draw, lcg_sql
 from ..sources import ingest
 from .base_sql import with_base
 from .catalog import n, query, r
@@ -21,7 +21,7 @@ _TOK = """tk AS MATERIALIZED (
       SELECT doc_id, split, list_append(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> ''), '<eos>') AS ts FROM src)))"""
 _CHUNK = """ch AS MATERIALIZED (
   SELECT split, g // 128 AS chunk_id, count(*) AS n, arg_max(doc_id, g) AS doc_id, list(t ORDER BY g) AS tokens FROM tk GROUP BY split, g // 128 HAVING count(*) = 128)"""
-_LCG = "((({0}) * 1103515245 + 12345) % 2147483648)"
+_LCG = lcg_sql("{0}")
 
 
 def _lcg2(x: str, salt: int = 0) -> str:
@@ -197,13 +197,21 @@ def top5_records(w: Workspace) -> DataFrame:
     return rows.select("query_id", join(lambda e: e["entry_id"].cast("string")).alias("ids"), join(lambda e: F.format_string("%.4f", e["dist"])).alias("dists"))
 
 
-@query(with_base("""SELECT chunk_id, round(max(abs(cached - fresh)), 6) AS worst, max(abs(cached - fresh)) < 0.001 AS aligned
-  FROM (SELECT chunk_id, round(p_lm, 4) AS cached, p_lm AS fresh FROM q) GROUP BY chunk_id"""))
+@query(with_base("""SELECT chunk_id, round(max(abs(cached - fresh)), 9) AS worst, max(abs(cached - fresh)) < 0.000001 AS aligned, count(*) AS n
+  FROM (SELECT chunk_id, CAST(CAST(p_lm AS FLOAT) AS DOUBLE) AS cached, p_lm AS fresh FROM q) GROUP BY chunk_id"""))
 def alignment_audit(w: Workspace) -> DataFrame:
-    """A stored column against a fresh one, position by position."""
-    cached = w.truth.select("query_id", F.round("p_lm", 4).alias("cached"))
-    rows = w.truth.join(cached, "query_id").withColumn("gap", F.abs(F.col("cached") - F.col("p_lm")))
-    return rows.groupBy("chunk_id").agg(F.max("gap").alias("g")).select("chunk_id", r(F.col("g")).alias("worst"), (F.col("g") < 0.001).alias("aligned"))
+    """What a saved cache holds, in single precision, against values computed anew, position by position; a position missing on either side isn't aligned."""
+    import uuid
+
+    path = f"{scratch(w)}/audit-{uuid.uuid4().hex}"
+    w.truth.select("query_id", F.col("p_lm").cast("float").alias("cached")).write.parquet(path)
+    cached = w.spark.read.schema("query_id long, cached float").parquet(path)
+    model = ingest.surrogate_model(w.pos).withColumnRenamed("token", "y")
+    fresh = w.pos.where("split <> 'ds'").join(model, ["pos_id", "y"]).select(F.col("pos_id").alias("query_id"), F.col("p").alias("p_lm"))
+    rows = cached.join(fresh, "query_id", "full").join(w.truth.select("query_id", "chunk_id"), "query_id")
+    gap = F.abs(F.col("cached").cast("double") - F.col("p_lm"))
+    got = rows.groupBy("chunk_id").agg(F.max(gap).alias("g"), F.count(F.when(gap.isNull(), 1)).alias("missing"), F.count(F.lit(1)).alias("n"))
+    return got.select("chunk_id", r(F.col("g"), 9).alias("worst"), ((F.col("g") < 0.000001) & (F.col("missing") == 0)).alias("aligned"), "n")
 
 
 @query(with_base("""SELECT rule, count(*) FILTER (worst) AS n FROM (

@@ -11,7 +11,7 @@ from ..operators import em, read, store
 from ..operators.heads import softmax_head
 from ..operators.ranking import with_rank
 from ..operators.stats_extra import ari_nmi, contingency
-from ..schema import draw
+from ..schema import draw, pick_sql
 from .base_sql import with_base
 from .catalog import n, query, r
 from .q_read import K, TAU
@@ -147,7 +147,7 @@ def component_report(w: Workspace) -> DataFrame:
 
 @query(with_base("""SELECT round((pc - pa * pb / (t * (t - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2)), 6) AS ari, round(2 * (lc / t - la / t - lb / t + ln(t)) / ((ln(t) - la / t) + (ln(t) - lb / t)), 6) AS nmi FROM
   (SELECT sum(n) AS t, sum(n * (n - 1) / 2) AS pc, sum(n * ln(n)) AS lc FROM cells), (SELECT sum(m * (m - 1) / 2) AS pa, sum(m * ln(m)) AS la FROM (SELECT a, sum(n) AS m FROM cells GROUP BY a)), (SELECT sum(m * (m - 1) / 2) AS pb, sum(m * ln(m)) AS lb FROM (SELECT b, sum(n) AS m FROM cells GROUP BY b))""",
-  ("cells", f"SELECT a.cluster_id AS a, b.cluster_id AS b, count(*) AS n FROM asg a JOIN (SELECT pos_id, CAST(floor(((pos_id * 1103515245 + 12345) % 2147483648) / 65536) AS BIGINT) % {CLUSTERS} AS cluster_id FROM ds) b USING (pos_id) GROUP BY 1, 2")))
+  ("cells", f"SELECT a.cluster_id AS a, b.cluster_id AS b, count(*) AS n FROM asg a JOIN (SELECT pos_id, CAST({pick_sql('pos_id', CLUSTERS)} AS BIGINT) AS cluster_id FROM ds) b USING (pos_id) GROUP BY 1, 2")))
 def assignment_similarity(w: Workspace) -> DataFrame:
     """Agreement of two clusterings of the same entries."""
     other = store.random_clusters(w.ds, CLUSTERS).select("pos_id", F.col("cluster_id").alias("b"))
@@ -156,13 +156,18 @@ def assignment_similarity(w: Workspace) -> DataFrame:
 
 @query()
 def ml_kmeans(w: Workspace) -> DataFrame:
-    """The library's seeded k-means: sizes and cost."""
+    """The library's seeded k-means: sizes, and the squared distances of each cluster to its centre and in all."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = w.ds.select("pos_id", array_to_vector("x").alias("features")).persist()
-    got = KMeans(k=CLUSTERS, seed=42, maxIter=10).fit(rows).transform(rows)
-    return got.groupBy(F.col("prediction").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))
+    model = KMeans(k=CLUSTERS, seed=42, maxIter=10).fit(rows)
+    centres = store.frame(w.spark, range(CLUSTERS), np.array(model.clusterCenters()))
+    own = model.transform(rows).select("pos_id", F.col("prediction").cast("long").alias("cluster_id"))
+    gap = F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    got = own.join(w.ds.select("pos_id", "x"), "pos_id").join(centres.withColumnRenamed("x", "c"), "cluster_id").groupBy("cluster_id")
+    got = got.agg(F.count(F.lit(1)).alias("n"), F.sum(gap).alias("cost"))
+    return got.select("cluster_id", "n", r("cost"), r(F.lit(float(model.summary.trainingCost))).alias("total"))
 
 
 @query()
@@ -230,7 +235,13 @@ def anchors_random(w: Workspace) -> DataFrame:
     return rows.withColumn("rk", F.row_number().over(Window.partitionBy("cluster_id").orderBy(key, "other"))).where("rk <= 4").select("cluster_id", "other", n("rk"))
 
 
-@query()
+_DIVERSE = """WITH RECURSIVE div AS (SELECT cluster_id, 0 AS rk, cluster_id AS other, [cluster_id] AS chosen FROM proto
+  UNION ALL SELECT f.cluster_id, f.rk + 1, f.next, list_append(f.chosen, f.next) FROM (SELECT d.cluster_id, d.rk, d.chosen, (SELECT arg_min(cluster_id, (-round(m, 9), cluster_id)) FROM (
+    SELECT e.cluster_id, min(list_distance(e.x, c.x)) AS m FROM proto e, proto c WHERE list_contains(d.chosen, c.cluster_id) GROUP BY e.cluster_id)) AS next FROM div d WHERE d.rk < 4) f)
+SELECT cluster_id, other, CAST(rk AS BIGINT) AS rk FROM div WHERE rk > 0"""
+
+
+@query(with_base("SELECT * FROM (" + _DIVERSE + ")"))
 def anchors_diverse(w: Workspace) -> DataFrame:
     """From a prototype, each next anchor is the prototype farthest from all chosen."""
     p = w.proto.orderBy("cluster_id").select("cluster_id", "x").toPandas()  # the prototypes, as in a Lloyd step

@@ -9,14 +9,14 @@ from ..functions.scalar import guarded_ratio
 from ..operators import read, stats, store
 from ..operators import stats_extra as info
 from ..operators.ranking import with_rank, with_running_sum
-from ..schema import draw
+from ..schema import draw, lcg_sql
 from .base_sql import with_base
 from .catalog import n, query, r
 from .q_read import _HYB, _J12, affine, anchors, feature, joint_counts  # noqa: F401
 from .q_read import _ANC, _FS
 from .workspace import RAW_K, Workspace
 
-_LCG = "((({0}) * 1103515245 + 12345) % 2147483648)"
+_LCG = lcg_sql("{0}")
 _FR = ("fr", "SELECT query_id, token, sum(w) AS p FROM rw GROUP BY 1, 2")
 _FST = ("fst", "SELECT a.query_id, d.token, sum(a.w * d.cnt / p.total) AS p FROM sw a JOIN dist d USING (cluster_id) JOIN proto p USING (cluster_id) WHERE p.total > 0 GROUP BY 1, 2")
 _JS = ("js", """SELECT query_id, sum(CASE WHEN a > 0 THEN a * ln(a / ((a + b) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN b > 0 THEN b * ln(b / ((a + b) / 2)) ELSE 0 END) / 2 AS js FROM (
@@ -89,6 +89,13 @@ def cluster_rewards(w: Workspace) -> DataFrame:
     return got.orderBy(F.round("m", 9).desc(), "cluster_id").limit(10).select("cluster_id", "n", r(F.col("m")).alias("mean_reward"))
 
 
+@query(with_base("SELECT top1 AS cluster_id, count(*) AS n, round(avg(nll_lm - nll_state), 6) AS mean_reward FROM perq GROUP BY 1 HAVING count(*) >= 3 ORDER BY round(avg(nll_lm - nll_state), 9), 1 LIMIT 10"))
+def cluster_rewards_bottom(w: Workspace) -> DataFrame:
+    """The ten clusters that help least, of those nearest to three queries at least."""
+    got = w.perq.groupBy(F.col("top1").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("nll_lm") - F.col("nll_state")).alias("m")).where("n >= 3")
+    return got.orderBy(F.round("m", 9), "cluster_id").limit(10).select("cluster_id", "n", r(F.col("m")).alias("mean_reward"))
+
+
 @query(with_base("SELECT p.cluster_id, count(s.query_id) AS uses FROM proto p LEFT JOIN (SELECT * FROM snbr WHERE rank <= 4) s USING (cluster_id) GROUP BY 1"))
 def cluster_usage(w: Workspace) -> DataFrame:
     uses = w.snbr.where("rank <= 4").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("c"))
@@ -342,11 +349,9 @@ def wilcoxon_lineitem(w: Workspace) -> DataFrame:
 
 
 def _boot_sql(src: str, draws: int) -> str:
-    return f"""WITH per AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY g) - 1 AS i FROM ({src})),
-m AS MATERIALIZED (SELECT count(*) AS m FROM per),
-picks AS (SELECT d.draw, CAST(floor({_LCG.format('(' + _LCG.format('d.draw * 100003 + j.j') + ') + 77')} / 65536) AS BIGINT) % m.m AS i FROM m, (SELECT unnest(range(0, {draws})) AS draw) d, (SELECT unnest(range(0, (SELECT m FROM m))) AS j) j),
-means AS (SELECT draw, sum(s) / sum(c) AS mean FROM picks JOIN per USING (i) GROUP BY draw)
-SELECT (SELECT m FROM m) AS groups, round((SELECT sum(s) / sum(c) FROM per), 6) AS point, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, round(stddev_pop(mean), 6) AS boot_se FROM means"""
+    return f"""WITH per AS MATERIALIZED (SELECT * FROM ({src})), sums AS MATERIALIZED ({stats.poisson_sql("per", ["s", "c"], draws)}),
+means AS (SELECT s / c AS mean FROM sums WHERE c <> 0)
+SELECT (SELECT count(*) FROM per) AS groups, round((SELECT sum(s) / sum(c) FROM per), 6) AS point, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, round(stddev_pop(mean), 6) AS boot_se FROM means"""
 
 
 def _boot(df: DataFrame, group: str, x, draws: int) -> DataFrame:
@@ -370,24 +375,75 @@ def paired_bootstrap(w: Workspace) -> DataFrame:
     return _boot(w.val, "query_id", F.col("nll_lm") - F.col("nll_state"), 500)
 
 
-_RATIO = """WITH per AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY g) - 1 AS i FROM (SELECT chunk_id AS g, sum(nll_lm - nll_state) AS s, sum(nll_lm - nll_raw) AS c FROM perq GROUP BY 1)),
-m AS MATERIALIZED (SELECT count(*) AS m FROM per),
-picks AS (SELECT d.draw, CAST(floor({0} / 65536) AS BIGINT) % m.m AS i FROM m, (SELECT unnest(range(0, 500)) AS draw) d, (SELECT unnest(range(0, (SELECT m FROM m))) AS j) j),
-means AS (SELECT draw, sum(s) / sum(c) AS mean FROM picks JOIN per USING (i) GROUP BY draw HAVING abs(sum(c)) > 0.01)
-SELECT round((SELECT sum(s) / sum(c) FROM per), 6) AS point, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, count(*) AS stable FROM means""".format(_LCG.format("(" + _LCG.format("d.draw * 100003 + j.j") + ") + 77"))
+_RATIO = f"""WITH per AS MATERIALIZED (SELECT chunk_id AS g, sum(nll_lm - nll_state) AS s, sum(nll_lm - nll_raw) AS c FROM perq GROUP BY 1),
+sums AS MATERIALIZED ({stats.poisson_sql("per", ["s", "c"], 500)}), means AS (SELECT s / c AS mean FROM sums WHERE abs(c) > 0.01)
+SELECT point, lo, hi, stable, CASE WHEN stable < 475 THEN 'unstable' WHEN lo > 0 OR hi < 0 THEN 'stable' ELSE 'undecided' END AS label FROM (
+  SELECT round((SELECT sum(s) / sum(c) FROM per), 6) AS point, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, count(*) AS stable FROM means)"""
 
 
 @query(with_base("SELECT * FROM (" + _RATIO + ")"))
 def recovery_ci(w: Workspace) -> DataFrame:
-    """Ratio of total gains with a chunk interval; draws with a small denominator are left out."""
+    """Ratio of total gains with a chunk interval; draws with a small denominator are left out, and too many of them make it unstable."""
     per = w.perq.groupBy(F.col("chunk_id").alias("g")).agg(F.sum(F.col("nll_lm") - F.col("nll_state")).alias("s"), F.sum(F.col("nll_lm") - F.col("nll_raw")).alias("c"))
-    per = per.withColumn("i", F.row_number().over(Window.orderBy("g")) - 1)
-    m = per.agg(F.count(F.lit(1)).alias("m"), (F.sum("s") / F.sum("c")).alias("point"))
-    picks = m.select("m", F.explode(F.sequence(F.lit(0), F.lit(499))).alias("draw")).select("m", "draw", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int"))).alias("j"))
-    picks = picks.select("draw", (F.floor(draw(draw(F.col("draw") * 100003 + F.col("j")), 77) / 65536) % F.col("m")).cast("int").alias("i"))
-    means = picks.join(per, "i").groupBy("draw").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("abs(c) > 0.01").select((F.col("s") / F.col("c")).alias("x"))
+    point = per.agg((F.sum("s") / F.sum("c")).alias("point"))
+    means = stats.poisson_sums(per, "g", ["s", "c"], 500).where("abs(c) > 0.01").select((F.col("s") / F.col("c")).alias("x"))
     q = means.agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("stable"))
-    return m.crossJoin(q).select(r("point"), r(F.col("q")[0]).alias("lo"), r(F.col("q")[1]).alias("hi"), "stable")
+    got = point.crossJoin(q).select(r("point"), r(F.col("q")[0]).alias("lo"), r(F.col("q")[1]).alias("hi"), "stable")
+    label = F.when(F.col("stable") < 475, "unstable").when((F.col("lo") > 0) | (F.col("hi") < 0), "stable").otherwise("undecided")
+    return got.withColumn("label", label)
+
+
+_JOINT = f"""WITH per AS MATERIALIZED (SELECT chunk_id AS g, sum(nll_lm - nll_state) AS s, sum(nll_lm - nll_raw) AS t, count(*) AS c FROM val GROUP BY 1),
+sums AS MATERIALIZED ({stats.poisson_sql("per", ["s", "t", "c"], 500)}), means AS (SELECT s / c AS a, t / c AS b FROM sums WHERE c <> 0)
+SELECT round(quantile_cont(a, 0.025), 6) AS state_lo, round(quantile_cont(a, 0.975), 6) AS state_hi, round(quantile_cont(b, 0.025), 6) AS raw_lo, round(quantile_cont(b, 0.975), 6) AS raw_hi,
+  round(quantile_cont(a - b, 0.025), 6) AS diff_lo, round(quantile_cont(a - b, 0.975), 6) AS diff_hi, round(avg(CASE WHEN a > 0 AND b > 0 THEN 1.0 ELSE 0.0 END), 6) AS both_help, count(*) AS draws FROM means"""
+
+
+@query(with_base("SELECT * FROM (" + _JOINT + ")"))
+def joint_bootstrap(w: Workspace) -> DataFrame:
+    """Gains of both reads, their difference and their agreement over the same resampled chunks."""
+    per = w.val.groupBy(F.col("chunk_id").alias("g")).agg(F.sum(F.col("nll_lm") - F.col("nll_state")).alias("s"), F.sum(F.col("nll_lm") - F.col("nll_raw")).alias("t"), F.count(F.lit(1)).alias("c"))
+    means = stats.poisson_sums(per, "g", ["s", "t", "c"], 500).where("c <> 0").select((F.col("s") / F.col("c")).alias("a"), (F.col("t") / F.col("c")).alias("b"))
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    got = means.agg(
+        *(F.percentile(x, ends).alias(k) for k, x in (("state", F.col("a")), ("raw", F.col("b")), ("diff", F.col("a") - F.col("b")))),
+        info.share_of((F.col("a") > 0) & (F.col("b") > 0)).alias("both_help"), F.count(F.lit(1)).alias("draws"),
+    )
+    return got.select(*(r(F.col(k)[i]).alias(f"{k}_{end}") for k in ("state", "raw", "diff") for i, end in enumerate(("lo", "hi"))), r("both_help"), "draws")
+
+
+_MOMENTS = ["n", "a", "b", "aa", "bb", "ab"]
+_CORR_OF = "(n * ab - a * b) / sqrt((n * aa - a * a) * (n * bb - b * b))"
+_CORR_CI = f"""WITH ranked AS MATERIALIZED (SELECT query_id, chunk_id, delta_d AS x, delta_l AS y, rank() OVER (ORDER BY delta_d) + (count(*) OVER (PARTITION BY delta_d) - 1) / 2 AS rx, rank() OVER (ORDER BY delta_l) + (count(*) OVER (PARTITION BY delta_l) - 1) / 2 AS ry FROM perq),
+vars AS (SELECT 'pearson' AS kind, chunk_id, x, y FROM ranked UNION ALL SELECT 'spearman', chunk_id, rx, ry FROM ranked),
+mid AS (SELECT kind, avg(x) AS mx, avg(y) AS my, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 AND count(*) FILTER (y <> 0) >= 5 THEN corr(x, y) END AS point FROM vars GROUP BY kind),
+per AS MATERIALIZED (SELECT kind, chunk_id AS g, count(*) AS n, sum(x - mx) AS a, sum(y - my) AS b, sum((x - mx) * (x - mx)) AS aa, sum((y - my) * (y - my)) AS bb, sum((x - mx) * (y - my)) AS ab FROM vars JOIN mid USING (kind) GROUP BY 1, 2),
+draws AS (SELECT 'pearson' AS kind, * FROM ({stats.poisson_sql("(SELECT * FROM per WHERE kind = 'pearson')", _MOMENTS, 200)}) UNION ALL SELECT 'spearman', * FROM ({stats.poisson_sql("(SELECT * FROM per WHERE kind = 'spearman')", _MOMENTS, 200)}))
+SELECT kind, round(max(point), 6) AS point, round(quantile_cont(c, 0.025), 6) AS lo, round(quantile_cont(c, 0.975), 6) AS hi, count(*) AS draws
+FROM (SELECT kind, {_CORR_OF} AS c FROM draws WHERE (n * aa - a * a) > 1e-12 AND (n * bb - b * b) > 1e-12) JOIN mid USING (kind) WHERE point IS NOT NULL GROUP BY kind"""
+
+
+@query(with_base("SELECT * FROM (" + _CORR_CI + ")"))
+def correlation_interval(w: Workspace) -> DataFrame:
+    """Pearson and Spearman correlations with chunk intervals; none where a side has no variance or fewer than five values differ from zero.
+
+    Spearman's resamples correlate the ranks of the whole table. Draws are made of moments about the means, a
+    row for each chunk, so nothing is sorted again.
+    """
+    both = stats.average_ranks(stats.average_ranks(w.perq.select("chunk_id", "delta_d", "delta_l"), F.col("delta_d"), "rx"), F.col("delta_l"), "ry")
+    pairs = (("pearson", "delta_d", "delta_l"), ("spearman", "rx", "ry"))
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for k, x, y in pairs))
+    rows = both.select("chunk_id", F.explode(each).alias("e")).select("chunk_id", "e.*")
+    fair = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0) & (F.count(F.when(F.col("y") != 0, 1)) >= 5)
+    mid = rows.groupBy("kind").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.when(fair, F.corr("x", "y")).alias("point"))
+    c = rows.join(F.broadcast(mid), "kind").select("kind", "chunk_id", (F.col("x") - F.col("mx")).alias("u"), (F.col("y") - F.col("my")).alias("v"), "point")
+    per = c.groupBy("kind", F.col("chunk_id").alias("g")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("u").alias("a"), F.sum("v").alias("b"), F.sum(F.col("u") * F.col("u")).alias("aa"), F.sum(F.col("v") * F.col("v")).alias("bb"),
+        F.sum(F.col("u") * F.col("v")).alias("ab"), F.max("point").alias("point"),
+    )
+    draws = stats.poisson_sums(per.where("point IS NOT NULL"), "g", _MOMENTS, 200, ["kind", "point"]).where("(n * aa - a * a) > 1e-12 AND (n * bb - b * b) > 1e-12")
+    got = draws.groupBy("kind", "point").agg(F.percentile(F.expr(_CORR_OF), F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("draws"))
+    return got.select("kind", r("point"), r(F.col("q")[0]).alias("lo"), r(F.col("q")[1]).alias("hi"), "draws")
 
 
 @query(with_base("SELECT count(*) AS n, round(corr(delta_d, delta_l), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM (SELECT delta_d, delta_l, rank() OVER (ORDER BY delta_d) + (count(*) OVER (PARTITION BY delta_d) - 1) / 2 AS ra, rank() OVER (ORDER BY delta_l) + (count(*) OVER (PARTITION BY delta_l) - 1) / 2 AS rb FROM perq)"))
@@ -514,6 +570,49 @@ def alignment_summary(w: Workspace) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("pairs"), r(F.corr("emb", "pred")).alias("pearson"), F.count(F.when((F.col("emb") > 0) & (F.col("pred") < 0.7), 1)).alias("discriminated"))
 
 
+_NEAR = ("near", """SELECT t1, t2, emb, pred, row_number() OVER (PARTITION BY t1 ORDER BY round(emb, 9) DESC, t2) AS re, row_number() OVER (PARTITION BY t1 ORDER BY round(pred, 9) DESC, t2) AS rp
+  FROM (SELECT t1, t2, emb, pred FROM tsim UNION ALL SELECT t2, t1, emb, pred FROM tsim)""")
+
+
+@query(with_base("""SELECT t1 AS token, count(*) FILTER (re <= 3 AND rp <= 3) / 3.0 AS overlap, round(3.0 / count(*), 6) AS by_chance,
+  round(avg(CASE WHEN emb > pred THEN 1.0 ELSE 0.0 END), 6) AS prefers_embedding FROM near GROUP BY t1""", _TV, _TSIM, _NEAR))
+def neighbour_preferences(w: Workspace) -> DataFrame:
+    """Of each token: how many of its three nearest tokens by mean vector are so by cluster profile, against chance, and how often the former is the more alike."""
+    p = token_pairs(w)
+    both = p.unionByName(p.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "emb", "pred"))
+    rank = lambda c: F.row_number().over(Window.partitionBy("t1").orderBy(F.round(c, 9).desc(), "t2"))
+    rows = both.withColumn("re", rank("emb")).withColumn("rp", rank("pred"))
+    got = rows.groupBy(F.col("t1").alias("token")).agg(F.count(F.when((F.col("re") <= 3) & (F.col("rp") <= 3), 1)).alias("k"), F.count(F.lit(1)).alias("n"), info.share_of(F.col("emb") > F.col("pred")).alias("e"))
+    return got.select("token", (F.col("k") / 3.0).alias("overlap"), r(3.0 / F.col("n")).alias("by_chance"), r(F.col("e")).alias("prefers_embedding"))
+
+
+@query(with_base("""SELECT c1 AS cluster_id, c2 AS other_id, common, CASE WHEN common >= 3 THEN round(rho, 6) END AS rho FROM (
+  SELECT a.cluster_id AS c1, b.cluster_id AS c2, count(*) AS common, CASE WHEN stddev_pop(a.cnt) > 0 AND stddev_pop(b.cnt) > 0 THEN corr(a.cnt, b.cnt) END AS rho FROM dist a JOIN dist b ON a.token = b.token AND a.cluster_id < b.cluster_id GROUP BY 1, 2)"""))
+def region_pairs(w: Workspace) -> DataFrame:
+    """Correlation of token counts between any two clusters that share tokens, from three common ones on: as many rows as such pairs of clusters."""
+    a = w.dist.select(F.col("cluster_id").alias("c1"), "token", F.col("cnt").alias("ca"))
+    b = w.dist.select(F.col("cluster_id").alias("c2"), "token", F.col("cnt").alias("cb"))
+    rho = F.when((F.stddev_pop("ca") > 0) & (F.stddev_pop("cb") > 0), F.corr("ca", "cb"))
+    got = a.join(b, "token").where("c1 < c2").groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("common"), rho.alias("rho"))
+    return got.select(F.col("c1").alias("cluster_id"), F.col("c2").alias("other_id"), "common", F.when(F.col("common") >= 3, F.round("rho", 6)).alias("rho"))
+
+
+@query(with_base("""SELECT query_id, raw_token, state_token, round(raw_margin, 6) AS raw_margin, round(state_margin, 6) AS state_margin FROM (
+  SELECT a.query_id, a.t AS raw_token, b.t AS state_token, ln(a.p / x.p) AS raw_margin, ln(b.p / y.p) AS state_margin FROM
+  (SELECT query_id, max_by(token, (round(p, 9), -token)) AS t, max(p) AS p FROM fr GROUP BY 1) a JOIN (SELECT query_id, max_by(token, (round(p, 9), -token)) AS t, max(p) AS p FROM fst GROUP BY 1) b USING (query_id)
+  JOIN fr x ON x.query_id = a.query_id AND x.token = b.t JOIN fst y ON y.query_id = a.query_id AND y.token = a.t WHERE a.t <> b.t)""", _FR, _FST))
+def preference_changes(w: Workspace) -> DataFrame:
+    """Queries whose likeliest token changes between the reads, where both give either some mass: tokens and log margins."""
+    tops = []
+    for kind, d in (("r", raw_dist(w)), ("s", state_dist(w))):
+        tops.append(d.groupBy("query_id").agg(F.max_by("token", F.struct(F.round("p", 9).alias("p"), (-F.col("token")).alias("t"))).alias(f"{kind}t"), F.max("p").alias(f"{kind}p")))
+    rows = tops[0].join(tops[1], "query_id").where("rt <> st")
+    x = raw_dist(w).select("query_id", F.col("token").alias("st"), F.col("p").alias("xp"))
+    y = state_dist(w).select("query_id", F.col("token").alias("rt"), F.col("p").alias("yp"))
+    got = rows.join(x, ["query_id", "st"]).join(y, ["query_id", "rt"])
+    return got.select("query_id", F.col("rt").alias("raw_token"), F.col("st").alias("state_token"), r(F.ln(F.col("rp") / F.col("xp"))).alias("raw_margin"), r(F.ln(F.col("sp") / F.col("yp"))).alias("state_margin"))
+
+
 @query(with_base("SELECT a.query_id, a.token AS t1, b.token AS t2, round(ln(a.p / b.p), 6) AS raw_margin, round(ln(c.p / d.p), 6) AS state_margin FROM fr a JOIN fr b ON a.query_id = b.query_id AND a.token < b.token JOIN fst c ON c.query_id = a.query_id AND c.token = a.token JOIN fst d ON d.query_id = a.query_id AND d.token = b.token WHERE round(ln(a.p / b.p), 9) * round(ln(c.p / d.p), 9) < 0", _FR, _FST))
 def preference_reversals(w: Workspace) -> DataFrame:
     """Token pairs that both reads order the other way round."""

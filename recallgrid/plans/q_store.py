@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import store
 from ..operators.vectors import nearest, nearest_expr
+from ..schema import lcg_sql, pick_sql
 from .base_sql import knn_sql, lloyd_sql, with_base
 from .catalog import n, query, r
 from .workspace import CLUSTERS, STEPS, Workspace
 
-_LCG = "((({0}) * 1103515245 + 12345) % 2147483648)"
-_RAND = f"SELECT pos_id, y, x, CAST(floor({_LCG.format('pos_id')} / 65536) AS BIGINT) % {CLUSTERS} AS cluster_id FROM ds"
+_LCG = lcg_sql("{0}")
+_RAND = f"SELECT pos_id, y, x, CAST({pick_sql('pos_id', CLUSTERS)} AS BIGINT) AS cluster_id FROM ds"
 _KNN = "SELECT query_id, CAST(rank AS BIGINT) AS rank, entry_id, round(dist, 6) AS dist FROM nbr WHERE rank <= 10"
 
 

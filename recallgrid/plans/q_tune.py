@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.scalar import compressed_bytes, interpolate, nll, raw_bytes
 from ..operators import policy, read, store
 from ..operators.vectors import nearest
-from ..schema import draw
+from ..schema import draw, lcg_sql, pick_sql
 from .base_sql import knn_sql, lloyd_sql, softmax_sql, state_p_sql, with_base
 from .catalog import n, query, r
+from .q_read import _HYB
 from .workspace import CLUSTERS, GRID_ALPHA, GRID_K, GRID_TAU, RAW_ALPHA, RAW_TAU, STATE_ALPHA, STATE_GRID_K, STATE_K, STATE_TAU, STEPS, Workspace
 
-_LCG = "((({0}) * 1103515245 + 12345) % 2147483648)"
+_LCG = lcg_sql("{0}")
 
 
 def _grid_sql(ks, taus) -> str:
@@ -193,7 +194,7 @@ def ablate_majority(w: Workspace) -> DataFrame:
 # The compressed store built in other ways, read alike.
 _CONS = {
     "kmeans": ("SELECT pos_id, y, cluster_id FROM asg", "SELECT cluster_id, x FROM proto", "count(*)::DOUBLE"),
-    "random": (f"SELECT pos_id, y, CAST(floor({_LCG.format('pos_id')} / 65536) AS BIGINT) % {CLUSTERS} AS cluster_id FROM ds", "", "count(*)::DOUBLE"),
+    "random": (f"SELECT pos_id, y, CAST({pick_sql('pos_id', CLUSTERS)} AS BIGINT) AS cluster_id FROM ds", "", "count(*)::DOUBLE"),
     "utility": ("SELECT pos_id, y, cluster_id FROM asg", "SELECT cluster_id, x FROM proto", "sum(-ln(p_lm + 1e-12) + 0.1)"),
     "query_kmeans": (f"SELECT p.pos_id, p.y, arg_min(c.cluster_id, (list_distance(p.x, c.x), c.cluster_id)) AS cluster_id FROM ds p, kq{STEPS} c GROUP BY 1, 2", f"SELECT cluster_id, x FROM kq{STEPS}", "count(*)::DOUBLE"),
 }
@@ -301,14 +302,25 @@ def budget_baselines(w: Workspace) -> DataFrame:
     return p.groupBy("kind").agg(at("ct").alias("a"), at("val").alias("b")).select("kind", r(F.col("a")).alias("ct_nll"), r(F.col("b")).alias("val_nll"))
 
 
-@query()
+_BASELINES = f"""SELECT kind, round(avg(-ln({RAW_ALPHA} * p + (1 - {RAW_ALPHA}) * p_lm + 1e-12)) FILTER (split = 'ct'), 6) AS ct_nll, round(avg(-ln({RAW_ALPHA} * p + (1 - {RAW_ALPHA}) * p_lm + 1e-12)) FILTER (split = 'val'), 6) AS val_nll FROM (
+  SELECT kind, query_id, split, p_lm, sum(CASE WHEN token = y THEN e ELSE 0 END) / sum(e) AS p FROM (
+    SELECT s.kind, q.query_id, q.split, q.p_lm, q.y, d.y AS token, exp(-list_distance(q.x, d.x) / {RAW_TAU}) AS e FROM sel s JOIN ds d USING (pos_id), q) GROUP BY ALL) GROUP BY kind"""
+
+
+@query(with_base("SELECT b.kind AS kind, b.ct_nll AS ct_nll, b.val_nll AS val_nll FROM (SELECT arg_min({'kind': kind, 'ct_nll': ct_nll, 'val_nll': val_nll}, (ct_nll, kind)) AS b FROM (" + _BASELINES + "))", _SELX, ("sel", _budget_sql())))
 def best_budget_strategy(w: Workspace) -> DataFrame:
     """Chosen on ct, never on val."""
     rows = budget_baselines(w)
     return rows.agg(F.min_by(F.struct("kind", "ct_nll", "val_nll"), F.struct("ct_nll", "kind")).alias("b")).select("b.*")
 
 
-@query()
+_FAR = """WITH RECURSIVE far AS (SELECT 0 AS step, pos_id, 0.0::DOUBLE AS dist, [pos_id] AS chosen FROM (SELECT min(pos_id) AS pos_id FROM ds)
+  UNION ALL SELECT step + 1, b.pos_id, b.d, list_append(chosen, b.pos_id) FROM (SELECT f.step, f.chosen, (SELECT {{'pos_id': arg_min(pos_id, (-round(d, 9), pos_id)), 'd': max(d)}} FROM (
+    SELECT e.pos_id, min(list_distance(e.x, c.x)) AS d FROM ds e, ds c WHERE list_contains(f.chosen, c.pos_id) GROUP BY e.pos_id)) AS b FROM far f WHERE f.step < {last}))
+SELECT step, pos_id, round(dist, 6) AS dist FROM far"""
+
+
+@query(with_base("SELECT * FROM (" + _FAR.format(last=CLUSTERS - 1) + ")"))
 def farthest_first(w: Workspace) -> DataFrame:
     """Coverage selection: each next entry is the one farthest from those chosen.
 
@@ -319,6 +331,58 @@ def farthest_first(w: Workspace) -> DataFrame:
     return run(w.ds, CLUSTERS).select("step", "pos_id", r("dist"))
 
 
+_TAUS, _ALPHAS = (0.25, 0.5, 1.0), (0.1, 0.3, 0.5)
+_RETUNED = f"""SELECT kind, tau, alpha, round(ct, 6) AS ct_nll, round(val, 6) AS val_nll FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(ct, 9), tau, alpha) AS rk FROM (
+  SELECT kind, tau, alpha, avg(-ln(alpha * p + (1 - alpha) * p_lm + 1e-12)) FILTER (split = 'ct') AS ct, avg(-ln(alpha * p + (1 - alpha) * p_lm + 1e-12)) FILTER (split = 'val') AS val FROM (
+    SELECT kind, tau, query_id, split, p_lm, sum(CASE WHEN token = y THEN exp(-(dist - dmin) / tau) ELSE 0 END) / sum(exp(-(dist - dmin) / tau)) AS p FROM (
+      SELECT s.kind, q.query_id, q.split, q.p_lm, q.y, d.y AS token, list_distance(q.x, d.x) AS dist, min(list_distance(q.x, d.x)) OVER (PARTITION BY s.kind, q.query_id) AS dmin
+      FROM (SELECT * FROM sel UNION ALL SELECT 'farthest', pos_id FROM far) s JOIN ds d USING (pos_id), q), (SELECT unnest({list(_TAUS)})::DOUBLE AS tau) GROUP BY ALL),
+  (SELECT unnest({list(_ALPHAS)})::DOUBLE AS alpha) GROUP BY ALL)) WHERE rk = 1"""
+
+
+@query(with_base(_RETUNED, _SELX, ("sel", _budget_sql()), ("far", _FAR.format(last=CLUSTERS - 1))))
+def retuned_baselines(w: Workspace) -> DataFrame:
+    """Every selection of equal size, farthest-first among them, read at the temperature and mixture that are best for it on ct."""
+    ids = budget_selections(w).unionByName(farthest_first(w).select(F.lit("farthest").alias("kind"), "pos_id"))
+    kept = w.ds.join(ids.select("pos_id").distinct(), "pos_id", "left_semi")
+    pairs = nearest(w.q.select(F.col("query_id").alias("pos_id"), "x"), kept, CLUSTERS * 8)
+    rows = pairs.join(ids.withColumnRenamed("pos_id", "entry_id"), "entry_id").join(w.ds.select(F.col("pos_id").alias("entry_id"), F.col("y").alias("token")), "entry_id").join(w.truth, "query_id")
+    low = F.min("dist").over(Window.partitionBy("kind", "query_id"))
+    rows = rows.withColumn("gap", F.col("dist") - low)
+    e = lambda tau: F.exp(-F.col("gap") / tau)
+    p = rows.groupBy("kind", "query_id", "split", "p_lm").agg(*((F.sum(F.when(F.col("token") == F.col("y"), e(t)).otherwise(0.0)) / F.sum(e(t))).alias(f"p{i}") for i, t in enumerate(_TAUS)))
+    loss = lambda i, a: nll(interpolate(F.col(f"p{i}"), F.col("p_lm"), a))
+    grid = F.explode(F.array(*(F.struct(F.lit(t).alias("tau"), F.lit(a).alias("alpha"), loss(i, a).alias("loss")) for i, t in enumerate(_TAUS) for a in _ALPHAS)))
+    at = lambda s: F.avg(F.when(F.col("split") == s, F.col("g.loss")))
+    means = p.select("kind", "split", grid.alias("g")).groupBy("kind", "g.tau", "g.alpha").agg(at("ct").alias("ct"), at("val").alias("val"))
+    best = means.groupBy("kind").agg(F.min_by(F.struct("tau", "alpha", "ct", "val"), F.struct(F.round("ct", 9).alias("c"), "tau", "alpha")).alias("b"))
+    return best.select("kind", "b.tau", "b.alpha", r(F.col("b.ct")).alias("ct_nll"), r(F.col("b.val")).alias("val_nll"))
+
+
+_HALF = f"({_LCG.format('chunk_id')} // 65536 % 2)"
+_RANKED = f"""SELECT cluster_id, row_number() OVER (PARTITION BY half ORDER BY s DESC, cluster_id) AS rk, half FROM (
+  SELECT top1 AS cluster_id, {_HALF} AS half, round(avg(greatest(0, delta_l)), 9) AS s FROM perq WHERE split = 'ct' GROUP BY 1, 2)"""
+
+
+@query(with_base(f"SELECT half, round(beta, 2) AS beta, round(loss, 6) AS other_half_nll, kept, shared FROM (SELECT half, max(kept) AS kept, max(shared) AS shared, arg_min(beta, (round(loss, 9), beta)) AS beta, min(loss) AS loss FROM (SELECT t.half, beta, avg(-ln({STATE_ALPHA} * (a + beta * b) + (1 - {STATE_ALPHA}) * p_lm + 1e-12)) AS loss, max(k.kept) AS kept, max(k.shared) AS shared FROM (SELECT 1 - {_HALF} AS half, a, b, q.p_lm FROM aff JOIN q USING (query_id) WHERE split = 'ct') t JOIN (SELECT x.half, count(*) AS kept, count(y.cluster_id) AS shared FROM (SELECT * FROM ranked WHERE rk <= 5) x LEFT JOIN (SELECT * FROM ranked WHERE rk <= 5) y ON y.cluster_id = x.cluster_id AND y.half = 1 - x.half GROUP BY 1) k ON k.half = t.half, (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS beta) GROUP BY 1, 2) GROUP BY half)", *_HYB, ("ranked", _RANKED)))
+def split_selection(w: Workspace) -> DataFrame:
+    """Clusters ranked on one half of the tuning chunks, beta tuned on the other, and what both halves' best five share."""
+    from .q_read import affine
+
+    half = F.floor(draw(F.col("chunk_id")) / 65536) % 2
+    ct = w.perq.where("split = 'ct'").withColumn("half", half)
+    s = ct.groupBy("half", F.col("top1").alias("cluster_id")).agg(F.round(F.avg(F.greatest(F.lit(0.0), "delta_l")), 9).alias("s"))
+    best = s.withColumn("rk", F.row_number().over(Window.partitionBy("half").orderBy(F.col("s").desc(), "cluster_id"))).where("rk <= 5")
+    other = best.select((1 - F.col("half")).alias("half"), "cluster_id", F.lit(1).alias("too"))
+    kept = best.join(other, ["half", "cluster_id"], "left").groupBy("half").agg(F.count(F.lit(1)).alias("kept"), F.count("too").alias("shared"))
+    rows = affine(w).where("split = 'ct'").select("query_id", "a", "b", "p_lm").join(ct.select("query_id", (1 - F.col("half")).alias("half")), "query_id")
+    betas = (0.0, 0.25, 0.5, 0.75, 1.0)
+    grid = F.explode(F.array(*(F.struct(F.lit(b).alias("beta"), nll(interpolate(F.col("a") + b * F.col("b"), F.col("p_lm"), STATE_ALPHA)).alias("loss")) for b in betas)))
+    means = rows.select("half", grid.alias("g")).groupBy("half", "g.beta").agg(F.avg("g.loss").alias("loss"))
+    tuned = means.groupBy("half").agg(F.min_by("beta", F.struct(F.round("loss", 9).alias("l"), "beta")).alias("beta"), F.min("loss").alias("loss"))
+    return tuned.join(kept, "half").select("half", r("beta", 2), r(F.col("loss")).alias("other_half_nll"), "kept", "shared")
+
+
 # Retention budgets.
 _PRI = ("pri", "SELECT c.cluster_id, coalesce(round(avg(greatest(0, v.delta_l)), 9), 0) AS score FROM proto c LEFT JOIN (SELECT * FROM perq WHERE split = 'ct') v ON v.top1 = c.cluster_id GROUP BY c.cluster_id")
 _USE = ("use", "SELECT cluster_id, round(avg(greatest(0, delta_l)), 9) AS s, count(*) AS hits FROM (SELECT top1 AS cluster_id, delta_l FROM perq WHERE split = 'ct') GROUP BY cluster_id")
@@ -486,9 +550,16 @@ def storage(w: Workspace) -> DataFrame:
 
 @query()
 def match_budget(w: Workspace) -> DataFrame:
-    """The number of clusters whose count of (cluster, token) pairs comes nearest a target, by bisection."""
+    """The number of clusters whose count of (cluster, token) pairs comes nearest a target, by bisection up to one cluster an entry.
+
+    No store has fewer pairs than distinct tokens, so a target below that can't be met. Within a hundredth of the
+    target the search ends.
+    """
     target = 100
-    low, high, best = 1, 64, None
+    floor, size = w.ds.agg(F.countDistinct("y"), F.count(F.lit(1))).first()
+    low, high, best = 1, size, None
+    if target < floor:
+        return w.spark.createDataFrame([(target, None, floor, False)], "target int, clusters int, pairs int, feasible boolean")
     while low <= high:
         c = max(low, min(high, int(round((low * high) ** 0.5))))
         rows = store.assign_nearest(w.ds, store.lloyd(w.ds, c, 2), ["y"])
@@ -499,9 +570,9 @@ def match_budget(w: Workspace) -> DataFrame:
             low = c + 1
         elif t > target:
             high = c - 1
-        else:
+        if abs(t - target) <= 0.01 * target:
             break
-    return w.spark.createDataFrame([(target, *best)], "target int, clusters int, pairs int")
+    return w.spark.createDataFrame([(target, *best, True)], "target int, clusters int, pairs int, feasible boolean")
 
 
 @query()
@@ -518,7 +589,7 @@ def best_beta(w: Workspace) -> DataFrame:
     g, lo, hi = (5**0.5 - 1) / 2, 0.0, 1.0
     x, y = hi - g * (hi - lo), lo + g * (hi - lo)
     fx, fy = loss(x), loss(y)
-    while hi - lo > 1e-3:
+    while hi - lo > 1e-4:
         if fx <= fy:
             hi, y, fy = y, x, fx
             x = hi - g * (hi - lo)

@@ -35,6 +35,29 @@ def split_of_draw(r: Column, ds: float = 0.7, ct: float = 0.15) -> Column:
 
 
 def draw(id_col: Column, salt: int = 0) -> Column:
-    """A portable pseudo-random integer of an id; the same in every engine with 64-bit integers."""
+    """A portable pseudo-random integer below 2 ** 31 of any 64-bit id; the same in every engine with 64-bit integers.
+
+    The id is reduced first, so that no id overflows.
+    """
+    a, c, m = LCG
+    small = F.pmod(id_col.cast("long"), F.lit(m).cast("long"))
+    return (F.pmod(small + F.lit(salt), F.lit(m).cast("long")) * F.lit(a).cast("long") + F.lit(c)) % F.lit(m).cast("long")
+
+
+def pick(id_col: Column, many: Column | int, salt: int = 0) -> Column:
+    """A portable choice among ``many``, from the high halves of two draws: 30 bits."""
+    one = draw(id_col, salt)
+    high = lambda d: F.floor(d / 65536)
+    return (high(one) * 32768 + high(draw(one))) % many
+
+
+def lcg_sql(x: str) -> str:
+    """``draw`` in SQL."""
     a, c, m = LCG
-    return ((id_col + F.lit(salt)) * F.lit(a).cast("long") + F.lit(c)) % F.lit(m).cast("long")
+    return f"(((({x}) % {m} + {m}) % {m} * {a} + {c}) % {m})"
+
+
+def pick_sql(x: str, many: int) -> str:
+    """``pick`` in SQL."""
+    high = lambda d: f"({d} // 65536)"
+    return f"(({high(lcg_sql(x))} * 32768 + {high(lcg_sql(lcg_sql(x)))}) % {many})"

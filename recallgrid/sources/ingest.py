@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..operators.vectors import nearest, vector_sums
 from ..schema import POSITIONS_PER_CHUNK, draw, split_of, split_of_draw
 
+#: Turns that a conversation may have before ids of the next begin.
+TURNS = 1 << 20
 #: Named corpora: a reader giving (doc_id, text).
 CORPORA: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "documents": lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"),
     "benchmark": lambda spark, d: spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text"),
     "conversations": lambda spark, d: spark.read.parquet(f"{d}/conversations.parquet").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"
+        (F.col("conv_id") * TURNS + F.col("turn")).alias("doc_id"), "text"
     ),
 }
 
