@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import nll, raw_bytes, signature
 from ..operators.stats import worst_flag
+from ..session import scratch_root
 from ..schema import draw, lcg_sql
 from ..sources import ingest
 from .base_sql import with_base
@@ -125,15 +126,7 @@ def cache_roundtrip(w: Workspace) -> DataFrame:
 
 
 def scratch(w: Workspace) -> str:
-    """The shared folder for written tables; a local master may fall back to its own."""
-    root = w.spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if w.spark.sparkContext.master.startswith("local"):
-        import tempfile
-
-        return "file://" + tempfile.mkdtemp(prefix="recallgrid-")
-    return w.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return scratch_root(w.spark)
 
 
 @query(with_base("""SELECT kind, count(*) AS n, count(k) AS with_k, round(sum(value), 4) AS total FROM (

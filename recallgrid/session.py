@@ -1,14 +1,17 @@
-"""Making a session's Python workers able to import this package."""
+"""Sending the package to a session's Python workers, and the folder its written tables go to."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own_roots: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,3 +32,23 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for written tables: ``spark.checkpoint.dir`` where it is set.
+
+    Unset, a cluster gets a folder in its warehouse, which executors share; a local master, as in tests, a temporary
+    folder that is removed when the driver's Python ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_roots:
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="recallgrid-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own_roots[app] = "file://" + folder
+        else:
+            _own_roots[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return _own_roots[app]
