@@ -12,7 +12,6 @@ Conventions every operator here follows:
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,31 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import scratch_root, ship
 
 #: A word: a run of anything but the space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 P = "__rg_"
 
-_own_roots: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written tables: ``spark.checkpoint.dir`` where it is set.
-
-    Unset, a local master gets a temporary folder and a cluster the warehouse folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        if spark.sparkContext.master.startswith("local"):
-            _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="recallgrid-")
-        else:
-            _own_roots[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return _own_roots[app]
-
 
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
@@ -66,6 +46,7 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/rg-{uuid.uuid4().hex}"
         self._count = 0
         self._paths: dict[int, str] = {}
+        self._keep: list[DataFrame] = []  # so that no other frame gets the number of one that is gone
         atexit.register(self._at_exit)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -74,7 +55,6 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
-        self._keep = getattr(self, "_keep", [])
         self._keep.append(out)
         return out
 
