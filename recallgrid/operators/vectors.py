@@ -187,6 +187,64 @@ def _small_store(q: DataFrame, store: pa.Table, k: int) -> DataFrame:
     return q.mapInArrow(run, "query_id long, rank int, entry_id long, dist double")
 
 
+def packed(store: DataFrame, s_id: str = "pos_id", x: str = "x", rows: int = 512) -> DataFrame:
+    """A store as blocks ``(ids, vectors, dims)`` of raw numbers, to be written or cached for many searches.
+
+    A search then hands whole blocks to BLAS instead of reading lists number by number. Blocks keep to their
+    input partition; vectors are doubles, or floats where the column holds floats.
+    """
+    kind = "<f4" if "float" in store.schema[x].dataType.simpleString() else "<f8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, rows):
+                part = b.slice(a, rows)
+                m = matrix(part.column(1))
+                cells = [part.column(0).to_numpy().astype("<i8").tobytes()], [m.astype(kind).tobytes()], [m.shape[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.binary()), pa.array(cells[1], pa.binary()), pa.array(cells[2], pa.int32())], names=["ids", "vectors", "dims"])
+
+    return store.select(F.col(s_id).cast("long"), F.col(x)).mapInArrow(run, "ids binary, vectors binary, dims int")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of packed rows, several blocks at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in batches:
+        for ids, raw, dims in zip(b.column(0), b.column(1), b.column(2)):
+            i = np.frombuffer(ids.as_buffer(), "<i8")
+            v = np.frombuffer(raw.as_buffer(), "<f4" if raw.as_buffer().size == 4 * len(i) * dims.as_py() else "<f8")
+            held.append((i, v.reshape(len(i), -1).astype(np.float64)))
+            if sum(len(i) for i, _ in held) >= BLOCK_ROWS:
+                yield np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])
+                held = []
+    if held:
+        yield np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])
+
+
+def nearest_packed(queries: DataFrame, blocks: DataFrame, k: int, q_id: str = "pos_id", x: str = "x") -> DataFrame:
+    """``nearest`` over a ``packed`` store, the same rows. Queries too many to broadcast meet the store unpacked."""
+    spark = blocks.sparkSession
+    head = queries.select(F.col(q_id).cast("long").alias("q"), F.col(x).alias("x")).limit(BROADCAST_ROWS + 1).toArrow()
+    qi, qm = head["q"].to_numpy(), matrix(head["x"].combine_chunks())
+    if len(qi) > BROADCAST_ROWS or qm.size > BROADCAST_NUMBERS:
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, m in _blocks(batches):
+                offsets = np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))], names=["pos_id", "x"])
+
+        return nearest(queries.select(F.col(q_id).alias("pos_id"), F.col(x).alias("x")), blocks.mapInArrow(unpack, "pos_id long, x array<double>"), k)
+    shared = spark.sparkContext.broadcast((qi, qm))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(shared.value[0]):
+            yield from _ranked(*shared.value, _blocks(batches), k)
+
+    part = blocks.mapInArrow(scan, "query_id long, entry_id long, dist double")
+    order = Window.partitionBy("query_id").orderBy("dist", "entry_id")
+    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "entry_id", "dist")
+
+
 def _ranked(qi: np.ndarray, qm: np.ndarray, blocks, k: int) -> Iterator[pa.RecordBatch]:
     """Best k of a stream of entry blocks for each query, with exact distances.
 

@@ -61,6 +61,13 @@ def test_many_equal_vectors_and_every_join(spark, monkeypatch):
             rows = vectors.nearest(points(spark, q), points(spark, m), 3)
         got = rows.orderBy("query_id", "rank").collect()
         assert [[(r["entry_id"], round(r["dist"], 9)) for r in got[3 * i : 3 * i + 3]] for i in range(len(q))] == want
+    monkeypatch.undo()
+    blocks = vectors.packed(points(spark, m).repartition(3), rows=50)
+    for limit in (8192, 2):
+        monkeypatch.setattr(vectors, "BROADCAST_ROWS", limit)
+        got = vectors.nearest_packed(points(spark, q), blocks, 3).orderBy("query_id", "rank").collect()
+        assert [[(r["entry_id"], round(r["dist"], 9)) for r in got[3 * i : 3 * i + 3]] for i in range(len(q))] == want
+    assert vectors.nearest_packed(points(spark, q).limit(0), blocks, 3).count() == 0
     ids, d = vectors.closest(q, np.arange(600), m)
     assert ids.tolist() == [w[0][0] for w in want] and np.round(d, 9).tolist() == [w[0][1] for w in want]
 
