@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices
 
 LIMIT = 512
+#: Bytes of text up to which texts are shuffled by digest in any case.
+SMALL_BYTES = 64 << 20
 #: Digests at most that are broadcast (32 bytes and an id each: about 40 MB).
 BROADCAST_DIGESTS = 500_000
 #: Characters of one kind in a row that send a text to the library (any half as many may).
@@ -152,7 +154,8 @@ def token_counts(
     texts = df.select(F.col(f"`{id_col}`").alias("id"), digest.alias("digest"), text.alias("text"))
     several = wanted.where("rows > 1").select("digest", "holder")
     few = lambda t: t.count() <= BROADCAST_DIGESTS
-    stay = few(several)
+    # A table so small may lie in one task's share of the input; its texts are spread by a shuffle that costs nothing.
+    stay = (rows.agg(F.sum("n_bytes")).first()[0] or 0) > SMALL_BYTES and few(several)
     if path_exists(spark, f"{table}/_SUCCESS"):
         known = spark.read.schema("digest binary, n_tokens long").parquet(table).select("digest")
         hits = scratch.table(wanted.join(known, "digest", "left_semi").select("digest"), "hits")

@@ -232,6 +232,8 @@ def test_texts_move_only_where_too_many_digests_say_so(spark, tmp_path, monkeypa
     df = edge.table(spark)
     run = lambda d, c: sorted((tuple(r) for r in tokens.token_counts(d, cache=f"file://{tmp_path}/{c}").collect()), key=repr)
     want = run(df, "a")
+    monkeypatch.setattr(tokens, "SMALL_BYTES", -1)  # texts stay where they lie
+    assert run(df, "e") == want and run(df, "e") == want
     monkeypatch.setattr(tokens, "BROADCAST_DIGESTS", -1)
     assert run(df, "b") == want and run(df, "b") == want
     monkeypatch.setattr(tokens, "BROADCAST_DIGESTS", 3)
