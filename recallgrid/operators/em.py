@@ -179,6 +179,33 @@ def hungarian(cost: np.ndarray) -> list[int]:
     return out
 
 
+def agreement(cells: DataFrame, most: int = 4096) -> DataFrame:
+    """``(n, agreed, agreement, size_corr)`` of two clusterings from their contingency ``cells(a, b, n)``.
+
+    Clusters are matched one to one so that the rows both put together are as many as can be; ``size_corr`` is the
+    correlation of the matched clusters' sizes, null where a side has no variance. The matrix of clusters is on the
+    driver and bounded: more than ``most`` clusters on a side are refused before it is read.
+    """
+    spark = cells.sparkSession
+    sides = [[r[0] for r in cells.select(c).distinct().orderBy(c).limit(most + 1).collect()] for c in ("a", "b")]
+    if max(map(len, sides)) > most:
+        raise ValueError(f"more than {most} clusters to match")
+    schema = "n long, agreed long, agreement double, size_corr double"
+    if not sides[0]:
+        return spark.createDataFrame([], schema)
+    size = max(map(len, sides))
+    table = np.zeros((size, size))
+    got = cells.toArrow()
+    at = [{k: i for i, k in enumerate(side)} for side in sides]
+    for a, b, n in zip(got["a"].to_pylist(), got["b"].to_pylist(), got["n"].to_pylist()):
+        table[at[0][a], at[1][b]] += n
+    match = hungarian(-table)
+    agreed = float(sum(table[i, j] for i, j in enumerate(match)))
+    one, two = table.sum(1), table.sum(0)[match]
+    corr = float(np.corrcoef(one, two)[0, 1]) if size > 1 and one.std() > 0 and two.std() > 0 else None
+    return spark.createDataFrame([(int(table.sum()), int(agreed), agreed / float(table.sum()), corr)], schema)
+
+
 def principal(rows: DataFrame, dims: int = 2) -> DataFrame:
     """``(pos_id, pc)``: leading principal coordinates; a direction's largest entry is positive.
 

@@ -133,6 +133,15 @@ def match_components(w: Workspace) -> DataFrame:
     return matched(w)
 
 
+@query()
+def assignment_agreement(w: Workspace) -> DataFrame:
+    """Agreement of a clustering of the entries with one of their queries' clusters after matching, and the correlation of matched sizes."""
+    centres = store.lloyd(w.q.select(F.col("query_id").alias("pos_id"), "x"), CLUSTERS, 2)
+    other = store.assign_nearest(w.ds, centres).select("pos_id", F.col("cluster_id").alias("b"))
+    cells = contingency(w.assigned.withColumnRenamed("cluster_id", "a").join(other, "pos_id"), "a", "b")
+    return em.agreement(cells).select("n", "agreed", r("agreement"), r("size_corr"))
+
+
 @query()
 def component_report(w: Workspace) -> DataFrame:
     """Movement, mass and content divergence of matched components."""

@@ -89,3 +89,22 @@ def test_ranks_do_not_depend_on_the_ranges(spark, monkeypatch):
     one = sorted(map(tuple, with_rank(df, "v", ["id"], ranges=1).select("id", "rk").collect()))
     monkeypatch.setattr("recallgrid.operators.ranking.RANGE_ROWS", 10)
     assert sorted(map(tuple, with_rank(df, "v", ["id"]).select("id", "rk").collect())) == one
+
+
+def test_agreement_is_the_best_of_all_matchings(spark):
+    from itertools import permutations
+
+    from recallgrid.operators import em
+
+    rng = np.random.default_rng(3)
+    for rows, cols in ((5, 5), (4, 6), (1, 1)):
+        t = rng.integers(0, 20, (rows, cols))
+        cells = spark.createDataFrame([(100 + i, j, int(t[i, j])) for i in range(rows) for j in range(cols) if t[i, j]] or [(100, 0, 1)], "a long, b long, n long")
+        t = t if t.any() else np.ones((1, 1), int)
+        full = np.zeros((max(t.shape), max(t.shape)), int)
+        full[: t.shape[0], : t.shape[1]] = t
+        got = em.agreement(cells).first()
+        assert got["agreed"] == max(sum(full[i, p[i]] for i in range(len(full))) for p in permutations(range(len(full)))) and got["n"] == t.sum()
+    assert em.agreement(cells.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        em.agreement(spark.range(9).selectExpr("id AS a", "id AS b", "1 AS n"), most=8)
