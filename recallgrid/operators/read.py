@@ -7,11 +7,18 @@ over prototypes names them ``cluster_id``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import interpolate, nll, softmax_weights, sq_dist, unrolled_sq_dist, weights_of
+from .vectors import NEAR, matrix
 
+#: Queries and members of a cluster that meet in one task at most, and distances held at a time.
+PART_QUERIES, PART_MEMBERS, HELD = 8192, 65_536, 4_000_000
 #: Longest vectors whose distance is written out term by term.
 UNROLL = 128
 
@@ -103,6 +110,76 @@ def member_terms(
     return softmax_weights(rows.withColumn("dm", F.sqrt("sq")), tau, by, "wm", "dm")
 
 
+def member_sums(
+    weighted: DataFrame, members: DataFrame, queries: DataFrame, kernel: str = "softmax", tau: float = 0.1, sigma: float = 1.0,
+    parts: tuple[int, int] = (PART_QUERIES, PART_MEMBERS),
+) -> DataFrame:
+    """``member_terms`` added up by token: ``(query_id, cluster_id, w, token, wm)``, which every reader of terms takes.
+
+    A cluster's queries meet its members in one task, where distances are a matrix product, so a vector moves once
+    for each cluster it is read in and no row is made for a pair. A cluster with more queries or members than ``parts`` is cut into parts whose
+    pairs meet in tasks of their own; their sums, each relative to its own greatest score, then meet by query and token.
+    """
+    on = ["query_id", "cluster_id"] if "cluster_id" in queries.columns else ["query_id"]
+    left = weighted.select("query_id", "cluster_id", "w").join(queries, on).select("cluster_id", "query_id", "w", "qx")
+    right = members.select("cluster_id", "pos_id", "token", "mx")
+    count = lambda d, name: d.groupBy("cluster_id").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(weighted, "nq").join(count(members, "nm"), "cluster_id")
+    most = sizes.agg(F.max("nq").alias("q"), F.max("nm").alias("m")).first()
+    cut = (most["q"] or 0) > parts[0] or (most["m"] or 0) > parts[1]
+    keys = ["cluster_id"]
+    if cut:
+        many = sizes.select("cluster_id", F.ceil(F.col("nq") / parts[0]).alias("_nq"), F.ceil(F.col("nm") / parts[1]).alias("_nm"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = left.join(many, "cluster_id").withColumn("_q", F.pmod(F.xxhash64("query_id"), "_nq")).withColumn("_m", every("_nm")).drop("_nq", "_nm")
+        right = right.join(many, "cluster_id").withColumn("_m", F.pmod(F.xxhash64("pos_id"), "_nm")).withColumn("_q", every("_nq")).drop("_nq", "_nm")
+        keys = ["cluster_id", "_q", "_m"]
+    token = members.schema["token"].dataType
+    out = T.StructType([T.StructField("query_id", weighted.schema["query_id"].dataType), T.StructField("cluster_id", weighted.schema["cluster_id"].dataType), T.StructField("w", T.DoubleType()), T.StructField("token", token), T.StructField("top", T.DoubleType()), T.StructField("e", T.DoubleType())])
+
+    def meet(q: pa.Table, m: pa.Table) -> pa.Table:
+        names = ["query_id", "cluster_id", "w", "token", "top", "e"]
+        coded = pc.dictionary_encode(m["token"].combine_chunks(), null_encoding="encode")
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        mx, qx = matrix(m["mx"])[order], matrix(q["qx"])
+        starts = np.searchsorted(code[order], np.arange(len(coded.dictionary))) if len(code) else np.zeros(0, np.int64)
+        tops, sums = [], []
+        for a in range(0, len(qx) if len(mx) else 0, step := max(1, HELD // max(1, len(mx)))):
+            z = _scores(qx[a : a + step], mx, kernel, tau, sigma)
+            top = z.max(1)
+            e = np.add.reduceat(np.exp(z - top[:, None]), starts, axis=1)
+            tops.append(top)
+            sums.append(e if cut else e / e.sum(1, keepdims=True))
+        if not sums:
+            return pa.table([q["query_id"].slice(0, 0), q["cluster_id"].slice(0, 0), q["w"].slice(0, 0), coded.dictionary.slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.float64())], names=names)
+        who = pa.array(np.repeat(np.arange(len(qx)), len(starts)))
+        what = pa.array(np.tile(np.arange(len(starts)), len(qx)))
+        cells = [q["query_id"].take(who), q["cluster_id"].take(who), q["w"].take(who), coded.dictionary.take(what)]
+        return pa.table([*cells, pa.array(np.repeat(np.concatenate(tops), len(starts))), pa.array(np.concatenate(sums).ravel())], names=names)
+
+    got = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, out)
+    if not cut:
+        return got.select("query_id", "cluster_id", "w", "token", F.col("e").alias("wm"))
+    by = Window.partitionBy("query_id", "cluster_id")
+    got = got.withColumn("e", F.col("e") * F.exp(F.col("top") - F.max("top").over(by)))
+    got = got.groupBy("query_id", "cluster_id", "token").agg(F.first("w").alias("w"), F.sum("e").alias("e"))
+    return got.select("query_id", "cluster_id", "w", "token", (F.col("e") / F.sum("e").over(by)).alias("wm"))
+
+
+def _scores(q: np.ndarray, m: np.ndarray, kernel: str, tau: float, sigma: float) -> np.ndarray:
+    """Exponents of the kernel for each pair; small distances by plain differences, which don't cancel."""
+    scale = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :]
+    sq = scale - 2 * (q @ m.T)
+    r, c = np.nonzero(sq <= NEAR * scale)
+    for a in range(0, len(r), 65_536):
+        i, j = r[a : a + 65_536], c[a : a + 65_536]
+        sq[i, j] = ((q[i] - m[j]) ** 2).sum(1)
+    return -sq / (2 * sigma * sigma) if kernel == "gauss" else -np.sqrt(np.maximum(sq, 0)) / tau
+
+
 def member_prob(terms: DataFrame, truth: DataFrame) -> DataFrame:
     rows = terms.join(truth.select("query_id", "y"), "query_id")
     p = rows.groupBy("query_id").agg(F.sum(F.when(F.col("token") == F.col("y"), F.col("w") * F.col("wm")).otherwise(0.0)).alias("p"))

@@ -296,7 +296,7 @@ def anchor_dimensions(w: Workspace) -> DataFrame:
     for k in (1, 2, 4):
         m = members.select("cluster_id", "pos_id", "token", features("x", k).alias("mx"))
         zq = qs.select("query_id", "cluster_id", features("x", k).alias("qx"))
-        p = read.member_prob(read.member_terms(s4, m, zq, tau=0.2), w.truth.where("split = 'val'"))
+        p = read.member_prob(read.member_sums(s4, m, zq, tau=0.2), w.truth.where("split = 'val'"))
         one = read.mix(p, 0.25).agg(F.lit(k).alias("k"), r(F.avg("nll")).alias("val_nll"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -96,13 +96,13 @@ def qx(w: Workspace) -> DataFrame:
 @query(with_base(_MP.replace("sum(CASE", "round(sum(CASE").replace("END) AS p", "END), 6) AS p"), _S4, _MEM, _inner(_SOFT)))
 def s3_members(w: Workspace) -> DataFrame:
     """Compressed routing to all original members."""
-    terms = read.member_terms(read.first_k(w.snbr, K, TAU), members(w), qx(w), tau=TAU_IN, dims=64)
+    terms = read.member_sums(read.first_k(w.snbr, K, TAU), members(w), qx(w), tau=TAU_IN)
     return read.member_prob(terms, w.truth).select("query_id", r("p"))
 
 
 @query(with_base(_MP.replace("sum(CASE", "round(sum(CASE").replace("END) AS p", "END), 6) AS p"), _S4, _MEM, _inner(_GAUSS)))
 def kernel_gauss(w: Workspace) -> DataFrame:
-    terms = read.member_terms(read.first_k(w.snbr, K, TAU), members(w), qx(w), "gauss", sigma=0.5, dims=64)
+    terms = read.member_sums(read.first_k(w.snbr, K, TAU), members(w), qx(w), "gauss", sigma=0.5)
     return read.member_prob(terms, w.truth).select("query_id", r("p"))
 
 
@@ -115,7 +115,7 @@ def kernel_uniform(w: Workspace) -> DataFrame:
 
 @query(with_base("SELECT query_id, token, round(sum(w * wm), 6) AS p FROM inn GROUP BY query_id, token", _S4, _MEM, _inner(_SOFT)))
 def member_full_dist(w: Workspace) -> DataFrame:
-    terms = read.member_terms(read.first_k(w.snbr, K, TAU), members(w), qx(w), tau=TAU_IN, dims=64)
+    terms = read.member_sums(read.first_k(w.snbr, K, TAU), members(w), qx(w), tau=TAU_IN)
     return read.member_distribution(terms).select("query_id", "token", r("p"))
 
 
@@ -125,8 +125,8 @@ _MEMP = ("mem", "SELECT s.query_id, s.cluster_id, s.w, a.pos_id, a.y AS token, l
 @query(with_base(_MP.replace("sum(CASE", "round(sum(CASE").replace("END) AS p", "END), 6) AS p"), _S4, _MEMP, _inner("exp(-(dm - m0) / 0.05)")))
 def projected_members(w: Workspace) -> DataFrame:
     """Inner distances in a projection, with a temperature of its own."""
-    project = sq_dist(F.slice("qx", 1, 8), F.slice("mx", 1, 8))
-    terms = read.member_terms(read.first_k(w.snbr, K, TAU), members(w), qx(w), tau=0.05, project=project)
+    short = lambda d, c: d.withColumn(c, F.slice(c, 1, 8))
+    terms = read.member_sums(read.first_k(w.snbr, K, TAU), short(members(w), "mx"), short(qx(w), "qx"), tau=0.05)
     return read.member_prob(terms, w.truth).select("query_id", r("p"))
 
 
@@ -149,7 +149,7 @@ _HYB = (_S4, _MEM, _RET, _RMEM, _inner(_SOFT, "rinn", "rmem"), _AFF)
 def affine(w: Workspace) -> DataFrame:
     kept = retained_members(w.assigned, 3).where("cluster_id % 2 = 0")
     s4 = read.first_k(w.snbr, K, TAU)
-    terms = read.member_terms(s4, members(w, kept), qx(w), tau=TAU_IN, dims=64)
+    terms = read.member_sums(s4, members(w, kept), qx(w), tau=TAU_IN)
     return read.affine_parts(s4, w.truth, w.dist, w.proto, terms)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import stats, store, vectors
+from recallgrid.operators import read, stats, store, vectors
 from recallgrid.operators.ranking import with_rank
 from recallgrid.schema import draw, pick
 
@@ -108,3 +108,20 @@ def test_agreement_is_the_best_of_all_matchings(spark):
     assert em.agreement(cells.limit(0)).count() == 0
     with pytest.raises(ValueError):
         em.agreement(spark.range(9).selectExpr("id AS a", "id AS b", "1 AS n"), most=8)
+
+
+@pytest.mark.parametrize("kernel", ["softmax", "gauss"])
+def test_member_sums_of_cut_clusters(spark, kernel):
+    rng = np.random.default_rng(1)
+    m, q = rng.normal(size=(60, 5)), rng.normal(size=(20, 5))
+    m[30:40] = q[0]  # many members equal to a query
+    members = spark.createDataFrame([(i, i % 3, None if i % 7 == 0 else i % 5, x.tolist()) for i, x in enumerate(m)], "pos_id long, cluster_id long, token int, mx array<double>")
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, qx array<double>")
+    weighted = spark.createDataFrame([(i, c, 0.25 * (c + 1)) for i in range(20) for c in (0, 1, 3)], "query_id long, cluster_id long, w double")  # cluster 3 is empty
+    one = lambda d: {(r["query_id"], r["cluster_id"], r["token"]): (r["w"], r["wm"]) for r in d.groupBy("query_id", "cluster_id", "token").agg(F.first("w").alias("w"), F.sum("wm").alias("wm")).collect()}
+    want = one(read.member_terms(weighted, members, queries, kernel, 0.3, 0.4))
+    for parts in ((8192, 65_536), (7, 65_536), (7, 4), (8192, 4)):
+        got = read.member_sums(weighted, members, queries, kernel, 0.3, 0.4, parts=parts)
+        assert got.count() == len(want) and {k: pytest.approx(v, abs=1e-12) for k, v in one(got).items()} == want
+    assert read.member_sums(weighted, members.limit(0), queries, kernel).count() == 0
+    assert read.member_sums(weighted.limit(0), members, queries, kernel).count() == 0
