@@ -17,6 +17,10 @@ from .vectors import matrix
 
 FLOOR = 1e-6
 STEP = 4096
+#: Numbers of one row of a task's sums.
+SLICE = 8192
+SLICES = "slice int, s binary"
+_COMPONENTS = "component int, kind string, weight double, mean array<double>, var array<double>"
 
 
 @dataclass(frozen=True)
@@ -70,15 +74,47 @@ def statistics(rows: DataFrame, mix: Mixture, before: Mixture | None = None) ->
                 ll, n = ll + float(total.sum()), n + len(part)
                 if before is not None:
                     changed += int((before.log_joint(part).argmax(1) != g.argmax(1)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([[*out.ravel().tolist(), ll, float(n), float(changed)]], pa.list_(pa.float64()))], names=["s"])
+        yield from sliced(np.concatenate([out.ravel(), [ll, float(n), float(changed)]]))
 
-    sums = rows.select("x").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    flat = np.zeros(b * (1 + 2 * d) + 3)
-    for r in sums.collect():
-        flat[r["i"]] = r["v"]
+    flat = added(rows.select("x").mapInArrow(run, SLICES), b * (1 + 2 * d) + 3)
     return flat[:-3].reshape(b, -1), flat[-3], int(flat[-2]), int(flat[-1])
 
 
+def sliced(flat: np.ndarray):
+    """A task's sums as rows of raw numbers, a slice each, so that no row is made for a number."""
+    cuts = range(0, len(flat), SLICE)
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([flat[a : a + SLICE].astype("<f8").tobytes() for a in cuts], pa.binary())], names=["slice", "s"])
+
+
+def added(parts: DataFrame, size: int) -> np.ndarray:
+    """Slices of all tasks added up, each slice in a task of its own; ``size`` numbers come to the driver."""
+
+    def add(t: pa.Table) -> pa.Table:
+        # Sums of doubles depend on their order: sorted, so that a lost task's rerun changes nothing.
+        rows = sorted(v.as_py() for v in t["s"])
+        total = np.sum([np.frombuffer(v, "<f8") for v in rows], axis=0)
+        return pa.table({"slice": t["slice"].slice(0, 1), "s": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+
+    got = parts.groupBy("slice").applyInArrow(add, SLICES).toArrow()
+    flat = np.zeros(size)
+    for i, v in zip(got["slice"].to_pylist(), got["s"]):
+        part = np.frombuffer(v.as_buffer(), "<f8")
+        flat[i * SLICE : i * SLICE + len(part)] = part
+    return flat
+
+
+def save(mix: Mixture, spark, path: str, iteration: int) -> None:
+    """A mixture as Parquet, a row a component, under ``path/iteration=...``."""
+    rows = [(i, mix.kind, float(p), m.tolist(), v.tolist()) for i, (p, m, v) in enumerate(zip(mix.weights, mix.means, mix.var))]
+    spark.createDataFrame(rows, _COMPONENTS).write.mode("overwrite").parquet(f"{path}/iteration={iteration}")
+
+
+def load(spark, path: str, iteration: int) -> Mixture:
+    """A mixture saved before."""
+    got = spark.read.schema(_COMPONENTS).parquet(f"{path}/iteration={iteration}").orderBy("component").toArrow()
+    return Mixture(got["kind"][0].as_py(), got["weight"].to_numpy(), matrix(got["mean"]), matrix(got["var"]))
+
+
 def maximise(stats: np.ndarray, mix: Mixture, n: int) -> Mixture:
     """New parameters; a component without mass keeps its mean and variance."""
     d = mix.means.shape[1]
@@ -94,19 +130,29 @@ def maximise(stats: np.ndarray, mix: Mixture, n: int) -> Mixture:
     return Mixture(mix.kind, mass / max(1, n), means, np.maximum(var, FLOOR))
 
 
-def fit(rows: DataFrame, mix: Mixture, steps: int, tol: float = 0.0, patience: int = 1) -> tuple[Mixture, list[dict]]:
-    """EM for ``steps`` at most; stops after ``patience`` steps of relative gain below ``tol``."""
+def fit(
+    rows: DataFrame, mix: Mixture, steps: int, tol: float = 0.0, patience: int = 1, every: int = 0, path: str | None = None
+) -> tuple[Mixture, list[dict]]:
+    """EM for ``steps`` at most; stops after ``patience`` steps of relative gain below ``tol``.
+
+    With ``every`` and ``path`` the mixture after each such number of steps, and the last, is saved; ``load`` gives it back to go on from.
+    """
     history, before, still, last = [], None, 0, None
+    keep = lambda done: path is not None and every > 0 and save(mix, rows.sparkSession, path, done)
     for i in range(steps):
         stats, ll, n, changed = statistics(rows, mix, before)
         mean = ll / max(1, n)
         history.append({"iteration": i, "mean_ll": float(mean), "dead": int((stats[:, 0] < 1e-9).sum()), "changed": changed / max(1, n) if before else None})
         before, mix = mix, maximise(stats, mix, n)
+        if every and (i + 1) % every == 0:
+            keep(i + 1)
         if last is not None:
             still = still + 1 if abs(mean - last) <= tol * max(abs(last), 1e-12) else 0
             if still >= patience:
                 break
         last = mean
+    if every and len(history) % every:
+        keep(len(history))
     return mix, history
 
 

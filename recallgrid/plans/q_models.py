@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import interpolate, nll
 from ..operators import em, read, store
-from ..operators.heads import softmax_head
+from ..operators.heads import softmax_head, trained_head
 from ..operators.ranking import with_rank
 from ..operators.stats_extra import ari_nmi, contingency
 from ..schema import draw, pick_sql
@@ -215,6 +215,15 @@ def softmax_heads(w: Workspace) -> DataFrame:
     return real.unionByName(control).unionByName(uni)
 
 
+@query()
+def head_training(w: Workspace) -> DataFrame:
+    """Epochs of a head trained with early stop on ct, and the loss on val of the state that was best there."""
+    got, history = trained_head(w.ds, w.q.where("split = 'ct'"), w.q.where("split = 'val'"))
+    val = got.agg(F.avg(nll(F.col("p_head"))).alias("val_nll"))
+    epochs = w.spark.createDataFrame([(h["epoch"], h["train_nll"], h["ct_nll"]) for h in history], "epoch int, train_nll double, ct_nll double")
+    return epochs.crossJoin(F.broadcast(val)).select("epoch", r("train_nll"), r("ct_nll"), r("val_nll"))
+
+
 @query(with_base("SELECT round(avg(-ln(u.p + 1e-12)), 6) AS standalone, round(avg(-ln(0.25 * u.p + 0.75 * q.p_lm + 1e-12)), 6) AS mixed FROM q JOIN uni u ON u.token = q.y WHERE q.split = 'val'"))
 def unigram_control(w: Workspace) -> DataFrame:
     u = w.truth.where("split = 'val'").join(w.unigram.select(F.col("token").alias("y"), "p"), "y")
