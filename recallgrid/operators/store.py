@@ -48,8 +48,8 @@ def assign_nearest(rows: DataFrame, proto: DataFrame, carry: list[str] | None =
     return read.mapInArrow(run, T.StructType(fields))
 
 
-def lloyd(rows: DataFrame, clusters: int, steps: int = 3) -> DataFrame:
-    """Prototypes ``(cluster_id, x)`` after a fixed number of Lloyd steps from the first ids.
+def lloyd(rows: DataFrame, clusters: int, steps: int = 3, order: Column | None = None) -> DataFrame:
+    """Prototypes ``(cluster_id, x)`` after a fixed number of Lloyd steps from the first ids, or the first in ``order``.
 
     A step is one scan that assigns and adds up in the same task, so vectors are never shuffled; only
     the prototypes pass through the driver and the plan doesn't grow. An empty cluster keeps its centre. More than
@@ -58,7 +58,7 @@ def lloyd(rows: DataFrame, clusters: int, steps: int = 3) -> DataFrame:
     wide = rows.select(F.size("x").alias("n")).limit(1).collect()
     if wide and clusters * wide[0]["n"] > CENTROID_NUMBERS:
         raise ValueError(f"{clusters} prototypes of {wide[0]['n']} dimensions are over {CENTROID_NUMBERS} numbers")
-    first = rows.select("pos_id", "x").orderBy("pos_id").limit(clusters).toArrow()
+    first = rows.select("pos_id", "x").orderBy(*([] if order is None else [order]), "pos_id").limit(clusters).toArrow()
     ids, m = np.arange(first.num_rows), matrix(first["x"]).copy()
     for _ in range(steps):
         for r in nearest_sums(rows, ids, m).collect() if len(ids) else []:

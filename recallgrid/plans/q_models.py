@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import interpolate, nll
@@ -11,7 +11,7 @@ from ..operators import em, read, store
 from ..operators.heads import softmax_head, trained_head
 from ..operators.ranking import with_rank
 from ..operators.stats_extra import ari_nmi, contingency
-from ..schema import draw, pick_sql
+from ..schema import draw, lcg_sql, pick_sql
 from .base_sql import with_base
 from .catalog import n, query, r
 from .q_read import K, TAU
@@ -235,11 +235,11 @@ _AN = ("an", "SELECT cluster_id, other, ox, rk FROM (SELECT a.cluster_id, b.clus
 
 
 @query(with_base("SELECT cluster_id, other, CAST(rk AS BIGINT) AS rk FROM an", _AN))
-def anchors_nearest(w: Workspace) -> DataFrame:
+def anchors_nearest(w: Workspace, most: int = 4) -> DataFrame:
     from ..operators.vectors import nearest
 
     p = w.proto.select(F.col("cluster_id").alias("pos_id"), "x")
-    got = nearest(p, p, 5).where("query_id <> entry_id")
+    got = nearest(p, p, most + 1).where("query_id <> entry_id")
     return got.select(F.col("query_id").alias("cluster_id"), F.col("entry_id").alias("other"), n(F.col("rank") - 1, "rk"))
 
 
@@ -260,7 +260,7 @@ SELECT cluster_id, other, CAST(rk AS BIGINT) AS rk FROM div WHERE rk > 0"""
 
 
 @query(with_base("SELECT * FROM (" + _DIVERSE + ")"))
-def anchors_diverse(w: Workspace) -> DataFrame:
+def anchors_diverse(w: Workspace, most: int = 4) -> DataFrame:
     """From a prototype, each next anchor is the prototype farthest from all chosen."""
     p = w.proto.orderBy("cluster_id").select("cluster_id", "x").toPandas()  # the prototypes, as in a Lloyd step
     ids, x = p["cluster_id"].tolist(), np.array(p["x"].tolist())
@@ -268,13 +268,30 @@ def anchors_diverse(w: Workspace) -> DataFrame:
     rows = []
     for c in range(len(ids)):
         near = d[c].copy()
-        for rk in range(1, min(5, len(ids))):
+        for rk in range(1, min(most + 1, len(ids))):
             far = int(np.argmax(near))
             rows.append((int(ids[c]), int(ids[far]), rk))
             near = np.minimum(near, d[far])
     return w.spark.createDataFrame(rows, "cluster_id long, other long, rk long")
 
 
+def _axes(w: Workspace, anchors: DataFrame) -> DataFrame:
+    """``(cluster_id, px, axes)``: a prototype and the vectors of its anchors in their order."""
+    x = w.proto.select("cluster_id", F.col("x").alias("px"))
+    rows = anchors.join(x.select(F.col("cluster_id").alias("other"), F.col("px").alias("ox")), "other").join(x, "cluster_id")
+    return rows.groupBy("cluster_id", "px").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "ox"))), lambda s: s["ox"]).alias("axes"))
+
+
+def _inner(col: str, v: Column) -> Column:
+    return F.aggregate(F.zip_with(F.col(col), v, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+
+
+def _differences(col: str, k: int) -> Column:
+    """Squared distances to the first k anchors less that to the prototype."""
+    sq = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e)
+    return F.transform(F.slice("axes", 1, k), lambda o: -2 * (_inner(col, o) - _inner(col, F.col("px"))) + sq(o) - sq(F.col("px")))
+
+
 def _dim_sql(k: int) -> str:
     z = "-2 * (list_inner_product({0}, a.ox) - list_inner_product({0}, p.x)) + list_inner_product(a.ox, a.ox) - list_inner_product(p.x, p.x)"
     return f"""SELECT {k} AS k, query_id, sum(CASE WHEN token = y THEN w * e / es ELSE 0 END) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY query_id, cluster_id) AS es FROM (
@@ -288,29 +305,77 @@ def _dim_sql(k: int) -> str:
   ("s4", f"SELECT *, exp(-(dist - dmin) / {TAU}) / sum(exp(-(dist - dmin) / {TAU})) OVER (PARTITION BY query_id) AS w FROM (SELECT *, min(dist) OVER (PARTITION BY query_id) AS dmin FROM snbr WHERE rank <= {K})"), _AN))
 def anchor_dimensions(w: Workspace) -> DataFrame:
     """Member reads in the space of distance differences to the K nearest anchors, for several K."""
-    near = anchors_nearest(w)
-    x = w.proto.select("cluster_id", F.col("x").alias("px"))
-    anc = near.join(x.select(F.col("cluster_id").alias("other"), F.col("px").alias("ox")), "other").join(x, "cluster_id")
-    anc = anc.groupBy("cluster_id", "px").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "ox"))), lambda s: s["ox"]).alias("axes")).persist()
-
-    def features(col: str, k: int):
-        own = lambda v: F.aggregate(F.zip_with(F.col(col), v, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
-        sq = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e)
-        return F.transform(F.slice("axes", 1, k), lambda o: -2 * (own(o) - own(F.col("px"))) + sq(o) - sq(F.col("px")))
-
+    anc = _axes(w, anchors_nearest(w)).persist()
     s4 = read.first_k(w.snbr, K, TAU)
     members = w.assigned.select("pos_id", "cluster_id", F.col("y").alias("token")).join(w.ds.select("pos_id", "x"), "pos_id").join(anc, "cluster_id")
     qs = s4.select("query_id", "cluster_id").join(w.q.select("query_id", "x"), "query_id").join(anc, "cluster_id")
     out = None
     for k in (1, 2, 4):
-        m = members.select("cluster_id", "pos_id", "token", features("x", k).alias("mx"))
-        zq = qs.select("query_id", "cluster_id", features("x", k).alias("qx"))
+        m = members.select("cluster_id", "pos_id", "token", _differences("x", k).alias("mx"))
+        zq = qs.select("query_id", "cluster_id", _differences("x", k).alias("qx"))
         p = read.member_prob(read.member_sums(s4, m, zq, tau=0.2), w.truth.where("split = 'val'"))
         one = read.mix(p, 0.25).agg(F.lit(k).alias("k"), r(F.avg("nll")).alias("val_nll"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+#: Numbers of anchors, or of random directions, swept, and how many clusters the inner temperature is taken from.
+SWEEP = {"nearest": (1, 4, 15), "diverse": (1, 4, 15), "projection": (1, 8, 32)}
+SPREAD_CLUSTERS = 100
+_MOST = 15
+_DIFF = "-2 * (list_inner_product({0}, a.ox) - list_inner_product({0}, p.x)) + list_inner_product(a.ox, a.ox) - list_inner_product(p.x, p.x)"
+_SWEEP = (
+    ("s4", f"SELECT *, exp(-(dist - dmin) / {TAU}) / sum(exp(-(dist - dmin) / {TAU})) OVER (PARTITION BY query_id) AS w FROM (SELECT *, min(dist) OVER (PARTITION BY query_id) AS dmin FROM snbr WHERE rank <= {K}) JOIN (SELECT query_id FROM q WHERE split = 'val') USING (query_id)"),
+    ("ks", "SELECT * FROM (VALUES " + ", ".join(f"('{kind}', {k})" for kind, ks in SWEEP.items() for k in ks) + ") t(kind, k)"),
+    ("anx", f"SELECT 'nearest' AS kind, cluster_id, other, rk FROM ({_AN[1].replace('<= 4', f'<= {_MOST}')}) UNION ALL SELECT 'diverse', cluster_id, other, rk FROM ({_DIVERSE.replace('d.rk < 4', f'd.rk < {_MOST}')})"),
+    ("ax", "SELECT a.kind, a.cluster_id, a.rk, o.x AS ox FROM anx a JOIN proto o ON o.cluster_id = a.other"),
+    ("rd", "SELECT rk, list(v / n ORDER BY i) AS dir FROM (SELECT rk, i, v, sqrt(sum(v * v) OVER (PARTITION BY rk)) AS n FROM (SELECT rk, i, " + lcg_sql(lcg_sql("rk * 100000 + i")) + " / 2147483648.0 - 0.5 AS v FROM range(1, 33) t(rk), range(1, (SELECT max(len(x)) FROM ds) + 1) u(i))) GROUP BY rk"),
+    ("mf", f"SELECT a.kind, g.cluster_id, g.pos_id, g.y AS token, a.rk, {_DIFF.format('d.x')} AS z FROM asg g JOIN ds d USING (pos_id) JOIN proto p USING (cluster_id) JOIN ax a USING (cluster_id) UNION ALL SELECT 'projection', g.cluster_id, g.pos_id, g.y, r.rk, list_inner_product(d.x, r.dir) FROM asg g JOIN ds d USING (pos_id), rd r"),
+    ("qf", f"SELECT a.kind, s.query_id, s.cluster_id, s.w, a.rk, {_DIFF.format('q.x')} AS z FROM s4 s JOIN q USING (query_id) JOIN proto p USING (cluster_id) JOIN ax a USING (cluster_id) UNION ALL SELECT 'projection', s.query_id, s.cluster_id, s.w, r.rk, list_inner_product(q.x, r.dir) FROM s4 s JOIN q USING (query_id), rd r"),
+    ("tk", f"SELECT m.kind, ks.k, greatest(stddev_pop(z), 1e-6) AS tau FROM mf m JOIN ks ON ks.kind = m.kind AND m.rk <= ks.k WHERE cluster_id < {SPREAD_CLUSTERS} GROUP BY ALL"),
+    ("dk", "SELECT f.kind, ks.k, f.query_id, f.cluster_id, f.w, m.pos_id, m.token, sqrt(sum((m.z - f.z) * (m.z - f.z))) AS dm FROM qf f JOIN mf m ON m.kind = f.kind AND m.cluster_id = f.cluster_id AND m.rk = f.rk JOIN ks ON ks.kind = f.kind AND f.rk <= ks.k GROUP BY ALL"),
+    ("ek", "SELECT kind, k, query_id, cluster_id, w, token, exp(-(dm - min(dm) OVER (PARTITION BY kind, k, query_id, cluster_id)) / tau) AS e FROM dk JOIN tk USING (kind, k)"),
+    ("pk", "SELECT kind, k, query_id, sum(CASE WHEN token = y THEN w * e / es ELSE 0 END) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY kind, k, query_id, cluster_id) AS es FROM ek) JOIN q USING (query_id) GROUP BY kind, k, query_id"),
+)
+
+
+@query(with_base("SELECT kind, CAST(k AS INT) AS k, round(any_value(tau), 6) AS tau, round(avg(-ln(0.25 * p + 0.75 * p_lm + 1e-12)), 6) AS val_nll FROM pk JOIN tk USING (kind, k) JOIN q USING (query_id) GROUP BY kind, k", *_SWEEP))
+def anchor_sweep(w: Workspace) -> DataFrame:
+    """Member reads in spaces of nearest anchors, of anchors spread out and of random directions, for several dimensions each.
+
+    The inner temperature is the spread of the members' features in the first clusters.
+    """
+    truth = w.truth.where("split = 'val'")
+    s4 = read.first_k(w.snbr, K, TAU).join(truth.select("query_id"), "query_id", "left_semi")
+    members = w.assigned.select("pos_id", "cluster_id", F.col("y").alias("token")).join(w.ds.select("pos_id", "x"), "pos_id")
+    qs = s4.select("query_id", "cluster_id").join(w.q.select("query_id", "x"), "query_id")
+    wide = w.ds.select(F.size("x").alias("d")).first()
+    directions = _directions(w, max(SWEEP["projection"]), wide["d"] if wide else 0)
+    axes = {"nearest": _axes(w, anchors_nearest(w, _MOST)), "diverse": _axes(w, anchors_diverse(w, _MOST)), "projection": w.proto.select("cluster_id").crossJoin(F.broadcast(directions))}
+    feature = lambda kind, k: F.transform(F.slice("axes", 1, k), lambda o: _inner("x", o)) if kind == "projection" else _differences("x", k)
+    out = None
+    for kind, ks in SWEEP.items():
+        own, asked = members.join(axes[kind], "cluster_id"), qs.join(axes[kind], "cluster_id")
+        for k in ks:
+            m = own.select("cluster_id", "pos_id", "token", feature(kind, k).alias("mx"))
+            spread = m.where(F.col("cluster_id") < SPREAD_CLUSTERS).select(F.explode("mx").alias("z")).agg(F.stddev_pop("z").alias("s")).first()["s"]
+            tau = max(spread or 0.0, 1e-6)
+            p = read.member_prob(read.member_sums(s4, m, asked.select("query_id", "cluster_id", feature(kind, k).alias("qx")), tau=tau), truth)
+            one = read.mix(p, 0.25).agg(F.lit(kind).alias("kind"), F.lit(k).alias("k"), r(F.lit(tau)).alias("tau"), r(F.avg("nll")).alias("val_nll"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _directions(w: Workspace, most: int, dims: int) -> DataFrame:
+    """One row ``axes``: portable random directions of length 1."""
+    spark = w.spark
+    cells = spark.range(1, most + 1).withColumnRenamed("id", "rk").crossJoin(spark.range(1, dims + 1).withColumnRenamed("id", "i"))
+    v = draw(draw(F.col("rk") * 100_000 + F.col("i"))) / 2147483648.0 - 0.5
+    rows = cells.groupBy("rk").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", v.alias("v")))), lambda s: s["v"]).alias("v"))
+    unit = F.transform("v", lambda e: e / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", unit.alias("u")))), lambda s: s["u"]).alias("axes"))
+
+
 @query(with_base("""SELECT kind, round(min(v), 6) AS ct_nll FROM (SELECT kind, i, j, avg(-ln(i * 0.1 * p_raw + j * 0.1 * b + (1 - i * 0.1 - j * 0.1) * p_lm + 1e-12)) AS v FROM (
   SELECT 'real' AS kind, p_raw, p_state AS b, p_lm FROM perq WHERE split = 'ct' UNION ALL SELECT 'shuffled', a.p_raw, b.p_state, a.p_lm FROM (SELECT *, row_number() OVER (ORDER BY query_id) AS k FROM perq WHERE split = 'ct') a
   JOIN (SELECT p_state, row_number() OVER (ORDER BY (query_id * 1103515245 + 12345) % 2147483648, query_id) AS k FROM perq WHERE split = 'ct') b USING (k)), range(0, 11) a(i), range(0, 11) c(j) WHERE i + j <= 10 GROUP BY ALL) GROUP BY kind"""))

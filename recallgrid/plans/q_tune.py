@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.scalar import compressed_bytes, interpolate, nll, raw_bytes
 from ..operators import policy, read, store
 from ..operators.vectors import nearest
-from ..schema import draw, lcg_sql, pick_sql
+from ..schema import draw, lcg_sql, pick, pick_sql
 from .base_sql import knn_sql, lloyd_sql, softmax_sql, state_p_sql, with_base
 from .catalog import n, query, r
 from .q_read import _HYB
-from .workspace import CLUSTERS, GRID_ALPHA, GRID_K, GRID_TAU, RAW_ALPHA, RAW_TAU, STATE_ALPHA, STATE_GRID_K, STATE_K, STATE_TAU, STEPS, Workspace
+from .workspace import CLUSTERS, GRID_ALPHA, GRID_K, GRID_TAU, RAW_ALPHA, RAW_K, RAW_TAU, STATE_ALPHA, STATE_GRID_K, STATE_K, STATE_TAU, STEPS, Workspace
 
 _LCG = lcg_sql("{0}")
 
@@ -359,6 +359,67 @@ def retuned_baselines(w: Workspace) -> DataFrame:
     return best.select("kind", "b.tau", "b.alpha", r(F.col("b.ct")).alias("ct_nll"), r(F.col("b.val")).alias("val_nll"))
 
 
+#: Seeds of the rebuilding sweep, mixtures each is tuned over on ct, and the temperature of its small stores.
+SEEDS, SEED_ALPHAS, SMALL_TAU = (0, 1, 2), (0.1, 0.3, 0.5), 0.5
+_NEAR_OF = "SELECT *, exp(-(d - min(d) OVER (PARTITION BY {by})) / {tau}) AS e FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY d, id) AS rk FROM ({src})) WHERE rk <= {k}"
+_REBUILT = (
+    ("sd", f"SELECT unnest({list(SEEDS)}) AS seed"),
+    ("hs", f"SELECT seed, pos_id, x, y FROM ds, sd WHERE {pick_sql('chunk_id + 1000 * seed', 2)} = 0"),
+    ("h0", f"SELECT seed, rk - 1 AS cluster_id, x FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {_LCG.format('pos_id + 1000 * seed')}, pos_id) AS rk FROM hs) WHERE rk <= {CLUSTERS}"),
+    ("ha", "SELECT seed, pos_id, x, arg_min(cluster_id, (d, cluster_id)) AS cluster_id FROM (SELECT p.seed, p.pos_id, p.x, c.cluster_id, list_distance(p.x, c.x) AS d FROM hs p JOIN h0 c USING (seed)) GROUP BY ALL"),
+    ("hm", "SELECT seed, cluster_id, list(v ORDER BY i) AS x FROM (SELECT seed, cluster_id, i, avg(v) AS v FROM (SELECT seed, cluster_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM ha) GROUP BY ALL) GROUP BY ALL"),
+    ("h1", "SELECT c.seed, c.cluster_id, coalesce(m.x, c.x) AS x FROM h0 c LEFT JOIN hm m USING (seed, cluster_id)"),
+    ("hb", "SELECT seed, pos_id, y, arg_min(cluster_id, (d, cluster_id)) AS cluster_id, min(d) AS dist FROM (SELECT p.seed, p.pos_id, p.y, c.cluster_id, list_distance(p.x, c.x) AS d FROM hs p JOIN h1 c USING (seed)) GROUP BY ALL"),
+    ("hk", f"SELECT 'medoid' AS kind, seed, arg_min(pos_id, (dist, pos_id)) AS pos_id FROM hb GROUP BY seed, cluster_id UNION ALL SELECT 'random', seed, pos_id FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {_LCG.format('pos_id + 1000 * seed + 500')}, pos_id) AS rk FROM hs) WHERE rk <= {CLUSTERS}"),
+    ("hr", _NEAR_OF.format(by="seed, query_id", tau=RAW_TAU, k=RAW_K, src="SELECT s.seed, q.query_id, q.y AS want, s.y AS token, s.pos_id AS id, list_distance(q.x, s.x) AS d FROM q, hs s")),
+    ("hn", _NEAR_OF.format(by="seed, query_id", tau=STATE_TAU, k=STATE_K, src="SELECT c.seed, q.query_id, q.y AS want, c.cluster_id AS id, list_distance(q.x, c.x) AS d FROM q, h1 c")),
+    ("hc", "SELECT seed, cluster_id AS id, y AS want, count(*) AS cnt FROM hb GROUP BY ALL"),
+    ("ht", "SELECT seed, cluster_id AS id, count(*) AS total FROM hb GROUP BY ALL"),
+    ("hx", _NEAR_OF.format(by="kind, seed, query_id", tau=SMALL_TAU, k=CLUSTERS, src="SELECT k.kind, s.seed, q.query_id, q.y AS want, s.y AS token, s.pos_id AS id, list_distance(q.x, s.x) AS d FROM q, hs s JOIN hk k USING (seed, pos_id)")),
+    ("hp", """SELECT 'raw' AS kind, seed, query_id, sum(CASE WHEN token = want THEN e ELSE 0 END) / sum(e) AS p FROM hr GROUP BY ALL UNION ALL SELECT kind, seed, query_id, sum(CASE WHEN token = want THEN e ELSE 0 END) / sum(e) FROM hx GROUP BY ALL
+      UNION ALL SELECT 'state', seed, query_id, sum(e * coalesce(cnt / total, 0)) / sum(e) FROM hn LEFT JOIN ht USING (seed, id) LEFT JOIN hc USING (seed, id, want) GROUP BY ALL"""),
+    ("hl", f"SELECT kind, seed, alpha, avg(-ln(alpha * p + (1 - alpha) * p_lm + 1e-12)) FILTER (split = 'ct') AS ct, avg(-ln(alpha * p + (1 - alpha) * p_lm + 1e-12)) FILTER (split = 'val') AS val FROM hp JOIN q USING (query_id), (SELECT unnest({list(SEED_ALPHAS)})::DOUBLE AS alpha) GROUP BY ALL"),
+    ("hv", "SELECT kind, seed, arg_min(val, (round(ct, 9), alpha)) AS v FROM hl GROUP BY ALL UNION ALL SELECT 'lm', seed, avg(-ln(p_lm + 1e-12)) FROM q, sd WHERE split = 'val' GROUP BY ALL"),
+)
+
+
+def rebuilt(w: Workspace, seed: int) -> list[tuple]:
+    """``(seed, kind, val loss)`` of stores built anew from half of the chunks, each read at the mixture best for it on ct."""
+    half = w.ds.where(pick(F.col("chunk_id") + 1000 * seed, 2) == 0).select("pos_id", "x", "y").persist()
+    centres = store.lloyd(half, CLUSTERS, 1, draw(F.col("pos_id") + 1000 * seed))
+    own = store.assign_nearest(half, centres, ["y"]).persist()
+    dist = store.distribution(own)
+    token = half.select(F.col("pos_id").alias("entry_id"), F.col("y").alias("token"))
+    raw = lambda rows, k, tau: read.raw_prob(read.first_k(nearest(w.keys, rows, k).join(token, "entry_id"), k, tau), w.truth)
+    kept = {"medoid": store.medoids(half, own).select("pos_id"), "random": half.orderBy(draw(F.col("pos_id") + 1000 * seed + 500), "pos_id").limit(CLUSTERS).select("pos_id")}
+    reads = {"raw": raw(half, RAW_K, RAW_TAU), "state": read.state_prob(read.first_k(w.state_nbr(centres), STATE_K, STATE_TAU), w.truth, dist, store.with_totals(centres, dist))}
+    reads |= {kind: raw(half.join(ids, "pos_id", "left_semi"), CLUSTERS, SMALL_TAU) for kind, ids in kept.items()}
+    out = []
+    for kind, p in reads.items():
+        loss = {(s, a): F.avg(F.when(F.col("split") == s, nll(interpolate(F.col("p"), F.col("p_lm"), a)))) for s in ("ct", "val") for a in SEED_ALPHAS}
+        got = p.agg(*(c.alias(f"{s}{a}") for (s, a), c in loss.items()), F.avg(F.when(F.col("split") == "val", nll(F.col("p_lm")))).alias("lm")).first()
+        best = min(SEED_ALPHAS, key=lambda a: (round(got[f"ct{a}"] or 0.0, 9), a))
+        out.append((seed, kind, got[f"val{best}"]))
+        if kind == "raw":
+            out.append((seed, "lm", got["lm"]))
+    own.unpersist()
+    half.unpersist()
+    return out
+
+
+@query(with_base("SELECT b.kind, count(*) AS seeds, round(avg(b.v), 6) AS mean, round(stddev_pop(b.v), 6) AS std, count(*) FILTER (s.v < b.v) AS wins, round(avg(b.v - s.v), 6) AS mean_diff FROM hv b JOIN hv s USING (seed) WHERE s.kind = 'state' GROUP BY b.kind", *_REBUILT))
+def seed_rebuilds(w: Workspace) -> DataFrame:
+    """Stores built and tuned anew for each seed: mean and spread over seeds, and how often the compressed one wins.
+
+    Seeds are a few and run one after another; each leaves a handful of means.
+    """
+    rows = w.spark.createDataFrame([row for seed in SEEDS for row in rebuilt(w, seed)], "seed int, kind string, v double")
+    state = rows.where("kind = 'state'").select("seed", F.col("v").alias("s"))
+    gap = F.col("v") - F.col("s")
+    got = rows.join(F.broadcast(state), "seed").groupBy("kind")
+    return got.agg(F.count(F.lit(1)).alias("seeds"), r(F.avg("v")).alias("mean"), r(F.stddev_pop("v")).alias("std"), F.count(F.when(gap > 0, 1)).alias("wins"), r(F.avg(gap)).alias("mean_diff"))
+
+
 _HALF = f"({_LCG.format('chunk_id')} // 65536 % 2)"
 _RANKED = f"""SELECT cluster_id, row_number() OVER (PARTITION BY half ORDER BY s DESC, cluster_id) AS rk, half FROM (
   SELECT top1 AS cluster_id, {_HALF} AS half, round(avg(greatest(0, delta_l)), 9) AS s FROM perq WHERE split = 'ct' GROUP BY 1, 2)"""
