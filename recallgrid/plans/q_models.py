@@ -353,17 +353,22 @@ def anchor_sweep(w: Workspace) -> DataFrame:
     directions = _directions(w, max(SWEEP["projection"]), wide["d"] if wide else 0)
     axes = {"nearest": _axes(w, anchors_nearest(w, _MOST)), "diverse": _axes(w, anchors_diverse(w, _MOST)), "projection": w.proto.select("cluster_id").crossJoin(F.broadcast(directions))}
     feature = lambda kind, k: F.transform(F.slice("axes", 1, k), lambda o: _inner("x", o)) if kind == "projection" else _differences("x", k)
-    out = None
+    out = []
     for kind, ks in SWEEP.items():
-        own, asked = members.join(axes[kind], "cluster_id"), qs.join(axes[kind], "cluster_id")
+        # The features for fewer dimensions are the first of those for more: they are computed once.
+        own = members.join(axes[kind], "cluster_id").select("cluster_id", "pos_id", "token", feature(kind, max(ks)).alias("z")).persist()
+        asked = qs.join(axes[kind], "cluster_id").select("query_id", "cluster_id", feature(kind, max(ks)).alias("z")).persist()
+        cells = own.where(F.col("cluster_id") < SPREAD_CLUSTERS).select(F.posexplode("z").alias("i", "v"))
+        spread = cells.agg(*(F.stddev_pop(F.when(F.col("i") < k, F.col("v"))).alias(f"s{k}") for k in ks)).first()
         for k in ks:
-            m = own.select("cluster_id", "pos_id", "token", feature(kind, k).alias("mx"))
-            spread = m.where(F.col("cluster_id") < SPREAD_CLUSTERS).select(F.explode("mx").alias("z")).agg(F.stddev_pop("z").alias("s")).first()["s"]
-            tau = max(spread or 0.0, 1e-6)
-            p = read.member_prob(read.member_sums(s4, m, asked.select("query_id", "cluster_id", feature(kind, k).alias("qx")), tau=tau), truth)
-            one = read.mix(p, 0.25).agg(F.lit(kind).alias("kind"), F.lit(k).alias("k"), r(F.lit(tau)).alias("tau"), r(F.avg("nll")).alias("val_nll"))
-            out = one if out is None else out.unionByName(one)
-    return out
+            tau = max(spread[f"s{k}"] or 0.0, 1e-6)
+            cut = lambda d, name, k=k: d.withColumn(name, F.slice("z", 1, k)).drop("z")
+            p = read.member_prob(read.member_sums(s4, cut(own, "mx"), cut(asked, "qx"), tau=tau), truth)
+            one = read.mix(p, 0.25).agg(F.lit(kind).alias("kind"), F.lit(k).alias("k"), r(F.lit(tau)).alias("tau"), r(F.avg("nll")).alias("val_nll")).first()
+            out.append(tuple(one))
+        own.unpersist()
+        asked.unpersist()
+    return w.spark.createDataFrame(out, "kind string, k int, tau double, val_nll double")
 
 
 def _directions(w: Workspace, most: int, dims: int) -> DataFrame:
