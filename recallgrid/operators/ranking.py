@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ranges that a global order is cut into at least, and rows that a range holds on average at most.
 RANGES, RANGE_ROWS = 64, 500_000
@@ -23,20 +24,39 @@ def _range_of(x: Column, edges: list[float], low: int = 0, high: int | None = No
     return F.when(x < edges[mid], _range_of(x, edges, low, mid)).otherwise(_range_of(x, edges, mid + 1, high))
 
 
+def _split_ties(df: DataFrame, value: str, ids: list[str], at: Column, hot: list[float], ranges: int, descending: bool) -> Column:
+    """Range numbers in the order of the rows, where each of the ``hot`` values has ranges of its own, cut by id.
+
+    ``at``: the ranges, each starting at its least value, numbered in that order.
+    """
+    kind = df.schema[ids[0]].dataType if ids else None
+    if not hot or not isinstance(kind, T.NumericType):
+        return at
+    tied = F.coalesce(F.col(value).isin(hot), F.lit(False))
+    cuts = sorted(set(df.where(tied).approxQuantile(ids[0], [i / ranges for i in range(1, ranges)], min(0.01, 0.5 / ranges))))
+    # A hot value is the least of its range, so the rest of that range comes after it, or before it in descending order.
+    rest = F.lit(0 if descending else len(cuts) + 1)
+    return at * (len(cuts) + 2) + F.when(tied, _range_of(F.col(ids[0]), cuts) + (1 if descending else 0)).otherwise(rest)
+
+
 def with_running_sum(
     df: DataFrame, value: str, ids: list[str], size: Column, out: str, descending: bool = False, ranges: int | None = None, by: list[str] | None = None
 ) -> DataFrame:
     """Add the sum of ``size`` over rows up to and including each, in the order of value, then ids.
 
     Approximate quantiles cut the values into ranges; range totals give each range its start, and a
-    window runs inside a range only. The result doesn't depend on where the cuts fall. With ``by`` the
+    window runs inside a range only. The result doesn't depend on where the cuts fall. Nulls come last. A value that takes several
+    ranges is cut by the first of the ids, if that is a number. With ``by`` the
     sums run within each group. The number of ranges grows with the table.
     """
     by = by or []
     ranges = ranges or ranges_for(df)
-    edges = sorted(set(df.approxQuantile(value, [i / ranges for i in range(1, ranges)], min(0.01, 0.5 / ranges)))) if ranges > 1 else []
+    found = df.approxQuantile(value, [i / ranges for i in range(1, ranges)], min(0.01, 0.5 / ranges)) if ranges > 1 else []
+    edges = sorted(set(found))
     at = _range_of(F.col(value), edges)
-    df = df.withColumn("_range", -at if descending else at).withColumn("_size", size)
+    at = F.when(F.col(value).isNull(), 1 if descending else len(edges) + 1).otherwise(-at if descending else at)  # nulls last, by themselves
+    at = _split_ties(df, value, ids, at, [e for e in edges if found.count(e) > 1], ranges, descending)
+    df = df.withColumn("_range", at).withColumn("_size", size)
     totals = df.groupBy(*by, "_range").agg(F.sum("_size").alias("_total"))
     start = F.sum("_total").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select(*by, "_range", F.coalesce(start, F.lit(0)).alias("_start"))  # as many rows as ranges, for each group

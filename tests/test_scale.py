@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import read, stats, store, vectors
+from recallgrid.operators import ranking, read, stats, store, vectors
 from recallgrid.operators.ranking import with_rank
 from recallgrid.schema import draw, pick
 
@@ -125,3 +125,16 @@ def test_member_sums_of_cut_clusters(spark, kernel):
         assert got.count() == len(want) and {k: pytest.approx(v, abs=1e-12) for k, v in one(got).items()} == want
     assert read.member_sums(weighted, members.limit(0), queries, kernel).count() == 0
     assert read.member_sums(weighted.limit(0), members, queries, kernel).count() == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_a_hot_value_is_ranked_in_many_tasks(spark, descending):
+    rng = np.random.default_rng(3)
+    values = [None if i % 50 == 0 else 1.0 if i % 3 else float(v) for i, v in enumerate(rng.normal(1, 1, 3000).round(1))]
+    ids = rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, values)], "id long, v double")
+    got = {r["id"]: r["rk"] for r in with_rank(df, "v", ["id"], descending=descending).collect()}
+    order = sorted(zip(ids.tolist(), values), key=lambda t: (t[1] is None, 0 if t[1] is None else -t[1] if descending else t[1], t[0]))
+    assert [got[i] for i, _ in order] == list(range(1, 3001))
+    at = ranking._split_ties(df, "v", ["id"], F.lit(1), [1.0], 64, descending)
+    assert df.where("v = 1").select(at.alias("a")).distinct().count() > 32
