@@ -45,6 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: Jaccard similarity of 5-word shingles from 0.8.
 
+    BK-trees of SimHash fingerprints link near copies, shingle sets confirm each link, MinHash bands add what lies beyond the trees' radius.
     It is the one with the least id. Of repeated rows one stays; rows that share an id but not the text go or stay by
     their own group; a row without an id stays only where its whole group has none. Null and empty texts are alike. An
     empty table stays empty.

@@ -1,7 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles: MinHash bands find candidates, sets confirm them.
+"""Near copies by exact Jaccard similarity of word shingles: BK-trees of SimHash fingerprints find them, sets confirm them, MinHash bands find the rest.
 
-Texts of similarity 0.8 differ in 10 of 64 SimHash bits on average and in up to 17, which no choice
-of bit ranges carries. ``BANDS`` bands of ``ROWS`` minima miss a pair at 0.8 with probability 5e-5
+The links of the BK-trees (``simhash.shard_links`` over the SimHash of the same shingles) are compared exactly, and the components
+of those that hold are where the bands start. Texts of similarity 0.8 differ in 10 of 64 SimHash bits on average and in up to 17, which no choice
+of bit ranges carries, so bands add what lies beyond the radius. ``BANDS`` bands of ``ROWS`` minima miss a pair at 0.8 with probability 5e-5
 (less above). Candidates are compared exactly. While buckets are large, what lies outside a bucket's largest component meets one
 member of that component, another in each round; then whatever is still outside meets all it is apart from. So a
 large group of near copies costs its rounds and its stragglers, not its square, and no candidate is left out.
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from .common import P, Scratch, add_columns
 from .components import connected_components
+from .simhash import RADIUS, majority, shard_links
 
 BANDS, ROWS = 25, 5
 #: Rounds at most in which a bucket's members meet one of its largest component only, and comparisons a
@@ -26,8 +28,8 @@ _A = _random.randint(0, 1 << 63, BANDS * ROWS).astype(np.uint64) << np.uint64(1)
 _B = _random.randint(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Distinct XXH64 (seed 42) of the word shingles of a text, A-Z in lower case, ascending; a shorter text is one shingle."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a text, A-Z in lower case, repeats included; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
@@ -38,7 +40,12 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     ends = np.cumsum(lens + 1) - 1
     starts = (ends - lens)[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(joined[s:e], seed=42) for s, e in zip(starts, ends)), np.uint64, len(starts)))
+    return np.fromiter((xxh64_intdigest(joined[s:e], seed=42) for s, e in zip(starts, ends)), np.uint64, len(starts))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text, ascending."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def set_print(s: np.ndarray) -> int:
@@ -64,34 +71,55 @@ def with_set_print(df: DataFrame, text_col: str, name: str, shingle: int) -> Dat
 
 
 def with_signature(df: DataFrame, text_col: str, name: str, shingle: int) -> DataFrame:
-    """Append the set's hash, ``n`` (its size), ``s1``/``s2`` (a bit of each minimum) and ``bands``."""
-    fields = [T.StructField(c, T.LongType()) for c in (name, "n", "s1", "s2")] + [T.StructField("bands", T.ArrayType(T.LongType()))]
+    """Append the set's hash, ``sim`` (the text's SimHash), ``n`` (the set's size), ``s1``/``s2`` (a bit of each minimum) and ``bands``."""
+    fields = [T.StructField(c, T.LongType()) for c in (name, "sim", "n", "s1", "s2")] + [T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def run(texts: list[bytes]) -> list[list]:
         from xxhash import xxh3_64_intdigest
 
-        fp, n, bits, bands = [], [], [], []
+        fp, sim, n, bits, bands = [], [], [], [], []
         for t in texts:
-            s = shingle_set(t, shingle)
+            h = shingle_hashes(t, shingle)
+            s = np.unique(h)
             low = minima(s)
+            sim.append(majority(h[a : a + (1 << 15)] for a in range(0, len(h), 1 << 15)) if t.strip() else 0)
             fp.append(set_print(s))
             n.append(len(s))
             bits.append(np.packbits(np.r_[(low >> np.uint64(20) & np.uint64(1)).astype(np.uint8), np.zeros(128 - len(low), np.uint8)]).view(np.int64))
             raw = low.tobytes()
             bands.append(np.array([xxh3_64_intdigest(raw[8 * ROWS * b : 8 * ROWS * (b + 1)], seed=b) for b in range(BANDS)], np.uint64).view(np.int64))
         both = np.array(bits, np.int64).reshape(-1, 2)
-        return [np.array(fp, np.uint64).view(np.int64), n, both[:, 0], both[:, 1], bands]
+        return [np.array(fp, np.uint64).view(np.int64), np.array(sim, np.uint64).view(np.int64), n, both[:, 0], both[:, 1], bands]
 
     return add_columns(df, text_col, fields, run)
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, fp: str, similarity: float, shingle: int, scratch: Scratch) -> DataFrame:
-    """``(node, root)`` of the sets that some other is similar to; ``docs``: (id, text), ``prints``: one row per set."""
+def near_links(marked: DataFrame, fp: str, radius: int, scratch: Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of sets from the BK-trees: links that span the fingerprints within ``radius`` bits, and sets of one fingerprint.
+
+    A fingerprint is held by its least set, which the others of that fingerprint meet. Equal sets may have several
+    fingerprints, as those count repeats: each one is in the trees.
+    """
+    sims = scratch.table(marked.select(fp, "sim").distinct(), "fingerprints")
+    heads = scratch.table(sims.groupBy("sim").agg(F.min(fp).alias("head")), "heads")
+    a, b = (heads.select(F.col("sim").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
+    linked = shard_links(heads, "sim", heads.count(), radius, scratch=scratch, direct=True).join(a, "a").join(b, "b").select("ha", "hb")
+    alike = sims.join(heads, "sim").select(F.col("head").alias("ha"), F.col(fp).alias("hb"))
+    pairs = linked.unionByName(alike).where("ha <> hb").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    near = scratch.table(pairs.distinct(), "near")
+    scratch.drop(sims, heads)
+    return near
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, fp: str, similarity: float, shingle: int, scratch: Scratch) -> DataFrame:
+    """``(node, root)`` of the sets that some other is similar to; ``docs``: (id, text), ``prints``: one row per set, ``near``: pairs of sets to compare first."""
     if similarity < 0.8:
         raise ValueError("the bands are made for similarities from 0.8")
     buckets = prints.select("least", F.col(fp).alias("fp"), F.explode("bands").alias("g"))
     full = scratch.table(buckets.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "buckets")
-    need = scratch.table(buckets.join(full, "g").select("least", "fp").distinct(), "members")
+    ends = near.select(F.explode(F.array("a", "b")).alias("fp"))
+    ends = prints.select("least", F.col(fp).alias("fp")).join(ends, "fp", "left_semi")
+    need = scratch.table(buckets.join(full, "g").select("least", "fp").unionByName(ends).distinct(), "members")
     ids = need.select(F.col("least").alias("own")).distinct()
     texts = docs.join(ids, F.col("id").eqNullSafe(F.col("own")), "left_semi").select("text")
 
@@ -116,24 +144,24 @@ def similar_links(docs: DataFrame, prints: DataFrame, fp: str, similarity: float
         f" AND bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {most}"
     )
 
-    def confirmed(both: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The pairs not compared before, and those of them that are similar."""
-        pairs = both.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "pairs")
+    def similar(pairs: DataFrame) -> DataFrame:
         one = pairs.join(held.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a")
         two = one.join(held.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
         same = F.size(F.array_intersect("sa", "sb"))
-        return pairs, scratch.table(two.where(same / (F.size("sa") + F.size("sb") - same) >= similarity).select("a", "b"), "links")
+        return scratch.table(two.where(same / (F.size("sa") + F.size("sb") - same) >= similarity).select("a", "b"), "links")
+
+    def confirmed(both: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs not compared before, and those of them that are similar."""
+        pairs = both.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct()
+        pairs = scratch.table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        return pairs, similar(pairs)
 
-    links = joined = tested = left = None
+    tested, links, left = near, similar(near), None
+    joined = scratch.table(connected_components(links, scratch), "joined")
     before: list[DataFrame] = []
     in_bucket = F.col("a.g") == F.col("b.g")
     for turn in range(STARS + 1):
-        now = members
-        if joined is not None:
-            now = members.drop("label").join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
+        now = members.drop("label").join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
         # The first member met has the fewest shingles of its own, so it is the text that the others are copies of, if any is.
         order = F.struct((F.lit(0) if turn else F.col("n") - F.col("o")).alias("own"), F.xxhash64("fp", F.lit(turn)).alias("draw"), "fp")
         sizes = now.groupBy("g", "label").agg(F.count(F.lit(1)).alias("m"), F.min(order).alias("first"))
@@ -157,8 +185,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, fp: str, similarity: float
             once = (F.col("b.label") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
             pairs, good = confirmed(a.join(b, in_bucket).where(may & once & first), tested)
             turn = STARS
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = good if links is None else links.unionByName(good)
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(good)
         joined = scratch.table(connected_components(links, scratch), "joined")
         if turn == STARS:
             break
@@ -168,7 +196,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, fp: str, similarity: float
     return joined
 
 
-def classify_similar(df: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+def classify_similar(
+    df: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int, radius: int = RADIUS
+) -> tuple[DataFrame, DataFrame]:
     """``(id, fp)`` of every row, and ``(fp, root, component)`` of every distinct shingle set."""
     scratch = Scratch(df.sparkSession)
     f, c = P + "fp", P + "component"
@@ -176,7 +206,9 @@ def classify_similar(df: DataFrame, id_col: str, text_col: str, similarity: floa
     marked = scratch.table(with_signature(docs, "text", f, shingle).drop("text"), "signatures")
     first = [F.first(x).alias(x) for x in ("n", "s1", "s2", "bands")]
     prints = scratch.table(marked.groupBy(f).agg(F.min("id").alias("least"), *first), "distinct")
-    members = similar_links(docs, prints, f, similarity, shingle, scratch)
+    near = near_links(marked, f, radius, scratch)
+    members = similar_links(docs, prints, near, f, similarity, shingle, scratch)
+    scratch.drop(near)
     rooted = prints.join(members.withColumnRenamed("node", f), f, "left").select(f, "least", F.coalesce("root", f).alias("root"))
     least = scratch.table(rooted.groupBy("root").agg(F.min("least").alias(c)), "roots")
     return marked.select("id", f), scratch.table(rooted.join(least, "root").select(f, F.col("root").alias(P + "root"), c), "of-print")

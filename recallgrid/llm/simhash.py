@@ -11,7 +11,7 @@ are broadcast in pieces of a counted size and walked by members that stay spread
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from .common import P, Scratch, add_columns
 from .components import connected_components
-from .jaccard import classify_similar, with_set_print
 
 RADIUS = 3
 SHINGLE = 3
@@ -49,12 +48,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(lens + 1) - 1
     starts = (ends - lens)[: n - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 1 << 15):  # bounded memory for any length
-        part = [xxh64_intdigest(joined[s:e], seed=42) for s, e in zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)])]
-        bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    parts = (zip(starts[at : at + (1 << 15)], ends[at : at + (1 << 15)]) for at in range(0, len(starts), 1 << 15))  # bounded memory for any length
+    return majority(np.array([xxh64_intdigest(joined[s:e], seed=42) for s, e in part], np.uint64) for part in parts)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of the hashes, which come in parts."""
+    counts, n = np.zeros(64, np.int64), 0
+    for part in parts:
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
+        n += len(part)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def with_fingerprint(df: DataFrame, text_col: str, name: str, shingle: int = SHINGLE) -> DataFrame:
@@ -102,11 +107,11 @@ class BKForest:
         o = np.argsort(keys, kind="stable")
         self.keys, self.kids = keys[o], kids[o]
 
-    def components(self, radius: int, walk: int = WALK) -> np.ndarray:
+    def components(self, radius: int, walk: int = WALK, used: list | None = None) -> np.ndarray:
         """The least member of each member's component within its shard.
 
         A subtree that is one component already, the query's own, is not walked again: that keeps
-        a shard full of near copies from costing its square.
+        a shard full of near copies from costing its square. ``used`` gets pairs within the radius that span the components.
         """
         n = len(self.fp)
         label = np.arange(n)
@@ -130,7 +135,7 @@ class BKForest:
                 q, v = q[todo], v[todo]
             a, b = np.concatenate(found_q), np.concatenate(found_v)
             if len(a):
-                label = join(label, a, b)
+                label = join(label, a, b, used)
                 low, high = label.copy(), label.copy()
                 for parent, kid in reversed(self.levels):
                     np.minimum.at(low, parent, low[kid])
@@ -173,8 +178,8 @@ class BKForest:
         return i, v
 
 
-def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Union the components of a[i] and b[i]; labels stay the least member."""
+def join(label: np.ndarray, a: np.ndarray, b: np.ndarray, used: list | None = None) -> np.ndarray:
+    """Union the components of a[i] and b[i]; labels stay the least member. ``used`` gets the links that did it, one for each merger."""
     label = label.copy()
     while True:
         la, lb = label[a], label[b]
@@ -182,7 +187,12 @@ def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not apart.any():
             return label
         a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        low, high = np.minimum(la, lb), np.maximum(la, lb)
+        np.minimum.at(label, high, low)
+        if used is not None:
+            did = np.flatnonzero(label[high] == low)
+            did = did[np.unique(high[did], return_index=True)[1]]
+            used.append((a[did], b[did]))
         while True:
             up = label[label]
             if (up == label).all():
@@ -213,8 +223,10 @@ def shard_keys(fp: str, masks: list[int]) -> Column:
     return F.array(*(F.struct(F.lit(m).cast("long").alias("t"), F.col(fp).bitwiseAND(F.lit(m)).alias("m")) for m in signed))
 
 
-def shard_links(prints: DataFrame, fp: str, count: int, radius: int = RADIUS, blocks: int | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Spanning links ``(a, b)`` of the distinct fingerprints within ``radius`` bits, by shard.
+def shard_links(
+    prints: DataFrame, fp: str, count: int, radius: int = RADIUS, blocks: int | None = None, scratch: Scratch | None = None, direct: bool = False
+) -> DataFrame:
+    """Spanning links ``(a, b)`` of the distinct fingerprints within ``radius`` bits, by shard; ``direct``: each itself within the radius.
 
     A shard over ``HOT_SHARD`` members is cut finer, ``LEVELS`` times at most: by pigeonhole on the bits its
     members are free in, so no link is lost. What is over it even then agrees on 37 bits and more: such a
@@ -240,7 +252,9 @@ def shard_links(prints: DataFrame, fp: str, count: int, radius: int = RADIUS, bl
         fps, t, m = fps[o], t[o], m[o]
         shard = np.cumsum(np.r_[True, (t[1:] != t[:-1]) | (m[1:] != m[:-1])])
         forest = BKForest(fps.view(np.uint64), shard)
-        yield spanning(forest, forest.components(radius))
+        used: list | None = [] if direct else None
+        label = forest.components(radius, used=used)
+        yield spanning(forest, label) if used is None else direct_links(forest, used)
 
     masks, sent, links = first_masks(blocks, radius), cut(prints, shard_keys(fp, first_masks(blocks, radius))), None
     for level in range(LEVELS + 1):
@@ -268,6 +282,12 @@ def spanning(forest: BKForest, label: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[label[apart]])], names=["a", "b"])
 
 
+def direct_links(forest: BKForest, used: list) -> pa.RecordBatch:
+    own = forest.fp.view(np.int64)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*used) if used else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], names=["a", "b"])
+
+
 def broadcast_links(sent: DataFrame, hot: DataFrame, radius: int, tasks: int, scratch: Scratch) -> DataFrame:
     """Links in shards too large for a task: trees are broadcast in pieces of ``TREE_NODES`` nodes at most.
 
@@ -338,7 +358,7 @@ def drop_near_duplicates(
     """One row of each component stays, whole: the one with the least id (of repeats, any one).
 
     Links are fingerprints within ``radius`` bits; with ``similarity`` (0.8 or more), texts whose sets of word shingles have
-    that Jaccard similarity at least (``jaccard.py``), and ``radius`` isn't read.
+    that Jaccard similarity at least: the BK-trees' links are confirmed by it and those beyond ``radius`` are added (``jaccard.py``).
     Rows that share an id but not the text go or stay by their own component.
     Texts are shuffled once, by id and fingerprint: the semi join and the removal of repeats share that partitioning.
     Rows without an id stay only where their whole component has none, one for each such component.
@@ -347,7 +367,9 @@ def drop_near_duplicates(
         marked, of_print = classify(df, id_col, text_col, radius, shingle)
         stamp = with_fingerprint
     else:
-        marked, of_print = classify_similar(df, id_col, text_col, similarity, shingle)
+        from .jaccard import classify_similar, with_set_print  # which builds on this module
+
+        marked, of_print = classify_similar(df, id_col, text_col, similarity, shingle, radius)
         stamp = with_set_print
     own = F.col(f"`{id_col}`")
     keep = marked.join(of_print, P + "fp").where(F.col("id") == F.col(P + "component"))

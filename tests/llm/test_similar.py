@@ -1,7 +1,9 @@
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline as pipe
-from recallgrid.llm import simhash
+from recallgrid.llm import jaccard, simhash
 from tests.llm import edge
 
 SF = "/root/testdata/sf0.01"
@@ -53,6 +55,31 @@ def test_near_dedup_follows_chains_and_leaves_texts_below(spark):
     assert got == sorted(min(g) for g in slow_similar([(i, t) for i, t, _ in rows])) == [0, 12]
 
 
+def test_near_dedup_links_by_bk_trees_what_no_band_holds(spark):
+    # The repeated words weigh in SimHash, not in the sets of 8 and 10: similarity 0.8, 1 bit apart, no band in common.
+    said = " ".join([" ".join(f"{c}56484" for c in "abcdefgh")] * 30)
+    rows = [(1, said, "a"), (2, said + " z56484 y56484", "a"), (3, " ".join(f"v{i}" for i in range(60)), "a")]
+    marked = jaccard.with_signature(edge.table(spark, rows).select("doc_id", "text"), "text", "fp", 5).collect()
+    one, two, _ = sorted(marked, key=lambda r: r["doc_id"])
+    assert not set(one["bands"]) & set(two["bands"]) and (one["sim"] ^ two["sim"]).bit_count() <= simhash.RADIUS
+    assert all(r["sim"] % (1 << 64) == simhash.fingerprint(r["text"].encode(), 5) for r in marked)
+    got = sorted(r["doc_id"] for r in pipe.near_dedup(spark, edge.table(spark, rows), SF).collect())
+    assert got == sorted(min(g) for g in slow_similar([(i, t) for i, t, _ in rows])) == [1, 3]
+
+
+def test_direct_links_span_and_lie_within_the_radius():
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)[:, None] ^ (np.uint64(1) << rng.integers(0, 12, (40, 60)).astype(np.uint64)))
+    fps = np.unique(np.r_[fps, fps ^ np.uint64(1 << 5), fps ^ np.uint64(7 << 20)])
+    for walk in (16, 4096):
+        forest = simhash.BKForest(fps, np.arange(len(fps)) % 3)
+        label = forest.components(3, walk, used := [])
+        a, b = (np.concatenate(x) for x in zip(*used))
+        assert (np.bitwise_count(forest.fp[a] ^ forest.fp[b]) <= 3).all()
+        assert len(a) == (label != np.arange(len(label))).sum()
+        assert (simhash.join(np.arange(len(label)), a, b) == label).all() and (label == forest.components(3)).all()
+
+
 def test_near_dedup_on_awkward_rows(spark):
     df = edge.table(spark)
     ids = [r["doc_id"] for r in pipe.near_dedup(spark, df, SF).collect()]
