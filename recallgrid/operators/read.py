@@ -119,7 +119,10 @@ def member_sums(
     A cluster's queries meet its members in one task, where distances are a matrix product, so a vector moves once
     for each cluster it is read in and no row is made for a pair. A cluster with more queries or members than ``parts`` is cut into parts whose
     pairs meet in tasks of their own; their sums, each relative to its own greatest score, then meet by query and token.
+    The uniform kernel needs neither vectors nor pairs: its sums are the members' shares of each token.
     """
+    if kernel == "uniform":
+        return _uniform_sums(weighted, members)
     on = ["query_id", "cluster_id"] if "cluster_id" in queries.columns else ["query_id"]
     left = weighted.select("query_id", "cluster_id", "w").join(queries, on).select("cluster_id", "query_id", "w", "qx")
     right = members.select("cluster_id", "pos_id", "token", "mx")
@@ -169,6 +172,14 @@ def member_sums(
     return got.select("query_id", "cluster_id", "w", "token", (F.col("e") / F.sum("e").over(by)).alias("wm"))
 
 
+def _uniform_sums(weighted: DataFrame, members: DataFrame) -> DataFrame:
+    """``member_sums`` of the uniform kernel: members are counted by token before they meet a query."""
+    counts = members.groupBy("cluster_id", "token").agg(F.count(F.lit(1)).alias("_n"))
+    totals = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_all"))
+    shares = counts.join(totals, "cluster_id").select("cluster_id", "token", (F.col("_n") / F.col("_all")).alias("wm"))
+    return weighted.select("query_id", "cluster_id", "w").join(shares, "cluster_id").select("query_id", "cluster_id", "w", "token", "wm")
+
+
 def _scores(q: np.ndarray, m: np.ndarray, kernel: str, tau: float, sigma: float) -> np.ndarray:
     """Exponents of the kernel for each pair; small distances by plain differences, which don't cancel."""
     scale = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :]

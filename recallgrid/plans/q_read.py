@@ -109,7 +109,7 @@ def kernel_gauss(w: Workspace) -> DataFrame:
 @query(with_base("SELECT query_id, round(p, 6) AS p FROM (" + state_p_sql("s4") + ")", _S4))
 def kernel_uniform(w: Workspace) -> DataFrame:
     """A uniform inner kernel: must give the compressed store's own probability."""
-    terms = read.member_terms(read.first_k(w.snbr, K, TAU), members(w), qx(w), "uniform")
+    terms = read.member_sums(read.first_k(w.snbr, K, TAU), members(w), qx(w), "uniform")
     return read.member_prob(terms, w.truth).select("query_id", r("p"))
 
 
