@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 #: A query side of at most so many rows and numbers (rows times dimensions, 64 MB) is broadcast.
 BROADCAST_ROWS = 8192
 BROADCAST_NUMBERS = 8_000_000
-#: Rows of a block when neither side is small.
+#: Queries of a block when neither side is small; it meets so many times four entries in a task.
 BLOCK_ROWS = 8192
+#: Queries and entries whose distances a task holds at a time: 8 MB.
+TILE = (512, 2048)
 #: Candidates kept beyond k until ties are settled.
 SPARE = 8
 #: Gaps between squared distances below the square of this share of the squared norms are settled by exact distances.
@@ -101,22 +103,31 @@ def top_k(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Merge a block of entries into the best ``keep`` squared distances and ids of each query.
 
-    ``own``: ascending ids, and vectors, of the entries in ``best``. Where more entries than fit lie at the edge, exact
-    distances and then ids choose among them.
+    ``own``: ascending ids, and vectors, of the entries in ``best`` and in the block. Where more entries than fit lie at the edge, exact
+    distances and then ids choose among them. Once ``best`` is full, only entries up to its edge, and what rounding may hide beyond, are merged.
     """
     scale = (q * q).sum(1)
     d = (-2 * q) @ m.T
     d += scale[:, None]
     d += (m * m).sum(1)[None, :]
-    i = np.broadcast_to(ids, d.shape)
-    d, i = _cut(d, i, keep, scale, lambda r, c: ((m[c] - q[r]) ** 2).sum(1))  # the block alone is cut first: less to merge
-    d, i = np.concatenate([best[0], d], axis=1), np.concatenate([best[1], i], axis=1)
+    i = few = None
+    if best[0].shape[1] == keep:
+        edge = best[0].max(1)
+        r, c = np.divmod(np.flatnonzero(~(d > (edge + NEAR * NEAR * (np.abs(edge) + scale))[:, None])), d.shape[1])
+        many = np.bincount(r, minlength=len(q))
+        if many.max(initial=0) <= d.shape[1] // 4:
+            at = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
+            few, i = np.full((len(q), many.max(initial=0)), np.inf), np.zeros((len(q), many.max(initial=0)), np.int64)
+            few[r, at], i[r, at] = d[r, c], ids[c]
+    if few is None:  # the block alone is cut first: less to merge
+        few, i = _cut(d, np.broadcast_to(ids, d.shape), keep, scale, lambda r, c: ((m[c] - q[r]) ** 2).sum(1))
+    d, i = np.concatenate([best[0], few], axis=1), np.concatenate([best[1], i], axis=1)
     if d.shape[1] <= keep:
         return d, i
-    all_ids, vectors = (ids, m) if own is None else (np.concatenate([own[0], ids]), np.concatenate([own[1], m]))
-    order = np.argsort(all_ids, kind="stable")
-    find = lambda want: order[np.searchsorted(all_ids, want, sorter=order)]
-    return _cut(d, i, keep, scale, lambda r, c: ((vectors[find(i[r, c])] - q[r]) ** 2).sum(1))
+    if own is None:
+        order = np.argsort(ids, kind="stable")
+        own = ids[order], m[order]
+    return _cut(d, i, keep, scale, lambda r, c: ((own[1][np.searchsorted(own[0], i[r, c])] - q[r]) ** 2).sum(1))
 
 
 def _cut(d: np.ndarray, i: np.ndarray, keep: int, scale: np.ndarray, exact) -> tuple[np.ndarray, np.ndarray]:
@@ -173,16 +184,16 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, q_id: str = "pos_id",
 
 def _small_store(q: DataFrame, store: pa.Table, k: int) -> DataFrame:
     """``nearest`` with the whole store in each task: queries are ranked where they lie."""
-    shared = q.sparkSession.sparkContext.broadcast((store["e"].to_numpy(), matrix(store["x"])))
+    shared = q.sparkSession.sparkContext.broadcast(_ascending(store["e"].to_numpy(), matrix(store["x"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            for got in _ranked(b.column(0).to_numpy(), matrix(b.column(1)), [(ids, m)], k):
-                rank = np.tile(np.arange(1, min(k, len(ids)) + 1, dtype=np.int32), got.num_rows // min(k, len(ids)))
-                yield pa.RecordBatch.from_arrays([got.column(0), pa.array(rank), got.column(1), got.column(2)], names=["query_id", "rank", "entry_id", "dist"])
+            for a in range(0, b.num_rows, TILE[0]):
+                part = b.slice(a, TILE[0])
+                for got in _ranked(part.column(0).to_numpy(), matrix(part.column(1)), [(ids, m)], k):
+                    rank = np.tile(np.arange(1, min(k, len(ids)) + 1, dtype=np.int32), got.num_rows // min(k, len(ids)))
+                    yield pa.RecordBatch.from_arrays([got.column(0), pa.array(rank), got.column(1), got.column(2)], names=["query_id", "rank", "entry_id", "dist"])
 
     return q.mapInArrow(run, "query_id long, rank int, entry_id long, dist double")
 
@@ -245,25 +256,34 @@ def nearest_packed(queries: DataFrame, blocks: DataFrame, k: int, q_id: str = "p
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "entry_id", "dist")
 
 
+def _ascending(ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order with their vectors; no copy where they are in order."""
+    if (ids[1:] >= ids[:-1]).all():
+        return ids, m
+    order = np.argsort(ids, kind="stable")
+    return ids[order], m[order]
+
+
 def _ranked(qi: np.ndarray, qm: np.ndarray, blocks, k: int) -> Iterator[pa.RecordBatch]:
     """Best k of a stream of entry blocks for each query, with exact distances.
 
     Candidates are kept by expanded squared distances, a few beyond k, ties at the edge by plain differences
-    and ids; their vectors are kept too, and all returned distances are plain differences.
+    and ids; their vectors are kept too, and all returned distances are plain differences. Distances are held for a ``TILE`` at a time.
     """
-    step = 1024
+    step, tile = TILE
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     own_ids, own = np.zeros(0, np.int64), np.zeros((0, qm.shape[1]))
     for ids, m in blocks:
+        own_ids, own = _ascending(np.concatenate([own_ids, ids]), np.concatenate([own, m])) if len(own_ids) else _ascending(ids, m)
         for a in range(0, len(qi), step):
             q = qm[a : a + step]
             best = kept.get(a, (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)))
-            kept[a] = top_k(q, ids, m, best, k + SPARE, (own_ids, own))
+            for b in range(0, len(ids), tile):
+                best = top_k(q, ids[b : b + tile], m[b : b + tile], best, k + SPARE, (own_ids, own))
+            kept[a] = best
         live = np.unique(np.concatenate([i.ravel() for _, i in kept.values()]))
-        own_ids, own = np.concatenate([own_ids, ids]), np.concatenate([own, m])
-        order = np.argsort(own_ids, kind="stable")
-        at = order[np.searchsorted(own_ids[order], live)]
-        own_ids, own = own_ids[at], own[at]
+        if 2 * len(live) <= len(own_ids):
+            own_ids, own = live, own[np.searchsorted(own_ids, live)]
     for a, (sq, i) in kept.items():
         o = np.lexsort((i, sq), axis=1)
         i, sq = np.take_along_axis(i, o, 1), np.take_along_axis(sq, o, 1)
@@ -281,9 +301,9 @@ def _ranked(qi: np.ndarray, qm: np.ndarray, blocks, k: int) -> Iterator[pa.Recor
 
 
 def _block_join(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
-    """Blocks of both sides in one cogroup for each pair of blocks."""
+    """Blocks of both sides in one cogroup for each pair of blocks, whatever the size of the sides."""
     nq = max(1, -(-q.count() // BLOCK_ROWS))
-    ns = max(1, -(-s.count() // (8 * BLOCK_ROWS)))
+    ns = max(1, -(-s.count() // (4 * BLOCK_ROWS)))
     seq = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     q = q.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(nq))).withColumn("sb", seq(ns))
     s = s.withColumn("sb", F.pmod(F.xxhash64("e"), F.lit(ns))).withColumn("qb", seq(nq))
@@ -292,10 +312,17 @@ def _block_join(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
         schema = pa.schema([("query_id", pa.int64()), ("entry_id", pa.int64()), ("dist", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        qi, qm = left["q"].to_numpy(), matrix(left["x"].combine_chunks())
-        ids, m = right["e"].to_numpy(), matrix(right["x"].combine_chunks())
-        parts = ((ids[a : a + BLOCK_ROWS], m[a : a + BLOCK_ROWS]) for a in range(0, len(ids), BLOCK_ROWS))
-        return pa.Table.from_batches(list(_ranked(qi, qm, parts, k)), schema)
+        # One copy of the entries, in the order of their ids; the queries are taken a part at a time.
+        ids = right["e"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        place, m, at = np.empty_like(order), None, 0
+        place[order] = np.arange(len(ids))
+        for part in (matrix(b) for b in right["x"].chunks if len(b)):
+            m = np.empty((len(ids), part.shape[1])) if m is None else m
+            m[place[at : at + len(part)]] = part
+            at += len(part)
+        parts = (left.slice(a, TILE[0]) for a in range(0, left.num_rows, TILE[0]))
+        return pa.Table.from_batches([g for p in parts for g in _ranked(p["q"].to_numpy(), matrix(p["x"]), [(ids[order], m)], k)], schema)
 
     return q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInArrow(pair, "query_id long, entry_id long, dist double")
 

@@ -1,10 +1,37 @@
 """Steps whose rows, memory or traffic may not grow faster than the input."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+from recallgrid.operators import read, vectors
+
+
+def held(f, *args):
+    """What a function gives, and the MB it held at most beside its arguments."""
+    tracemalloc.start()
+    try:
+        out = f(*args)
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def task(monkeypatch, plan):
+    """The function that a plan's cogroup runs in a task."""
+    got = []
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: got.append(f) or self._gd1._df.limit(0).selectExpr("0L query_id", "0L entry_id", "0L cluster_id", "0d dist", "0d w", "0 token", "0d top", "0d e"))
+    plan()
+    monkeypatch.undo()
+    return got[0]
 
-from recallgrid.operators import read
+
+def lists(m):
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel()))
 
 
 def test_uniform_kernel_makes_no_row_for_a_pair(spark):
@@ -16,3 +43,37 @@ def test_uniform_kernel_makes_no_row_for_a_pair(spark):
     want = one(read.member_terms(weighted, members, queries, "uniform"))
     assert got.count() == len(want) == 40 * 2 * 6 and {k: pytest.approx(v, abs=1e-12) for k, v in one(got).items()} == want
     assert read.member_sums(weighted, members.limit(0), queries, "uniform").count() == 0
+
+
+def test_blocks_meet_within_few_megabytes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m, q = rng.normal(size=(20_000, 16)), rng.normal(size=(1500, 16))
+    m[:900] = m[0]
+    frame = spark.range(10).select(F.col("id").alias("q"), F.col("id").alias("e"), F.array(F.lit(0.0)).alias("x"))
+    pair = task(monkeypatch, lambda: vectors._block_join(frame.select("q", "x"), frame.select("e", "x"), 50))
+    order = rng.permutation(len(m))
+    left = pa.table({"q": np.arange(len(q)), "x": lists(q)})
+    right = pa.concat_tables([pa.table({"e": order[a : a + 7000], "x": lists(m[order[a : a + 7000]])}) for a in range(0, len(m), 7000)])
+    got, mb = held(pair, left, right)
+    assert mb < 60  # 138 MB where 8,192 entries at a time had their distances to 1,024 queries held
+    near = got["entry_id"].to_numpy().reshape(len(q), 50)
+    for r in (0, 700, 1499):
+        d = ((m - q[r]) ** 2).sum(1)
+        assert near[r].tolist() == np.lexsort((np.arange(len(m)), d))[:50].tolist()
+
+
+def test_members_meet_queries_within_few_megabytes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    m, q = rng.normal(size=(read.PART_MEMBERS, 16)), rng.normal(size=(2000, 16))
+    members = spark.range(3).select("id", F.col("id").alias("pos_id"), F.lit(0).cast("long").alias("cluster_id"), F.lit(1).alias("token"), F.array(F.lit(0.0)).alias("mx"))
+    queries = members.select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("qx"))
+    meet = task(monkeypatch, lambda: read.member_sums(queries.selectExpr("query_id", "0L cluster_id", "1d w"), members, queries))
+    zeros = np.zeros(len(q), np.int64)
+    left = pa.table({"cluster_id": zeros, "query_id": np.arange(len(q)), "w": np.ones(len(q)), "qx": lists(q)})
+    right = pa.table({"cluster_id": np.zeros(len(m), np.int64), "pos_id": np.arange(len(m)), "token": np.arange(len(m), dtype=np.int32) % 10, "mx": lists(m)})
+    got, mb = held(meet, left, right)
+    assert mb < 70  # 169 MB where 4,000,000 distances were held at a time, of four times the members
+    z = -np.sqrt(((m - q[7]) ** 2).sum(1)) / 0.1
+    e = np.exp(z - z.max())
+    want = np.bincount(np.arange(len(m)) % 10, weights=e) / e.sum()
+    assert got["e"].to_numpy()[70:80] == pytest.approx(want, abs=1e-9)
