@@ -18,7 +18,7 @@ from ..functions.scalar import interpolate, nll, softmax_weights, sq_dist, unrol
 from .vectors import NEAR, matrix
 
 #: Queries and members of a cluster that meet in one task at most, and distances held at a time.
-PART_QUERIES, PART_MEMBERS, HELD = 8192, 65_536, 4_000_000
+PART_QUERIES, PART_MEMBERS, HELD = 8192, 16_384, 1_000_000
 #: Longest vectors whose distance is written out term by term.
 UNROLL = 128
 
@@ -153,7 +153,8 @@ def member_sums(
         for a in range(0, len(qx) if len(mx) else 0, step := max(1, HELD // max(1, len(mx)))):
             z = _scores(qx[a : a + step], mx, kernel, tau, sigma)
             top = z.max(1)
-            e = np.add.reduceat(np.exp(z - top[:, None]), starts, axis=1)
+            z -= top[:, None]
+            e = np.add.reduceat(np.exp(z, out=z), starts, axis=1)
             tops.append(top)
             sums.append(e if cut else e / e.sum(1, keepdims=True))
         if not sums:
@@ -183,7 +184,9 @@ def _uniform_sums(weighted: DataFrame, members: DataFrame) -> DataFrame:
 def _scores(q: np.ndarray, m: np.ndarray, kernel: str, tau: float, sigma: float) -> np.ndarray:
     """Exponents of the kernel for each pair; small distances by plain differences, which don't cancel."""
     scale = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :]
-    sq = scale - 2 * (q @ m.T)
+    sq = q @ m.T
+    sq *= -2
+    sq += scale
     r, c = np.nonzero(sq <= NEAR * scale)
     for a in range(0, len(r), 65_536):
         i, j = r[a : a + 65_536], c[a : a + 65_536]
