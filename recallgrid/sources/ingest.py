@@ -53,18 +53,19 @@ def chunks(docs: DataFrame, length: int, by: list[str] | None = None) -> DataFra
     """Fixed-length chunks of the token stream: ``(by..., chunk_id, doc_id, tokens)``.
 
     Documents are cut where the stream's chunk edges fall and the pieces, not single tokens, are
-    shuffled to their chunk. doc_id is the last document in it; a short last chunk is dropped.
+    shuffled to their chunk. doc_id is the last document in it; a short last chunk is dropped. What is shuffled are texts: an
+    array takes at least 16 bytes a token.
     """
     by = by or []
-    rows = docs.select(*by, "doc_id", words("text").alias("t")).withColumn("n", F.size("t").cast("long"))
-    rows = with_offsets(rows, "n", by, "doc_id")
+    rows = docs.select(*by, "doc_id", "text", F.size(words("text")).cast("long").alias("n"))
+    rows = with_offsets(rows, "n", by, "doc_id").withColumn("t", words("text"))
     first, last = F.floor(F.col("offset") / length), F.floor((F.col("offset") + F.col("n") - 1) / length)
     pieces = rows.withColumn("chunk_id", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("chunk_id") * length - F.col("offset"), F.lit(0))
     stop = F.least((F.col("chunk_id") + 1) * length - F.col("offset"), F.col("n"))
-    pieces = pieces.select(*by, "chunk_id", "doc_id", "offset", F.slice("t", (start + 1).cast("int"), (stop - start).cast("int")).alias("p"))
+    pieces = pieces.select(*by, "chunk_id", "doc_id", "offset", F.array_join(F.slice("t", (start + 1).cast("int"), (stop - start).cast("int")), " ").alias("p"))
     got = pieces.groupBy(*by, "chunk_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "p"))).alias("ps"))
-    got = got.select(*by, "chunk_id", F.element_at("ps", -1)["doc_id"].alias("doc_id"), F.flatten(F.transform("ps", lambda s: s["p"])).alias("tokens"))
+    got = got.select(*by, "chunk_id", F.element_at("ps", -1)["doc_id"].alias("doc_id"), F.split(F.array_join(F.transform("ps", lambda s: s["p"]), " "), " ").alias("tokens"))
     return got.where(F.size("tokens") == length)
 
 
