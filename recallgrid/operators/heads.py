@@ -15,16 +15,23 @@ from .em import SLICES, added, sliced
 from .vectors import matrix
 
 
+#: Rows that a task of a regressor's fit holds on average.
+FIT_ROWS = 50_000
+
+
 def gate(rows: DataFrame, features: list[str], target: str, fit_split: str = "ct", seed: int = 42) -> DataFrame:
     """Rows with ``predicted``: a boosted-tree regressor of the target fitted on one split.
 
-    Features and target are standardised; a constant feature keeps its value.
+    Features and target are standardised; a constant feature keeps its value. The rows are made once, and the fit, about a hundred
+    jobs whose every task reports to the driver, runs in as many tasks as its rows need, not as many as the tables were read in.
     """
+    rows = rows.persist()
     rows = VectorAssembler(inputCols=features, outputCol="_raw").transform(rows)
     scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(rows.where(F.col("split") == fit_split)).transform(rows).drop("_raw")
-    s = scaled.where(F.col("split") == fit_split).agg(F.avg(target).alias("m"), F.stddev_pop(target).alias("s")).first()
+    s = scaled.where(F.col("split") == fit_split).agg(F.avg(target).alias("m"), F.stddev_pop(target).alias("s"), F.count(F.lit(1)).alias("n")).first()
     spread = s["s"] if s["s"] and s["s"] >= 1e-8 else 1.0
-    fit = scaled.where(F.col("split") == fit_split).withColumn("_y", (F.col(target) - s["m"]) / spread)
+    fit = scaled.where(F.col("split") == fit_split).withColumn("_y", (F.col(target) - s["m"]) / spread).select("_x", "_y")
+    fit = fit.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-s["n"] // FIT_ROWS)))
     model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_z", maxIter=20, maxDepth=4, seed=seed).fit(fit)
     return model.transform(scaled).withColumn("predicted", F.col("_z") * spread + s["m"]).drop("_x", "_z")
 

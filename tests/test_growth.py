@@ -62,6 +62,19 @@ def test_blocks_meet_within_few_megabytes(spark, monkeypatch):
         assert near[r].tolist() == np.lexsort((np.arange(len(m)), d))[:50].tolist()
 
 
+def test_expressions_rank_only_what_may_be_near(spark):
+    rng = np.random.default_rng(7)
+    m = np.concatenate([rng.normal(size=(2500, 18)), np.repeat(rng.normal(size=(50, 18)), 10, axis=0)])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "pos_id long, x array<double>")
+    asked = rows.where("pos_id % 50 = 0")
+    got = vectors.nearest_expr(asked, rows, 5, 18)
+    want = vectors.nearest(asked, rows, 5)
+    one = lambda d: sorted((r["query_id"], r["rank"], r["entry_id"], round(r["dist"], 9)) for r in d.collect())
+    assert one(got) == one(want) and len(one(got)) == 5 * 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "edge" in plan
+
+
 def test_members_meet_queries_within_few_megabytes(spark, monkeypatch):
     rng = np.random.default_rng(6)
     m, q = rng.normal(size=(read.PART_MEMBERS, 16)), rng.normal(size=(2000, 16))
@@ -77,3 +90,27 @@ def test_members_meet_queries_within_few_megabytes(spark, monkeypatch):
     e = np.exp(z - z.max())
     want = np.bincount(np.arange(len(m)) % 10, weights=e) / e.sum()
     assert got["e"].to_numpy()[70:80] == pytest.approx(want, abs=1e-9)
+
+
+def test_a_regressor_is_fitted_in_as_many_tasks_as_its_rows_need(spark, monkeypatch):
+    from recallgrid.operators import heads
+
+    seen = []
+    fit = heads.GBTRegressor.fit
+    monkeypatch.setattr(heads.GBTRegressor, "fit", lambda self, d: seen.append((d.rdd.getNumPartitions(), d.count())) or fit(self, d))
+    rows = spark.range(600).select("id", F.when(F.col("id") % 2 == 0, "ct").otherwise("val").alias("split"), (F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    got = heads.gate(rows.withColumn("t", F.col("a") * 2 + F.col("b")).repartition(90), ["a", "b"], "t")
+    assert got.where("abs(predicted - t) < 3").count() > 500
+    assert seen[0][0] <= spark.sparkContext.defaultParallelism and seen[0][1] == 300
+
+
+def test_chunks_move_as_texts(spark):
+    from recallgrid.sources import ingest
+
+    docs = spark.createDataFrame([(i, "  a b\tc\n" * (i % 5) if i % 9 else None) for i in range(60)], "doc_id long, text string")
+    got = ingest.chunks(docs, 7)
+    tokens = [t for i in range(60) for t in ["a", "b", "c"] * (i % 5 if i % 9 else 0) + ["<eos>"]]
+    rows = got.orderBy("chunk_id").collect()
+    assert [r["tokens"] for r in rows] == [tokens[a : a + 7] for a in range(0, len(tokens) - 6, 7)]
+    moved = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list" in line]
+    assert moved and "array_join(slice" in got._jdf.queryExecution().optimizedPlan().toString()
